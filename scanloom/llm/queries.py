@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, pii, quality, secrets, warc
 from .words import table
 
 
@@ -14,6 +14,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2_pii(table(spark, sf_dir, "documents"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op4_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op5_bpe(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -22,8 +34,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6_mixing(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op8_warc(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op5_bpe": op5, "op6_mixing": op6}
+    return {"op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op8_warc": op8}
 
 
 def oracle_sql() -> dict[str, str]:
