@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, secrets, warc
+from . import bpe, mixing, pii, quality, secrets, topk, warc
 from .words import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op1_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op2_pii(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op8_warc": op8}
+    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op8_warc": op8}
 
 
 def oracle_sql() -> dict[str, str]:
