@@ -35,3 +35,21 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as a compressed table to the shared folder and read back.
+
+    For large intermediate results that several plans read; any executor can be lost after that.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tables-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
