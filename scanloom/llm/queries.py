@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licenses, mixing, pii, quality, secrets, topk, warc
+from . import bpe, jaccard, licenses, mixing, pii, quality, secrets, substrings, topk, warc
 from .words import table
 
 
@@ -46,12 +46,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op8_warc(table(spark, sf_dir, "pages"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op9_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op10_licenses": op10}
+    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op9_repeats": op9, "op10_licenses": op10}
 
 
 def oracle_sql() -> dict[str, str]:
