@@ -236,11 +236,24 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     return rows.mapInArrow(run, f"id {kind}, ids_le binary, decoded string").withColumnRenamed("id", id_col)
 
 
-def op5_bpe(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Digest columns of the encoding of every document."""
-    return encode_documents(docs, vocabulary).select(
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizers' package keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and ``more`` columns of what encode_documents returns."""
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
+
+
+def op5_bpe(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Digest columns of the encoding of every document."""
+    return digests(encode_documents(docs, vocabulary))

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, jaccard, licenses, mixing, pii, quality, secrets, substrings, topk, warc
 from .words import table
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op1_topk(table(spark, sf_dir, "embeddings"))
 
@@ -31,7 +26,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.op5_bpe(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.op5_bpe(table(spark, sf_dir, "documents"), bpe.public_vocabulary())
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +50,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op9_repeats": op9, "op10_licenses": op10}
+    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op9_repeats": op9, "op10_licenses": op10, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
