@@ -1,9 +1,14 @@
 """Registered queries of the signal operators and their SQL."""
 
+from __future__ import annotations
+
+from . import chrom_queries, report_queries, series_queries, spectra_queries, table_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
