@@ -153,15 +153,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in the columns of ``docs``: each document as often as it is taken whole, and once more cut to its
     extra words. Rows are joined to the plan by id, which must be unique."""
     names = docs.columns
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), "size", "taken", "skip", "extra")
+    taken = ("doc_id", "size", "taken", "skip", "extra")
+    plan = mix(docs, **how).where("taken > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in taken])
+    size, whole_words, skip, extra = (F.col(f"__mix_{c}") for c in taken[1:])
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    whole = F.when(F.col("size") > 0, ((F.col("taken") - F.col("extra")) / F.col("size")).cast("int")).otherwise(0)
-    copies = F.when(whole > 0, F.array_repeat(F.lit(False), whole)).otherwise(F.array().cast("array<boolean>"))
-    joined = docs.join(plan.where("taken > 0"), docs["doc_id"] == F.col("_id"))
-    out = joined.withColumn("_cut", F.explode(F.concat(copies, F.when(F.col("extra") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    whole = ((whole_words - extra) / size).cast("int")
+    none = F.array().cast("array<boolean>")
+    pieces = F.concat(F.when(whole > 0, F.array_repeat(F.lit(False), whole)).otherwise(none), F.when(extra > 0, F.array(F.lit(True))).otherwise(none))
+    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__mix_doc_id"))).withColumn("__mix_cut", F.explode(pieces))
     twice = F.concat(words, words)  # the extra words go on at the document's start
-    cut = F.array_join(F.slice(twice, F.col("skip").cast("int") + 1, F.col("extra").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    cut = F.array_join(F.slice(twice, skip.cast("int") + 1, extra.cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("__mix_cut"), cut).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(names)

@@ -184,18 +184,19 @@ def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id"
     moved = exceptions(found, key)
     names = docs.columns
     if moved.isEmpty():
-        work = docs.withColumn("_moved", F.lit(None).cast("map<string,int>"))
+        work = docs.withColumn("__pii_moved", F.lit(None).cast("map<string,int>"))
     else:
         seen = docs.select(F.col(id_col).alias("_id"), e).withColumn("kind", kind_of(F.col("e")))
         seen = seen.withColumn("canon", canonical(F.col("kind"), F.col("e"))).join(moved, ["kind", "canon"])
         per = seen.select("_id", F.concat_ws("\x1f", "kind", "canon").alias("k"), "attempt").distinct()
-        per = per.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_moved"))
-        work = docs.join(per, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+        per = per.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__pii_moved"))
+        per = per.withColumnRenamed("_id", "__pii_id")
+        work = docs.join(per, docs[id_col].eqNullSafe(F.col("__pii_id")), "left").drop("__pii_id")
 
     def new(x: Column) -> Column:
         def of(y: Column) -> Column:  # y: kind and text, so that the kind is found once
             k, t = y["k"], y["e"]
-            attempt = F.coalesce(F.element_at(F.col("_moved"), F.concat_ws("\x1f", k, canonical(k, t))), F.lit(0))
+            attempt = F.coalesce(F.element_at(F.col("__pii_moved"), F.concat_ws("\x1f", k, canonical(k, t))), F.lit(0))
             return surrogate(key, k, t, attempt)
 
         return F.element_at(F.transform(F.array(F.struct(kind_of(x).alias("k"), x.alias("e"))), of), 1)
@@ -206,9 +207,9 @@ def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id"
     text = F.col(text_col)
     parts = F.array(F.struct(F.split(text, ANY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")))
     done = F.element_at(F.transform(parts, lambda p: F.struct(fill(p).alias("text"), F.size(p["found"]).alias("n"))), 1)
-    work = work.withColumn("_done", F.when(text.rlike(GATE), done).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n"))))
-    count = [F.col("_done.n").cast("long").alias(count_col)] if count_col else []
-    return work.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *count)
+    work = work.withColumn("__pii_done", F.when(text.rlike(GATE), done).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n"))))
+    count = [F.col("__pii_done.n").cast("long").alias(count_col)] if count_col else []
+    return work.select(*[F.col("__pii_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *count)
 
 
 def op2_pii(docs: DataFrame) -> DataFrame:

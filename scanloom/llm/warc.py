@@ -132,7 +132,7 @@ class Package:
         tail_at = max(0, size - 65_557)
         tail = self.read(tail_at, size - tail_at)
         end = tail.rfind(b"PK\x05\x06")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
             raise ValueError("no end of central directory: not a ZIP file, or cut off")
