@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import _P, WordHash
-from .words import settle, stored
+from .words import release, settle, stored
 
 _hashes = WordHash()
 SKETCH = 1 << 20
@@ -139,7 +140,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     bits.append(bitmap(s) if n and copy_of is None else None)
                     copies.append(copy_of)
                 k = len(ids)
-                t = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+                # 40 bits of a shingle are enough to find a region; sets are compared in full.
+                t = (np.concatenate(tokens) >> np.uint64(24)).view(np.int64) if tokens else np.zeros(0, np.int64)
                 none = pa.nulls(len(t), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -156,11 +158,68 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "token long, doc long, n int, bits binary, copy_of long"))
 
 
+def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) that the bitmaps (_d, bits, n) of both can't rule out."""
+
+    def far(x: bytes, y: bytes) -> int:
+        a, b = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
+        while a.shape[1] > b.shape[1]:
+            a = folded(a)
+        while b.shape[1] > a.shape[1]:
+            b = folded(b)
+        return int(np.bitwise_count(a ^ b).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, total = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            keep = [far(i, j) * (100 + percent) <= (100 - percent) * t for i, j, t in zip(x, y, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = bits.select(F.col("_d").alias("u"), F.col("bits").alias("bu"), F.col("n").alias("nu")), bits.select(F.col("_d").alias("v"), F.col("bits").alias("bv"), F.col("n").alias("nv"))
+    return settle(pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "bv", (F.col("nu") + F.col("nv")).alias("total")).mapInArrow(run, "u long, v long"))
+
+
+#: Bits of the filter that keeps texts which no pair asks for from being sent. A fixed size: beyond it, it only lets more through.
+FILTER = 1 << 24
+
+
+def _cell_of(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _P) >> np.uint64(40)).astype(np.int64)
+
+
+def wanted_filter(ids: DataFrame) -> np.ndarray:
+    """A bit array of FILTER bits with those of the ids set."""
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells_ = [_cell_of(b.column(0).to_numpy()) for b in batches]
+        some = np.unique(np.concatenate(cells_)) if cells_ else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some)], names=["cell"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            for k in np.unique(cell >> 16):
+                parts.setdefault(int(k), np.zeros(1 << 16, bool))[cell[cell >> 16 == k] & 0xFFFF] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(v).tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+    cells_ = ids.mapInArrow(bits_of, "cell long").repartition(F.shiftright("cell", 16))
+    out = np.zeros(FILTER, bool)
+    for r in cells_.mapInArrow(pack, "part long, bits binary").collect():  # FILTER / 8 bytes at most
+        out[r["part"] << 16 : (r["part"] + 1) << 16] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (u, v) whose exact similarity reaches the threshold."""
+    wanted = settle(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "_id"))
+    packed = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed.value).astype(bool)
         for b in batches:
+            b = b.filter(pa.compute.is_valid(b.column(0)))
+            b = b.filter(pa.array(bits[_cell_of(b.column(0).to_numpy())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +231,12 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(a) + len(c) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    known = stored(texts.join(wanted, F.col("doc") == F.col("_id")).select("doc", "text").mapInArrow(sets, "doc long, s binary"))
+    known = stored(texts.mapInArrow(sets, "doc long, s binary").join(wanted, F.col("doc") == F.col("_id")).select("doc", "s"))
     left, right = known.select(F.col("doc").alias("u"), F.col("s").alias("su")), known.select(F.col("doc").alias("v"), F.col("s").alias("sv"))
-    return settle(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long").distinct())
+    links = settle(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long").distinct())
+    release(docs.sparkSession, known)
+    return links
 
 
 def against_bits(rows: DataFrame, percent: int, cell: int) -> DataFrame:
@@ -252,6 +312,9 @@ def jaccard_join(docs: DataFrame, percent: int = 80, cell: int = 2048) -> DataFr
     copies = each.where("copy_of is not null and copy_of <> doc").select(F.col("copy_of").alias("u"), F.col("doc").alias("v"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     regions = stored(tokens.join(shared, "token"))
+    bits = stored(each.where("bits is not null").select(F.col("doc").alias("_d"), "bits", "n").dropDuplicates(["_d"]))
+    each, copies = settle(each.select("doc", "n")), settle(copies)
+    release(docs.sparkSession, table)
     # The most central document of each region.
     central = regions.groupBy("doc").agg(F.sum("m").alias("centre")).withColumnRenamed("doc", "_d")
     ranked = regions.join(central, F.col("doc") == F.col("_d"))
@@ -260,12 +323,11 @@ def jaccard_join(docs: DataFrame, percent: int = 80, cell: int = 2048) -> DataFr
     sizes = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     star = regions.join(pivots, F.col("token") == F.col("_t")).where((F.col("doc") != F.col("pivot")) & sizes)
     star = settle(star.select(F.least("doc", "pivot").alias("u"), F.greatest("doc", "pivot").alias("v")).distinct())
-    first = verify(star, docs, percent)
+    first = verify(plausible(star, bits, percent), docs, percent)
     labels = connected_components(first.union(copies)).withColumnsRenamed({"id": "_d", "component": "label"})
     labelled = regions.join(labels, F.col("doc") == F.col("_d"), "left").select("token", "doc", "n", "m", F.coalesce("label", "doc").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select(F.col("token").alias("_t"))
-    bits = each.where("bits is not null").select(F.col("doc").alias("_d"), "bits").dropDuplicates(["_d"])
-    open_ = labelled.join(mixed, F.col("token") == F.col("_t")).join(bits, F.col("doc") == F.col("_d")).select("token", "doc", "n", "component", "bits", "m")
+    open_ = labelled.join(mixed, F.col("token") == F.col("_t")).join(bits.select("_d", "bits"), F.col("doc") == F.col("_d")).select("token", "doc", "n", "component", "bits", "m")
     rest = settle(against_bits(open_, percent, cell).join(star, ["u", "v"], "left_anti"))
     links = first.union(copies)
     if not rest.isEmpty():

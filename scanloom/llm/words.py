@@ -53,3 +53,19 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of finished steps.
+
+    Spark drops them when the driver's objects are collected, which on a driver with room to spare may be long after.
+    """
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        for file in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
