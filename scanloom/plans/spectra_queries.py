@@ -27,10 +27,10 @@ def decimate_max_per_bucket(spark, d):
     return spectra.decimate(points(spark, d).join(scans(spark, d).select("run", "scan"), "scan"), ["run"], 2.0).withColumn("mz", F.round("mz", 6))
 
 
-@query(f"""WITH {POINTS_SQL} SELECT scan, count(*) AS n, round(min(mz), 6) AS lo, round(max(mz), 6) AS hi, round(CASE WHEN count(*) > 1 THEN (max(mz) - min(mz)) / (count(*) - 1) END, 6) AS step,
-round(avg(intensity), 6) AS mean, round(stddev_pop(intensity), 6) AS spread, list_sort(list(intensity))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM points GROUP BY scan""")
+@query(f"""WITH {POINTS_SQL} SELECT scan, count(*) AS n, round(min(mz), 6) AS lo, round(max(mz), 6) AS hi, round(CASE WHEN count(*) > 1 THEN (max(mz) - min(mz)) / (count(*) - 1) END, 9) AS step,
+round(avg(intensity), 9) AS mean, round(stddev_pop(intensity), 9) AS spread, list_sort(list(intensity))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM points GROUP BY scan""")
 def stats_upper_median(spark, d):
-    return spectra.statistics(points(spark, d), ["scan"]).withColumns({c: F.round(c, 6) for c in ("lo", "hi", "step", "mean", "spread")})
+    return spectra.statistics(points(spark, d), ["scan"]).withColumns({c: F.round(c, 6 if c in ("lo", "hi") else 9) for c in ("lo", "hi", "step", "mean", "spread")})
 
 
 @query(f"""WITH {SCANS_SQL}, {POINTS_SQL}, r AS (SELECT s.run, s.level, p.intensity, row_number() OVER (PARTITION BY s.run, s.level ORDER BY p.intensity) AS r, count(*) OVER (PARTITION BY s.run, s.level) AS n FROM points p JOIN scans s ON s.scan = p.scan)
