@@ -24,28 +24,33 @@ def scan_clusters(mz: np.ndarray, intensity: np.ndarray, tolerance: float, charg
     for i in np.argsort(-intensity, kind="stable"):
         if y[i] <= 0:
             continue
-        best: tuple = (0.0, 0, [])
+        best: tuple = (0.0, 0, [], 0)
         for z in range(1, charges + 1):
-            comb = []
-            for k in range(6):
-                near = np.flatnonzero(np.abs(mz - (mz[i] + k * C13_GAP / z)) <= tolerance / z)
-                near = near[y[near] > 0]
-                if not len(near):
-                    break
-                comb.append(int(near[np.argmax(y[near])]))
+            comb = [int(i)]
+            for step in (-1, 1):
+                for k in range(1, 6):
+                    near = np.flatnonzero(np.abs(mz - (mz[i] + step * k * C13_GAP / z)) <= tolerance / z)
+                    near = near[y[near] > 0]
+                    if not len(near):
+                        break
+                    comb.insert(0 if step < 0 else len(comb), int(near[np.argmax(y[near])]))
             score = float(y[comb].sum()) * len(comb)
             if len(comb) > 1 and score > best[0]:
-                best = (score, z, comb)
-        _, z, comb = best
+                best = (score, z, comb, comb.index(int(i)))
+        _, z, comb, top = best
         if z:
-            mass = (mz[i] - PROTON) * z
-            lam = max(mass * 0.00055, 1e-6)
-            k = np.arange(len(comb))
-            envelope = np.exp(k * np.log(lam) - np.cumsum(np.log(np.maximum(k, 1))))
-            got = y[comb]
-            c = float(np.dot(got, envelope) / (np.linalg.norm(got) * np.linalg.norm(envelope)))
+            # The mono-isotope is the point at or below the strongest from which the envelope fits best.
+            fits = []
+            for first in range(top + 1):
+                mass = (mz[comb[first]] - PROTON) * z
+                k = np.arange(len(comb) - first)
+                envelope = np.exp(k * np.log(max(mass * 0.00055, 1e-6)) - np.cumsum(np.log(np.maximum(k, 1))))
+                got = y[comb[first:]]
+                fits.append((float(np.dot(got, envelope) / (np.linalg.norm(got) * np.linalg.norm(envelope))) if len(got) > 1 else 0.0, -first, float(mass)))
+            c, first, mass = max(fits)
+            comb = comb[-first:]
             if c >= least_correlation:
-                out.append((float(mz[i]), float(y[i]), z, float(mass), len(comb), c))
+                out.append((float(mz[comb[0]]), float(y[i]), z, mass, len(comb), c))
                 y[comb] = 0
         y[i] = 0
     return out

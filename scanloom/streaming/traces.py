@@ -14,8 +14,8 @@ from ..sources.tables import read
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 16).parquet(sf_dir)
+    """The events table, a file or a folder of files, as a stream of files (a pattern, as a single file can't be watched)."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
