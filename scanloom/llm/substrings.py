@@ -7,11 +7,11 @@ about one for every 18 bytes. An entry carries its key, a hash of its content, a
 Entries are dealt to tasks by key. Each task takes them in order of the documents, in batches, and keeps a logarithmic family of
 sorted levels: a new batch is sorted, merge-scanned against every level, and added; levels of equal size are merged.
 An entry with the key and content of an earlier document's is covered whole. Two entries of one key with different content share a window only if the
-bytes left or right of the key agree (one of both sides must be half the window's rest); such entries, the ends of shared
-passages, are looked at window by window: the smallest document of every window's hash is found, and the others' windows are covered.
+bytes left or right of the key agree, as one side holds half of the window's rest; the windows of such entries that hold that side, at the ends of shared
+passages, are looked at one by one: the smallest document of every window's hash is found, and the others' windows are covered.
 
 Entries, and later windows, that repeat in one task are answered there, so what is sent for a passage that very many documents share grows with
-the number of tasks only. Texts are shuffled once, by document. Content and windows are compared by hashes (88 and 64 bits under equal keys).
+the number of tasks only. Texts are shuffled twice, by document: to look at windows, and to cut them. Content and windows are compared by hashes (96 and 64 bits).
 
 Defined results: a null text counts as empty; texts under ``width`` bytes lose nothing; rows that repeat an id count as one document and get its spans;
 a null id is no document's predecessor and loses nothing.
@@ -23,9 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import release, stored
+
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 #: Length of the strings that keys hash.
@@ -64,15 +67,15 @@ PIECE = 1 << 23
 
 
 def entries(data: bytes, width: int) -> tuple[np.ndarray, ...] | None:
-    """(key, content, left, right, first, last) of the runs of windows with one key at one place."""
+    """(key, content, left, right, place, first, last) of the runs of windows with one key at one place."""
     m = len(data) - width + 1
     if m < 1:
         return None
     if m > PIECE:
         parts = []
         for at in range(0, m, PIECE):
-            *rest, first, last = entries(data[at : at + PIECE + width - 1], width)
-            parts.append((*rest, first + at, last + at))
+            *rest, place, first, last = entries(data[at : at + PIECE + width - 1], width)
+            parts.append((*rest, place + at, first + at, last + at))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     x = _loads(data)
     grams = _gram_hashes(x, len(data) - GRAM + 1)
@@ -107,7 +110,7 @@ def entries(data: bytes, width: int) -> tuple[np.ndarray, ...] | None:
 
     left = beside([-side, -side + 8, -8])
     right = beside([GRAM, GRAM + 8, GRAM + side - 8])
-    return key, content, left, right, first, last
+    return key, content, left, right, gram_at, first, last
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,17 +144,15 @@ def _entries_of(docs: DataFrame, width: int, chunk_bytes: int) -> DataFrame:
         size = 0
 
         def close() -> pa.RecordBatch:
-            key, content, left, right, first, last, doc = (np.concatenate([h[i] for h in held]) for i in range(7))
-            # key 40 bits, right 16, length 8; content 48, left 16
-            a = ((key >> _U(24)) << _U(24)) | (right << _U(8)) | (last - first).astype(np.uint64)
-            b = ((content >> _U(16)) << _U(16)) | left
+            key, content, left, right, place, first, last, doc = (np.concatenate([h[i] for h in held]) for i in range(8))
+            a, b = packed(key, content, left, right, place - first, last - first)
             o = np.lexsort((doc, b, a))
-            a, b, doc, first, last = a[o], b[o], doc[o], first[o], last[o]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            ask = doc == least
+            new = np.append(True, (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]))
+            ask = np.empty(len(a), bool)
+            ask[o] = doc[o] == doc[o][np.flatnonzero(new)][np.cumsum(new) - 1]
             cd, cl, ch = _merged(doc[~ask], first[~ask], last[~ask] + width)
-            spread = (cd.astype(np.uint64) * _A + cl.astype(np.uint64)) * _B
+            spread = ((cd.astype(np.uint64) * _A + cl.astype(np.uint64)) * _B) >> _U(8)
+            # In the order of the texts, in which ids and places compress well.
             return _batch(
                 _ENTRY,
                 np.concatenate([a[ask], spread]).view(np.int64),
@@ -178,60 +179,73 @@ def _entries_of(docs: DataFrame, width: int, chunk_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, doc long, lo int, kind byte")
 
 
-class Level:
-    """Sorted entries: by key and content, by key and left side, by key and right side."""
+def packed(key, content, left, right, place, size):
+    """An entry in two integers: key 40 bits, right 8, size 6; content 40, left 8, place of the key 6."""
+    a = ((key >> _U(24)) << _U(14)) | ((right & _U(0xFF)) << _U(6)) | size.astype(np.uint64)
+    b = ((content >> _U(24)) << _U(14)) | ((left & _U(0xFF)) << _U(6)) | place.astype(np.uint64)
+    return a, b
+
+
+class Entries:
+    """Packed entries with their documents, and what is asked of their sides."""
 
-    FIELDS = ("a", "b", "doc", "lo", "told")
+    def __init__(self, a, b, doc, lo, width: int):
+        self.a, self.b, self.doc, self.lo, self.width = a, b, doc, lo, width
+        self.size = (a & _U(0x3F)).astype(np.int64)
+        self.place = (b & _U(0x3F)).astype(np.int64)
+        self.side = (width - GRAM) // 2
+        self.whole = (a ^ (b >> _U(7))) * _A ^ b * _B
 
-    def __init__(self, a, b, doc, lo, told):
-        self.a, self.b, self.doc, self.lo, self.told = a, b, doc, lo, told
-        self.whole, self.by_whole = self._sorted(Level.whole_of(a, b))
-        self.left, self.by_left = self._sorted(Level.left_of(a, b))
-        self.right, self.by_right = self._sorted(Level.right_of(a))
+    def sides(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For left and right: the entries some window of which holds that side whole, and their key with the side's hash."""
+        key = (self.a >> _U(14)) << _U(8)
+        left = np.flatnonzero(self.place >= self.side)
+        right = np.flatnonzero(self.place - self.size <= self.side)
+        return [(left, key[left] | ((self.b[left] >> _U(6)) & _U(0xFF))), (right, key[right] | ((self.a[right] >> _U(6)) & _U(0xFF)))]
 
-    @staticmethod
-    def _sorted(values):
-        o = np.argsort(values, kind="stable")
-        return values[o], o
+    def windows(self, which: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The windows of some entries that hold the left (0) or right (1) side whole, to be looked at one by one."""
+        lo, hi = self.lo[which], self.lo[which] + self.size[which]
+        edge = self.lo[which] + self.place[which] - self.side
+        return self.doc[which], lo if side == 0 else np.maximum(lo, edge), np.minimum(hi, edge) if side == 0 else hi, ASK
 
-    @staticmethod
-    def whole_of(a, b):
-        return (a ^ (b >> _U(7))) * _A ^ b * _B
 
-    @staticmethod
-    def left_of(a, b):
-        return ((a >> _U(24)) << _U(16)) | (b & _U(0xFFFF))
+class Level:
+    """Sorted entries: by key and content, and by key and side."""
 
-    @staticmethod
-    def right_of(a):
-        return a >> _U(8)
+    def __init__(self, e: Entries, told: list[np.ndarray]):
+        self.e, self.told = e, told
+        self.by_whole = np.argsort(e.whole, kind="stable")
+        self.whole = e.whole[self.by_whole]
+        self.by_side = []
+        for which, values in e.sides():
+            o = np.argsort(values, kind="stable")
+            self.by_side.append((values[o], which[o]))
 
     def __len__(self) -> int:
-        return len(self.a)
+        return len(self.e.a)
 
-    def holds(self, a, b, whole) -> np.ndarray:
+    def holds(self, e: Entries) -> np.ndarray:
         """Which entries stand here with key and content."""
-        at = np.minimum(np.searchsorted(self.whole, whole), len(self) - 1)
-        i = self.by_whole[at]
-        return (self.a[i] == a) & (self.b[i] == b)
+        i = self.by_whole[np.minimum(np.searchsorted(self.whole, e.whole), len(self) - 1)]
+        return (self.e.a[i] == e.a) & (self.e.b[i] == e.b)
 
-    def beside(self, values, column: str) -> np.ndarray:
-        """Which have an entry here with the same key and side; those here are marked as told, and counted in ``news``."""
-        mine, order = getattr(self, column), getattr(self, "by_" + column)
+    def beside(self, values: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are met here; and the entries here that are met for the first time."""
+        mine, which = self.by_side[side]
         lo, hi = np.searchsorted(mine, values, "left"), np.searchsorted(mine, values, "right")
-        met = lo < hi
-        if met.any():
-            ends = np.zeros(len(self) + 1, np.int64)
-            np.add.at(ends, lo[met], 1)
-            np.add.at(ends, hi[met], -1)
-            self.news[order[np.cumsum(ends[:-1]) > 0]] = True
-        return met
-
-    def start(self) -> None:
-        self.news = np.zeros(len(self), bool)
+        met, ends = lo < hi, np.zeros(len(mine) + 1, np.int64)
+        np.add.at(ends, lo[met], 1)
+        np.add.at(ends, hi[met], -1)
+        hit = which[np.cumsum(ends[:-1]) > 0]
+        news = hit[~self.told[side][hit]]
+        self.told[side][news] = True
+        return met, news
 
     def merged(self, other: Level) -> Level:
-        return Level(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in Level.FIELDS))
+        x, y = self.e, other.e
+        e = Entries(*(np.concatenate([getattr(x, f), getattr(y, f)]) for f in ("a", "b", "doc", "lo")), x.width)
+        return Level(e, [np.concatenate([self.told[i], other.told[i]]) for i in (0, 1)])
 
 
 class Family:
@@ -244,32 +258,28 @@ class Family:
     def add(self, a, b, doc, lo) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(doc, lo, hi, kind): covered bytes [lo, hi), or windows lo to hi to be looked at one by one."""
         o = np.lexsort((doc, b, a))
-        a, b, doc, lo = a[o], b[o], doc[o], lo[o]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        whole = Level.whole_of(a, b)
+        e = Entries(a[o], b[o], doc[o], lo[o], self.width)
+        new = np.append(True, (e.a[1:] != e.a[:-1]) | (e.b[1:] != e.b[:-1]))
+        covered = e.doc > e.doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         for level in self.levels:
-            covered |= level.holds(a, b, whole)
-        size = (a & _U(0xFF)).astype(np.int64)
-        out = [(doc[covered], lo[covered], lo[covered] + size[covered] + self.width, COVERED)]
+            covered |= level.holds(e)
+        out = [(e.doc[covered], e.lo[covered], e.lo[covered] + e.size[covered] + self.width, COVERED)]
         keep = ~covered
-        a, b, doc, lo, size = a[keep], b[keep], doc[keep], lo[keep], size[keep]
-        if not len(a):
+        e = Entries(e.a[keep], e.b[keep], e.doc[keep], e.lo[keep], self.width)
+        if not len(e.a):
             return out
-        met = np.zeros(len(a), bool)
-        for values in (Level.left_of(a, b), Level.right_of(a)):  # others of this batch with the side
+        told = []
+        for side, (which, values) in enumerate(e.sides()):
             _, back, count = np.unique(values, return_inverse=True, return_counts=True)
-            met |= count[back] > 1
-        for level in self.levels:
-            level.start()
-            met |= level.beside(Level.left_of(a, b), "left")
-            met |= level.beside(Level.right_of(a), "right")
-            news = level.news & ~level.told
-            level.told |= news
-            if news.any():
-                out.append((level.doc[news], level.lo[news], level.lo[news] + (level.a[news] & _U(0xFF)).astype(np.int64), ASK))
-        out.append((doc[met], lo[met], lo[met] + size[met], ASK))
-        self.levels.append(Level(a, b, doc, lo, met))
+            met = count[back] > 1  # others of this batch
+            for level in self.levels:
+                there, news = level.beside(values, side)
+                met |= there
+                out.append(level.e.windows(news, side))
+            out.append(e.windows(which[met], side))
+            told.append(np.zeros(len(e.a), bool))
+            told[side][which[met]] = True
+        self.levels.append(Level(e, told))
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
@@ -307,13 +317,24 @@ def _scan_levels(rows: DataFrame, width: int, batch_rows: int) -> DataFrame:
         if size:
             yield from close(True)
 
-    key = F.shiftrightunsigned("a", 24)
+    key = F.shiftrightunsigned("a", 14)
     ordered = rows.repartition(key).sortWithinPartitions("doc")
     return ordered.mapInArrow(run, "doc long, lo int, hi int, kind byte")
 
 
-def _windows_of(texts: DataFrame, width: int, chunk: int) -> DataFrame:
-    """(w, doc, lo, hi): hashes of single windows, and, without w, covered spans."""
+def _packed_columns(*columns: np.ndarray) -> bytes:
+    """Integer columns as differences, compressed: ids and places in the order of the texts take little."""
+    parts = [np.diff(c.astype(np.int64), prepend=0).tobytes() for c in columns]
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    """The n columns of _packed_columns."""
+    return list(np.frombuffer(zstandard.decompress(data), np.int64).reshape(n, -1).cumsum(1))
+
+
+def _windows_of(texts: DataFrame, width: int, chunk: int, buckets: int) -> DataFrame:
+    """(bucket, w, rest): the asked windows by bucket of their hashes, ``rest`` their packed (doc, lo); without w, covered (doc, lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -321,46 +342,80 @@ def _windows_of(texts: DataFrame, width: int, chunk: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             w, doc, lo = (np.concatenate([h[i] for h in held]) for i in range(3))
             o = np.lexsort((doc, w))
-            w, doc, lo = w[o], doc[o], lo[o]
-            new = np.append(True, w[1:] != w[:-1])
-            ask = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            new = np.append(True, w[o][1:] != w[o][:-1])
+            ask = np.empty(len(w), bool)
+            ask[o] = doc[o] == doc[o][np.flatnonzero(new)][np.cumsum(new) - 1]
             cd, cl, ch = _merged(doc[~ask], lo[~ask], lo[~ask] + width)
-            n = int(ask.sum())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(w[ask].view(np.int64)), pa.nulls(len(cd), pa.int64())]),
-                    pa.array(np.concatenate([doc[ask], cd])),
-                    pa.array(np.concatenate([lo[ask], cl]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), ch]).astype(np.int32)),
-                ],
-                names=["w", "doc", "lo", "hi"],
-            )
+            w, doc, lo = w[ask], doc[ask], lo[ask]
+            bucket = (w % _U(buckets)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(bucket[o]) != 0))
+            parts = np.split(o, cuts[1:]) if len(o) else []
+            rows = [(int(bucket[x[0]]), w[x].tobytes(), _packed_columns(doc[x], lo[x])) for x in parts]
+            return out([*rows, covered(cd, cl, ch)])
+
+        def covered(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple:
+            return (int(doc[0] % buckets) if len(doc) else 0, None, _packed_columns(doc, lo, hi))
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "w", "rest"])
 
         for batch in batches:
             spans: list[tuple] = []
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                s = asked.values
-                lo, hi, kind = (s.field(i).to_numpy() for i in range(3))
+                v = asked.values
+                lo, hi, kind = (v.field(i).to_numpy().astype(np.int64) for i in range(3))
                 c = kind == COVERED
-                spans.append((np.full(c.sum(), doc, np.int64), lo[c].astype(np.int64), hi[c].astype(np.int64)))
+                spans.append((np.full(c.sum(), doc, np.int64), lo[c], hi[c]))
                 if not c.all():
                     data = text.as_py().encode("utf-8", "surrogatepass")
-                    lo, hi = lo[~c].astype(np.int64), hi[~c].astype(np.int64)
-                    count = hi - lo + 1
+                    lo, count = lo[~c], hi[~c] - lo[~c] + 1
                     at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    at = at[at <= len(data) - width]
-                    h = window_hashes(_loads(data), len(data) - width + 1, width) if len(data) >= width else np.zeros(0, np.uint64)
+                    at = np.unique(at[at <= len(data) - width])
+                    h = window_hashes(_loads(data), len(data) - width + 1, width) if len(at) else np.zeros(0, np.uint64)
                     held.append((h[at], np.full(len(at), doc, np.int64), at))
                     size += len(at)
-            cd, cl, ch = _merged(*(np.concatenate([x[i] for x in spans]) for i in range(3)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cd), pa.int64()), pa.array(cd), pa.array(cl.astype(np.int32)), pa.array(ch.astype(np.int32))], names=["w", "doc", "lo", "hi"])
+            yield out([covered(*_merged(*(np.concatenate([x[i] for x in spans]) for i in range(3))))])
             if size >= chunk:
                 yield close()
                 held, size = [], 0
         if held:
             yield close()
 
-    return texts.mapInArrow(run, "w long, doc long, lo int, hi int")
+    return texts.mapInArrow(run, "bucket int, w binary, rest binary")
+
+
+def _judge(windows: DataFrame, width: int) -> DataFrame:
+    """(doc, lo, hi): bytes covered by windows of smaller documents, and those known before. One bucket at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+            return _batch(["doc", "lo", "hi"], doc, lo.astype(np.int32), hi.astype(np.int32))
+
+        def close() -> pa.RecordBatch:
+            w, doc, lo = (np.concatenate([h[i] for h in held]) for i in range(3))
+            o = np.lexsort((doc, w))
+            w, doc, lo = w[o], doc[o], lo[o]
+            new = np.append(True, w[1:] != w[:-1])
+            later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            return spans(*_merged(doc[later], lo[later], lo[later] + width))
+
+        for batch in batches:
+            for bucket, w, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and held:
+                    yield close()
+                    held = []
+                at = bucket
+                if w is None:
+                    yield spans(*_unpacked(rest, 3))
+                else:
+                    held.append((np.frombuffer(w, np.uint64), *_unpacked(rest, 2)))
+        if held:
+            yield close()
+
+    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, lo int, hi int")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20, batch_rows: int = 1 << 17) -> DataFrame:
@@ -368,14 +423,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
     if width < 3 * GRAM:
         raise ValueError(f"width must be {3 * GRAM} or more")
     docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
     spans = _scan_levels(_entries_of(docs, width, chunk_bytes), width, batch_rows)
-    asked = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans"))
-    texts = docs.repartition("doc_id")  # one exchange, read twice
-    some = texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc", F.coalesce("text", F.lit("")).alias("text"), "spans")
-    windows = _windows_of(some, width, 2_000_000)
-    group = Window.partitionBy(F.coalesce("w", F.xxhash64("doc", "lo")), F.col("w").isNull())
-    judged = windows.withColumn("first", F.min("doc").over(group)).where("w is null or doc > first")
-    covered = judged.select("doc", "lo", F.when(F.col("w").isNull(), F.col("hi")).otherwise(F.col("lo") + width).alias("hi"))
+    asked = stored(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans")))
+    del spans
+    release(spark)  # the entries' shuffle files
+    some = docs.where("text is not null").join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans")
+    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    covered = stored(_judge(_windows_of(some, width, 2_000_000, buckets), width))
+    release(spark, asked)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +454,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = texts.join(covered, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    last = docs.join(covered, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
     return last.mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 

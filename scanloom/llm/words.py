@@ -61,11 +61,14 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     Spark drops them when the driver's objects are collected, which on a driver with room to spare may be long after.
     """
     import gc
+    import time
 
     jvm = spark.sparkContext._jvm
     for t in tables:
         for file in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # listeners hold a step's plan for a moment after its end
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(1)
