@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
     del spans
     release(spark)  # the entries' shuffle files
     some = docs.where("text is not null").join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans")
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     covered = stored(_judge(_windows_of(some, width, 2_000_000, buckets), width))
     release(spark, asked)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
