@@ -30,14 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .quality import _P, WordHash
+from .quality import _P, _hashes  # one memo for all operators that run in a worker
 from .words import release, settle, stored
 
-_hashes = WordHash()
 SKETCH = 1 << 20
 #: Counters of the sketch travel in chunks of this size.
 CHUNK = 1 << 13
@@ -63,9 +63,9 @@ def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the set in each of 64 to 65,536 cells, two for each shingle or more."""
-    bits = 1 << min(16, max(6, math.ceil(math.log2(2 * len(s)))))
+def bitmap(s: np.ndarray, cells_each: float = 2.0) -> bytes:
+    """Parity of the set in each of 64 to 65,536 cells, ``cells_each`` for each shingle or up to twice that."""
+    bits = 1 << min(16, max(6, math.ceil(math.log2(cells_each * len(s)))))
     parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """One table of two kinds of rows: (doc, n, bits, copy_of) for each document, (doc, n, token) for each prefix shingle."""
+    """One table of two kinds of rows: (doc, n, bits, few, copy_of) for each document, (doc, n, token) for each prefix shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
-                ids, ns, bits, copies, docs_, sizes, tokens = [], [], [], [], [], [], []
+                ids, ns, bits, few, copies, docs_, sizes, tokens = [], [], [], [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text)
                     n, copy_of = len(s), None
@@ -138,6 +138,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     ids.append(doc)
                     ns.append(n)
                     bits.append(bitmap(s) if n and copy_of is None else None)
+                    few.append(bitmap(s, 0.5) if n and copy_of is None else None)
                     copies.append(copy_of)
                 k = len(ids)
                 # 40 bits of a shingle are enough to find a region; sets are compared in full.
@@ -149,13 +150,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                         pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(docs_) if docs_ else t)]),
                         pa.concat_arrays([pa.array(ns, pa.int32()), pa.array(np.concatenate(sizes) if sizes else t.astype(np.int32))]),
                         pa.concat_arrays([pa.array(bits, pa.binary()), none]),
+                        pa.concat_arrays([pa.array(few, pa.binary()), none]),
                         pa.concat_arrays([pa.array(copies, pa.int64()), pa.nulls(len(t), pa.int64())]),
                     ],
-                    names=["token", "doc", "n", "bits", "copy_of"],
+                    names=["token", "doc", "n", "bits", "few", "copy_of"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(run, "token long, doc long, n int, bits binary, copy_of long"))
+    return stored(rows.mapInArrow(run, "token long, doc long, n int, bits binary, few binary, copy_of long"))
 
 
 def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -215,26 +217,36 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = settle(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "_id"))
     packed = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(packed.value).astype(bool)
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
             b = b.filter(pa.array(bits[_cell_of(b.column(0).to_numpy())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "s"])
+            # A compressed text takes a third of its set of hashes.
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(doc: int, z: pa.Scalar) -> np.ndarray:
+            if doc not in sets:
+                if len(sets) >= 2000:
+                    sets.clear()
+                sets[doc] = shingle_set(zstandard.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
+            return sets[doc]
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                a, c = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                a, c = set_of(u, x), set_of(v, y)
                 common = len(np.intersect1d(a, c, assume_unique=True))
                 keep.append(100 * common >= percent * (len(a) + len(c) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    known = stored(texts.mapInArrow(sets, "doc long, s binary").join(wanted, F.col("doc") == F.col("_id")).select("doc", "s"))
-    left, right = known.select(F.col("doc").alias("u"), F.col("s").alias("su")), known.select(F.col("doc").alias("v"), F.col("s").alias("sv"))
-    links = settle(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long").distinct())
+    known = stored(texts.mapInArrow(packed_texts, "doc long, z binary").join(wanted, F.col("doc") == F.col("_id")).select("doc", "z"))
+    left, right = known.select(F.col("doc").alias("u"), F.col("z").alias("zu")), known.select(F.col("doc").alias("v"), F.col("z").alias("zv"))
+    links = settle(pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(compare, "u long, v long").distinct())
     release(docs.sparkSession, known)
     return links
 
@@ -312,7 +324,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, cell: int = 2048) -> DataFr
     copies = each.where("copy_of is not null and copy_of <> doc").select(F.col("copy_of").alias("u"), F.col("doc").alias("v"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     regions = stored(tokens.join(shared, "token"))
-    bits = stored(each.where("bits is not null").select(F.col("doc").alias("_d"), "bits", "n").dropDuplicates(["_d"]))
+    bits = stored(each.where("bits is not null").select(F.col("doc").alias("_d"), "bits", "few", "n").dropDuplicates(["_d"]))
     each, copies = settle(each.select("doc", "n")), settle(copies)
     release(docs.sparkSession, table)
     # The most central document of each region.
@@ -325,10 +337,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80, cell: int = 2048) -> DataFr
     star = settle(star.select(F.least("doc", "pivot").alias("u"), F.greatest("doc", "pivot").alias("v")).distinct())
     first = verify(plausible(star, bits, percent), docs, percent)
     labels = connected_components(first.union(copies)).withColumnsRenamed({"id": "_d", "component": "label"})
-    labelled = regions.join(labels, F.col("doc") == F.col("_d"), "left").select("token", "doc", "n", "m", F.coalesce("label", "doc").alias("component"))
+    # In a region of two the pivot has met the other; larger ones may hold pairs of other documents.
+    labelled = regions.where("m > 2").join(labels, F.col("doc") == F.col("_d"), "left").select("token", "doc", "n", "m", F.coalesce("label", "doc").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select(F.col("token").alias("_t"))
-    open_ = labelled.join(mixed, F.col("token") == F.col("_t")).join(bits.select("_d", "bits"), F.col("doc") == F.col("_d")).select("token", "doc", "n", "component", "bits", "m")
+    open_ = labelled.join(mixed, F.col("token") == F.col("_t")).join(bits.select("_d", F.col("few").alias("bits")), F.col("doc") == F.col("_d")).select("token", "doc", "n", "component", "bits", "m")
     rest = settle(against_bits(open_, percent, cell).join(star, ["u", "v"], "left_anti"))
+    rest = plausible(rest, bits, percent)
     links = first.union(copies)
     if not rest.isEmpty():
         links = links.union(verify(rest, docs, percent))

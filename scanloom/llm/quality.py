@@ -34,7 +34,7 @@ class WordHash(dict):
     """64-bit hashes of words, with as many kept as fit a bounded memo."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
