@@ -16,6 +16,8 @@ Defined results: null and empty texts, and texts under five words, match nothing
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +84,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
     bands_of = F.broadcast(hashed.select("license", F.col("class").alias("_class"), F.posexplode("sig").alias("_band", "_low")))
     used = sorted({r["class"] for r in known.select("class").distinct().collect()})
     marks = ", ".join(f"'{m}'" for m in MARKERS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.lower("text").rlike("licen[sc]e|released|permission|software|redistribut|permitted|source"))
+    stems = [m for m in MARKERS if not any(o != m and o in m for o in MARKERS)]
+    holds = F.exists(F.array(F.lower("text")), lambda t: reduce(or_, [t.contains(x) for x in stems]))  # lower case is made once
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(holds)
     texts = texts.select("id", F.expr(f"regexp_extract_all(lower(text), '{_WORD}', 0)").alias("w")).where(f"size(w) >= {WIDTH}")
     texts = texts.withColumn("marks", F.expr(f"filter(transform(w, (x, i) -> if(x in ({marks}), i, -1)), i -> i >= 0)")).where("size(marks) > 0")
     # Starts of a class's windows that hold a marker, on the grid of the class's steps.
@@ -97,7 +101,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
     def shingles(words: str) -> str:
         return f"transform(sequence(1, size({words}) - {WIDTH - 1}), i -> array_join(slice({words}, i, {WIDTH}), ' '))"
 
-    signed = windows.withColumn("h", F.expr(f"transform({shingles('w')}, s -> xxhash64(s))")).withColumn("sig", F.expr(signature("h", bands)))
+    # A window without any shingle of a template can't match; the few that have one are signed.
+    listed = hashed.select(F.explode(F.expr("transform(shingles, s -> xxhash64(s))")).alias("h")).distinct().collect()
+    some = ", ".join(f"{r['h']}L" for r in listed)
+    signed = windows.withColumn("h", F.expr(f"transform({shingles('w')}, s -> xxhash64(s))")).where(f"exists(h, x -> x in ({some}))").withColumn("sig", F.expr(signature("h", bands)))
     found = signed.select("id", "class", "start", "around", F.posexplode("sig").alias("band", "low")).join(
         bands_of, (F.col("class") == F.col("_class")) & (F.col("band") == F.col("_band")) & (F.col("low") == F.col("_low"))
     )
