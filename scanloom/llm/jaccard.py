@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import _P, _hashes  # one memo for all operators that run in a worker
-from .words import release, settle, stored
+from .words import release, settle, sliced, stored
 
 SKETCH = 1 << 20
 #: Counters of the sketch travel in chunks of this size.
@@ -81,7 +81,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, held, size = np.zeros(SKETCH, np.int64), [], 0
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 held.append((shingle_set(text) >> np.uint64(44)).astype(np.int64))
                 size += len(held[-1])
@@ -219,7 +219,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(packed.value).astype(bool)
-        for b in batches:
+        for b in sliced(batches):
             b = b.filter(pa.compute.is_valid(b.column(0)))
             b = b.filter(pa.array(bits[_cell_of(b.column(0).to_numpy())]))
             # A compressed text takes a third of its set of hashes.
@@ -230,12 +230,12 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
         def set_of(doc: int, z: pa.Scalar) -> np.ndarray:
             if doc not in sets:
-                if len(sets) >= 2000:
+                if len(sets) >= 500:
                     sets.clear()
                 sets[doc] = shingle_set(zstandard.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
             return sets[doc]
 
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 a, c = set_of(u, x), set_of(v, y)
@@ -277,7 +277,7 @@ def against_bits(rows: DataFrame, percent: int, cell: int) -> DataFrame:
             if len(small):
                 sides.append((big, folded(maps), small, np.frombuffer(b"".join(held[i][3] for i in small), np.uint64).reshape(-1, w // 2)))
             for a, ma, b, mb in sides:
-                step = max(1, 4_000_000 // (len(b) * mb.shape[1]))
+                step = max(1, 400_000 // (len(b) * mb.shape[1]))  # a few MB for each array of a block
                 for s in range(0, len(a), step):
                     x, mx = a[s : s + step], ma[s : s + step]
                     far = np.bitwise_count(mx[:, None, :] ^ mb[None, :, :]).sum(2, dtype=np.int64)

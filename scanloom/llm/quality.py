@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import sliced
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Scores below it reject a document. Junk scores about -0.25, clean text of the rarer languages about -0.05.
 THRESHOLD = -0.13
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, trusted_limit
                     total += np.bincount(np.concatenate(some), minlength=buckets)
                     some.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = cells(word_hashes(text)[1], buckets)
                 held[0].append(found)
@@ -141,7 +143,7 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOL
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows, scores = [], []
             for text in batch.column(1).to_pylist():
                 words, h = word_hashes(text)
@@ -177,7 +179,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([passes(t or "", shared.value, threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

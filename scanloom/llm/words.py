@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches, rows: int = 500):
+    """The same rows in small batches, so that what a task unpacks at once stays small whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the cluster's checkpoint folder, with their lineage cut.
 
