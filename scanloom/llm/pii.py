@@ -1,10 +1,10 @@
 """PII: detected entities get keyed surrogates of the same kind, script and format. Built-in functions only.
 
-A pattern finds e-mail addresses, IPv4 addresses, account and card numbers, identity numbers, phone numbers, and names after a form of
-address. The same entity (compared by its letters and digits in lower case) gets the same surrogate in every document and spelling:
+A pattern finds e-mail addresses, IPv4 addresses, account and card numbers, identity numbers, phone numbers, and names after one or more forms
+of address: any number of capitalised words, initials with a dot, and particles between them. Names without a form of address aren't found. The same entity (compared by its letters and digits in lower case) gets the same surrogate in every document and spelling:
 digits become digits, letters become letters of their script and case, separators stay; an address part stays below 256; an
-e-mail address moves to a reserved domain; a name gets a given name of the gender that the form of address tells and a surname,
-both in the script of the original.
+e-mail address moves to a reserved domain; of a name, the last word gets a surname, each word before it a given name of the gender that the forms
+of address tell, an initial another initial, all in the script of the original; particles stay.
 
 Surrogates come from a keyed SHA-512, so two entities can meet. The distinct entities of all documents are therefore held
 against each other and against all surrogates: an entity whose surrogate is taken, or is some real entity, gets its next
@@ -25,6 +25,10 @@ from .words import settle
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "Κυρία"]
 MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н", "Κύριος"]
 NEUTRAL = ["Dr", "Prof"]
+# What may stand after a form of address, between the words of a name, and after a name without being part of it.
+DEGREES = ["med", "dent", "vet", "phil", "jur", "iur", "rer", "nat", "pol", "oec", "techn", "theol", "habil", "mult", "Ing", r"h\. ?c"]
+PARTICLES = ["von", "vom", "van", "der", "den", "dem", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "le", "las", "los", "zu", "zum", "zur", "ten", "ter", "te", "af", "av", "bin", "ibn", "al", "el", "y", "e", "und"]
+SUFFIXES = ["Jr", "Sr", "II", "III", "IV", "MD", "PhD"]
 DOMAINS = ["example.com", "example.net", "example.org"]
 GIVEN = {
     ("latin", "f"): ["Alice", "Clara", "Diana", "Elena", "Hanna", "Irene", "Laura", "Nina"],
@@ -45,6 +49,12 @@ SYLLABLES = {
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _AN = r"\p{L}\p{N}"
+_TITLE = "|".join(FEMALE + MALE + NEUTRAL)
+_TITLES = rf"(?:(?:{_TITLE})\.? (?:(?:{'|'.join(DEGREES)})\. )*+)++"
+_TAIL = r"[\p{L}\p{M}'’-]"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_WORD = rf"(?!(?:{_TITLE}|{'|'.join(SUFFIXES)})(?!{_TAIL}))(?:(?:\p{{Lu}}\.-?)*+(?:[dl]['’]|[ae]l-)?+\p{{Lu}}{_TAIL}++|{_INITIALS})"
+_PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+{_WORD}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": rf"(?<![{_AN}._%+-])[{_AN}\p{{M}}._%+-]++@[{_AN}-]++(?:\.[{_AN}-]++)++",
@@ -53,11 +63,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "phone": rf"(?<![{_AN}])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]\d{{3,4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d)",
-    "name": rf"(?<![{_AN}])(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? \p{{Lu}}[\p{{L}}\p{{M}}'-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]+)?",
+    "name": rf"(?<![{_AN}]){_TITLES}{_PART}(?: {_PART})*+",
 }
 ANY = "|".join(PATTERNS.values())
 #: Every entity holds one of these, so a text without them needs no search.
-GATE = rf"@|\d[\d .()-]{{5}}|(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\.? \p{{Lu}}"
+GATE = rf"@|\d[\d .()-]{{5}}|(?:{_TITLE})\.? \p{{L}}"
 
 
 def kind_of(e: Column) -> Column:
@@ -73,8 +83,8 @@ def _plain(e: Column) -> Column:
 
 
 def person(e: Column) -> Column:
-    """The name without its form of address."""
-    return F.regexp_replace(e, r"^\S+ ", "")
+    """The name without its forms of address."""
+    return F.regexp_replace(e, f"^{_TITLES}", "")
 
 
 def canonical(kind: Column, e: Column) -> Column:
@@ -127,6 +137,47 @@ def _hash(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 512)
 
 
+def _gender(e: Column) -> Column:
+    """What the forms of address of a found name tell."""
+    title = F.regexp_extract(e, f"^{_TITLES}", 0)
+    female, male = (title.rlike(rf"(?<!\S)(?:{'|'.join(t)})[. ]") for t in (FEMALE, MALE))
+    return F.when(female, "f").when(male, "m").otherwise("n")
+
+
+def _is_initial(w: Column) -> Column:
+    return w.rlike(f"^{_INITIALS}$")
+
+
+def _is_word(w: Column) -> Column:
+    return w.rlike(r"\p{Lu}") & ~_is_initial(w)
+
+
+def _surname_of(parts: Column) -> Column:
+    """The last word of a name's parts; null where there are only initials."""
+    return F.try_element_at(F.filter(parts, _is_word), F.lit(-1))
+
+
+def _name(key: str, e: Column, attempt: Column) -> Column:
+    """Each part by itself, so that a surname alone is the surname of the full name."""
+    parts, gender = F.split(person(e), " "), _gender(e)
+    last = F.array_position(F.reverse(parts), _surname_of(parts))  # counted from the end
+
+    def surname(w: Column, script: str) -> Column:  # a syllable more with each attempt: there is always a free one
+        h = _hash(key, F.lit("surname"), F.lower(w), attempt)
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(SYLLABLES[script], _byte(h, i))), ""))
+
+    def given(w: Column, script: str) -> Column:
+        b = _byte(_hash(key, F.lit("given"), F.lower(w), attempt), 0)
+        return F.when(gender == "f", _pick(GIVEN[script, "f"], b)).when(gender == "m", _pick(GIVEN[script, "m"], b)).otherwise(_pick(GIVEN[script, "n"], b))
+
+    def one(w: Column, i: Column) -> Column:
+        initial = _overlay(w, _letters(_plain(w), _hash(key, F.lit("initial"), F.lower(w), attempt)))
+        word = F.when(F.size(parts) - i == last, _by_script(w, lambda s: surname(w, s))).otherwise(_by_script(w, lambda s: given(w, s)))
+        return F.when(_is_initial(w), initial).when(_is_word(w), word).otherwise(w)
+
+    return F.concat(F.regexp_extract(e, f"^{_TITLES}", 0), F.array_join(F.transform(parts, one), " "))
+
+
 def surrogate(key: str, kind: Column, e: Column, attempt: Column) -> Column:
     """The surrogate of a found entity, in its format."""
     canon = canonical(kind, e)
@@ -137,21 +188,7 @@ def surrogate(key: str, kind: Column, e: Column, attempt: Column) -> Column:
     code = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .(-])|[A-Z]{2}(?=\d{2}))", 1)  # a country stays
     rest = F.substring(e, F.length(code) + 1, F.length(e))
     number = F.concat(code, _overlay(rest, _letters(_plain(rest), h)))
-    # Names: each part by itself, so that a surname alone is the surname of the full name.
-    title = F.regexp_extract(e, r"^\S+", 0)
-    parts = F.split(person(e), " ")
-    surname_h = _hash(key, F.lit("surname"), F.lower(F.element_at(parts, -1)), attempt)
-    bare = F.regexp_replace(title, r"\.$", "")
-
-    def given(script: str) -> Column:
-        b = _byte(_hash(key, F.lit("given"), F.lower(F.element_at(parts, 1)), attempt), 0)
-        return F.when(bare.isin(FEMALE), _pick(GIVEN[script, "f"], b)).when(bare.isin(MALE), _pick(GIVEN[script, "m"], b)).otherwise(_pick(GIVEN[script, "n"], b))
-
-    def surname(script: str) -> Column:  # a syllable more with each attempt: there is always a free one
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(SYLLABLES[script], _byte(surname_h, i))), ""))
-
-    name = F.concat(title, F.lit(" "), _by_script(e, lambda s: F.concat(F.when(F.size(parts) > 1, F.concat(given(s), F.lit(" "))).otherwise(""), surname(s))))
-    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "name", name).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "name", _name(key, e, attempt)).otherwise(number)
 
 
 def entities(text: Column) -> Column:

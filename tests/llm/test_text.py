@@ -147,6 +147,25 @@ def test_pii_keeps_entities_apart_and_columns(spark, docs, empty):
     assert pii.replace_pii(empty).count() == 0
 
 
+def test_pii_names_of_any_length(spark):
+    texts = [
+        "Dr. Anna Maria Keller spoke.",
+        "Then Herr Dr. Müller and Prof. Dr. Weber came, with Frau Prof. Dr. med. Eva Keller.",
+        "Mr J. Smith and Mr J.R. Smith and Mr. John Ronald Reuel Tolkien Smith saw Dr Smith Mrs Jones.",
+        "Herr von Berg, Señora Maria de la Cruz, Mr O’Brien Jr. and Mr J.Doyle",
+    ]
+    out = {r["doc_id"]: r for r in pii.op2_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    everything = " ".join(out[i]["text"] for i in range(4))
+    for name in ("Anna", "Maria", "Keller", "Müller", "Weber", "Eva", "Smith", "J.", "John", "Ronald", "Reuel", "Tolkien", "Jones", "Berg", "Cruz", "O’Brien", "Doyle"):
+        assert not re.search(rf"(?<!\w){re.escape(name)}", everything), name
+    assert [out[i]["n_entities"] for i in range(4)] == [1, 3, 5, 4]
+    keller = re.fullmatch(r"Dr\. \w+ \w+ (\w+) spoke\.", out[0]["text"])
+    assert re.fullmatch(r"Then Herr Dr\. \w+ and Prof\. Dr\. \w+ came, with Frau Prof\. Dr\. med\. \w+ (\w+)\.", out[1]["text"])[1] == keller[1]
+    smith = re.fullmatch(r"Mr [A-Z]\. (\w+) and Mr [A-Z]\.[A-Z]\. (\w+) and Mr\. \w+ \w+ \w+ \w+ (\w+) saw Dr (\w+) Mrs \w+\.", out[2]["text"])
+    assert len(set(smith.groups())) == 1
+    assert re.fullmatch(r"Herr von \w+, Señora \w+ de la \w+, Mr \w+ Jr\. and Mr \w+", out[3]["text"])
+
+
 def test_pii_plan_is_native(docs):
     plan = pii.replace_pii(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
