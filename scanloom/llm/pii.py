@@ -4,11 +4,16 @@ A pattern finds e-mail addresses, IPv4 addresses, account and card numbers, iden
 of address: any number of capitalised words, initials with a dot, and particles between them. Names without a form of address aren't found. The same entity (compared by its letters and digits in lower case) gets the same surrogate in every document and spelling:
 digits become digits, letters become letters of their script and case, separators stay; an address part stays below 256; an
 e-mail address moves to a reserved domain; of a name, the last word gets a surname, each word before it a given name of the gender that the forms
-of address tell, an initial another initial, all in the script of the original; particles stay.
+of address tell, an initial another initial, all in the script of the original; particles stay. What differs between spellings of one entity is
+taken from all of them or from its letters and digits: the country code is the one that its digits begin with, the gender the one that any form of
+address tells (neutral where two contradict).
 
 Surrogates come from a keyed SHA-512, so two entities can meet. The distinct entities of all documents are therefore held
 against each other and against all surrogates: an entity whose surrogate is taken, or is some real entity, gets its next
-surrogate, until none is left. Only those few exceptions are joined to the documents, and only where there are any.
+surrogate, until none is left; it is an error if they don't get fewer. Each attempt has more values: longer local parts and more hosts, longer
+surnames, double given names, more initials; numbers keep their format and are drawn again. Surnames are settled first, as entities of their own, and
+full names keep them, so only the other parts of a full name move. Only those few exceptions, and names whose forms of address differ, are joined to
+the documents, and only where there are any.
 
 Defined results: a null text stays null, an empty one empty, both with 0 entities; repeated rows get the same text; other columns
 are kept as they are. Texts are never shuffled unless exceptions exist, and then once, by row identity.
@@ -46,6 +51,8 @@ SYLLABLES = {
     "cyrillic": ["ба", "вер", "гор", "дан", "зим", "кол", "лин", "мар", "нов", "пет", "рос", "сим", "тан", "фед", "хар", "чер"],
     "greek": ["βα", "γορ", "δημ", "ζαν", "θεο", "καλ", "λιν", "μαρ", "νικ", "παπ", "ροδ", "σιμ", "ταν", "φιλ", "χαρ", "ψαλ"],
 }
+#: Country codes; no code begins with another.
+COUNTRY = r"(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _AN = r"\p{L}\p{N}"
@@ -78,6 +85,11 @@ def kind_of(e: Column) -> Column:
     return out.when(e.rlike(r"^[+(\d]"), "phone").otherwise("name")
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once and its expression written once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _plain(e: Column) -> Column:
     return F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
 
@@ -89,7 +101,13 @@ def person(e: Column) -> Column:
 
 def canonical(kind: Column, e: Column) -> Column:
     """What tells entities of a kind apart."""
-    return F.when(kind == "name", F.lower(person(e))).when(kind.isin("email", "ipv4"), F.lower(e)).otherwise(_plain(e))
+    plus = F.when(e.startswith("+"), "+").otherwise("")
+    return F.when(kind == "name", F.lower(person(e))).when(kind.isin("email", "ipv4"), F.lower(e)).otherwise(F.concat(plus, _plain(e)))
+
+
+def surname(kind: Column, e: Column) -> Column:
+    """The canonical form of a name's surname alone; null for other kinds and where there are only initials."""
+    return F.when(kind == "name", F.lower(_surname_of(F.split(person(e), " "))))
 
 
 def _byte(h: Column, i) -> Column:
@@ -157,38 +175,69 @@ def _surname_of(parts: Column) -> Column:
     return F.try_element_at(F.filter(parts, _is_word), F.lit(-1))
 
 
-def _name(key: str, e: Column, attempt: Column) -> Column:
-    """Each part by itself, so that a surname alone is the surname of the full name."""
-    parts, gender = F.split(person(e), " "), _gender(e)
-    last = F.array_position(F.reverse(parts), _surname_of(parts))  # counted from the end
+def _name(key: str, e: Column, attempt: Column, base: Column, gender: Column) -> Column:
+    """Each part by itself, so that a surname alone is the surname of the full name. ``base``: the surname's attempt."""
+    return _let(F.split(person(e), " "), lambda parts: _let(F.array_position(F.reverse(parts), _surname_of(parts)), lambda last: _parts(key, e, parts, last, attempt, base, gender)))
+
+
+def _parts(key: str, e: Column, parts: Column, last: Column, attempt: Column, base: Column, gender: Column) -> Column:
+    """The forms of address of ``e`` and a surrogate for each of ``parts``; ``last`` is the surname's place from the end."""
 
-    def surname(w: Column, script: str) -> Column:  # a syllable more with each attempt: there is always a free one
-        h = _hash(key, F.lit("surname"), F.lower(w), attempt)
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: _pick(SYLLABLES[script], _byte(h, i))), ""))
+    def family(w: Column) -> Column:  # a syllable more with each attempt: there is always a free one
+        make = lambda h: _by_script(w, lambda s: F.array_join(F.transform(F.sequence(F.lit(1), base + 4), lambda i: _pick(SYLLABLES[s], _byte(h, i))), ""))
+        return F.initcap(_let(_hash(key, F.lit("surname"), F.lower(w), base), make))
 
-    def given(w: Column, script: str) -> Column:
-        b = _byte(_hash(key, F.lit("given"), F.lower(w), attempt), 0)
-        return F.when(gender == "f", _pick(GIVEN[script, "f"], b)).when(gender == "m", _pick(GIVEN[script, "m"], b)).otherwise(_pick(GIVEN[script, "n"], b))
+    def given(w: Column) -> Column:  # a double name from the second attempt on, two syllables more with each
+        def make(h: Column) -> Column:
+            def of(s: str) -> Column:
+                b = _byte(h, 0)
+                first = F.when(gender == "f", _pick(GIVEN[s, "f"], b)).when(gender == "m", _pick(GIVEN[s, "m"], b)).otherwise(_pick(GIVEN[s, "n"], b))
+                second = F.array_join(F.transform(F.sequence(F.lit(1), attempt * 2), lambda i: _pick(SYLLABLES[s], _byte(h, i))), "")
+                return F.when(attempt > 0, F.concat(first, F.lit("-"), F.initcap(second))).otherwise(first)
+
+            return _by_script(w, of)
+
+        return _let(_hash(key, F.lit("given"), F.lower(w), attempt), make)
+
+    def initial(w: Column) -> Column:  # an initial more with each attempt
+        def make(h: Column) -> Column:
+            letter = lambda i: F.concat(_by_script(w, lambda s: F.upper(_pick(list(LETTERS[s]), _byte(h, i + 8)))), F.lit("."))
+            more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), letter), "")).otherwise("")
+            return F.concat(_overlay(w, _letters(_plain(w), h)), more)
+
+        return _let(_hash(key, F.lit("initial"), F.lower(w), attempt), make)
 
     def one(w: Column, i: Column) -> Column:
-        initial = _overlay(w, _letters(_plain(w), _hash(key, F.lit("initial"), F.lower(w), attempt)))
-        word = F.when(F.size(parts) - i == last, _by_script(w, lambda s: surname(w, s))).otherwise(_by_script(w, lambda s: given(w, s)))
-        return F.when(_is_initial(w), initial).when(_is_word(w), word).otherwise(w)
+        word = F.when(F.size(parts) - i == last, family(w)).otherwise(given(w))
+        return F.when(_is_initial(w), initial(w)).when(_is_word(w), word).otherwise(w)
 
     return F.concat(F.regexp_extract(e, f"^{_TITLES}", 0), F.array_join(F.transform(parts, one), " "))
 
 
-def surrogate(key: str, kind: Column, e: Column, attempt: Column) -> Column:
-    """The surrogate of a found entity, in its format."""
-    canon = canonical(kind, e)
-    h = _hash(key, kind, canon, attempt)
+def surrogate(key: str, kind: Column, e: Column, attempt: Column, base: Column, gender: Column) -> Column:
+    """The surrogate of a found entity, in its format: the same value for all spellings of one canonical form.
+
+    ``base`` and ``gender``, for names: the attempt of the surname, and the gender that all spellings tell together.
+    """
+    known = F.struct(kind.alias("k"), e.alias("e"), canonical(kind, e).alias("canon"), attempt.alias("attempt"), base.alias("base"), gender.alias("gender"))
+
+    def hashed(x: Column) -> Column:
+        return _let(F.when(x["k"] != "name", _hash(key, x["k"], x["canon"], x["attempt"])), lambda h: _surrogate(key, x["k"], x["e"], x["canon"], h, x["attempt"], x["base"], x["gender"]))
+
+    return _let(known, hashed)
+
+
+def _surrogate(key: str, kind: Column, e: Column, canon: Column, h: Column, attempt: Column, base: Column, gender: Column) -> Column:
     local = F.substring_index(e, "@", 1)
-    email = F.concat(_overlay(local, _letters(_plain(local), h)), F.lit("@"), _pick(DOMAINS, _byte(h, 63)))
+    letter = lambda i: _by_script(local, lambda s: _pick(list(LETTERS[s]), _byte(h, i + 40)))
+    more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), letter), "")).otherwise("")
+    host = F.when(attempt > 0, F.concat(F.lit("mail"), _byte(h, 62).cast("string"), F.lit("."))).otherwise("")
+    email = F.concat(_overlay(local, _letters(_plain(local), h)), more, F.lit("@"), host, _pick(DOMAINS, _byte(h, 63)))
     ipv4 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(h, i).cast("string")), ".")
-    code = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .(-])|[A-Z]{2}(?=\d{2}))", 1)  # a country stays
-    rest = F.substring(e, F.length(code) + 1, F.length(e))
-    number = F.concat(code, _overlay(rest, _letters(_plain(rest), h)))
-    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "name", _name(key, e, attempt)).otherwise(number)
+    plain = _plain(e)
+    code = F.when(kind == "iban", F.substring(plain, 1, 2)).otherwise(F.regexp_extract(canon, rf"^\+({COUNTRY})", 1))  # a country stays
+    number = _overlay(e, F.concat(code, _letters(F.substring(plain, F.length(code) + 1, F.length(plain)), h)))
+    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "name", _name(key, e, attempt, base, gender)).otherwise(number)
 
 
 def entities(text: Column) -> Column:
@@ -197,20 +246,48 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
 
 
-def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """(kind, canon, attempt) of the entities that can't have their first surrogate. ``found``: (kind, e), distinct."""
-    known = found.groupBy("kind", "canon").agg(F.min("e").alias("e")).withColumn("attempt", F.lit(0))
-    now = settle(known.withColumn("new", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("e"), F.col("attempt")))))
+def _settled(known: DataFrame, key: str, rounds: int) -> DataFrame:
+    """``known`` (kind, canon, e, gender, mixed, base) with the attempt at which each has a surrogate of its own.
+
+    ``base`` is null where the attempt is also the surname's. ``rounds``: that many in a row may leave as many without one.
+    """
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        kind, attempt = F.col("kind"), F.col("attempt")
+        return settle(rows.withColumn("new", canonical(kind, surrogate(key, kind, F.col("e"), attempt, F.coalesce("base", attempt), F.col("gender")))))
+
+    now = drawn(known.withColumn("attempt", F.lit(0)))
     real = now.select(F.col("kind").alias("_k"), F.col("canon").alias("_c"))
-    for _ in range(rounds):
+    least, idle = None, 0
+    while True:
         rank = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "canon"))
         marked = now.withColumn("rank", rank).join(real, (F.col("kind") == F.col("_k")) & (F.col("new") == F.col("_c")), "left")
         marked = settle(marked.withColumn("bad", (F.col("rank") > 1) | F.col("_c").isNotNull()).drop("rank", "_k", "_c"))
-        if marked.where("bad").isEmpty():
-            break
-        moved = marked.withColumn("attempt", F.col("attempt") + F.col("bad").cast("int")).drop("bad", "new")
-        now = settle(moved.withColumn("new", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("e"), F.col("attempt")))))
-    return now.where("attempt > 0").select("kind", "canon", "attempt")
+        bad = marked.where("bad").count()
+        if not bad:
+            return now.drop("new")
+        least, idle = (bad, 0) if least is None or bad < least else (least, idle + 1)
+        if idle >= rounds:
+            raise RuntimeError(f"surrogates did not settle: {bad} entities have none of their own")
+        now = drawn(marked.withColumn("attempt", F.col("attempt") + F.col("bad").cast("int")).drop("bad", "new"))
+
+
+def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+    """(kind, canon, attempt, gender) of the entities that can't have their first surrogate, or whose spellings tell different
+    genders. ``found``: (kind, e, canon), distinct."""
+    own = F.when(F.col("kind") == "name", _gender(F.col("e")))
+    told = found.withColumn("own", own).groupBy("kind", "canon").agg(F.min("e").alias("e"), F.min("own").alias("lo"), F.max("own").alias("hi"), F.max(F.col("own") == "f").alias("f"), F.max(F.col("own") == "m").alias("m"))
+    gender = F.when(F.col("kind") == "name", F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n"))
+    known = told.withColumn("surname", surname(F.col("kind"), F.col("e")))
+    known = settle(known.select("kind", "canon", "e", gender.alias("gender"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("mixed"), "surname"))
+    full = (F.col("kind") == "name") & (F.col("surname").isNull() | (F.col("surname") != F.col("canon")))
+    # Surnames of full names count as found by themselves.
+    alone = known.where(full & F.col("surname").isNotNull()).select("kind", F.col("surname").alias("canon"), _surname_of(F.split(person(F.col("e")), " ")).alias("e"))
+    first = known.where(~full).select("kind", "canon", "e").union(alone).groupBy("kind", "canon").agg(F.min("e").alias("e"))
+    first = _settled(first.select("*", F.lit("n").alias("gender"), F.lit(False).alias("mixed"), F.lit(None).cast("int").alias("base")), key, rounds)
+    at = first.where((F.col("kind") == "name") & (F.col("attempt") > 0)).select(F.col("canon").alias("surname"), F.col("attempt").alias("base"))
+    names = known.where(full).join(at, "surname", "left").select("kind", "canon", "e", "gender", "mixed", F.coalesce("base", F.lit(0)).alias("base"))
+    return first.unionByName(_settled(names, key, rounds)).where("attempt > 0 or mixed").select("kind", "canon", "attempt", "gender")
 
 
 def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
@@ -221,20 +298,24 @@ def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id"
     moved = exceptions(found, key)
     names = docs.columns
     if moved.isEmpty():
-        work = docs.withColumn("__pii_moved", F.lit(None).cast("map<string,int>"))
+        work = docs.withColumn("__pii_moved", F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
     else:
         seen = docs.select(F.col(id_col).alias("_id"), e).withColumn("kind", kind_of(F.col("e")))
-        seen = seen.withColumn("canon", canonical(F.col("kind"), F.col("e"))).join(moved, ["kind", "canon"])
-        per = seen.select("_id", F.concat_ws("\x1f", "kind", "canon").alias("k"), "attempt").distinct()
-        per = per.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__pii_moved"))
+        forms = F.array_distinct(F.array_compact(F.array(canonical(F.col("kind"), F.col("e")), surname(F.col("kind"), F.col("e")))))
+        seen = seen.select("_id", "kind", F.explode(forms).alias("canon")).join(moved, ["kind", "canon"])
+        per = seen.select("_id", F.concat_ws("\x1f", "kind", "canon").alias("k"), F.struct("attempt", "gender").alias("v")).distinct()
+        per = per.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__pii_moved"))
         per = per.withColumnRenamed("_id", "__pii_id")
         work = docs.join(per, docs[id_col].eqNullSafe(F.col("__pii_id")), "left").drop("__pii_id")
 
     def new(x: Column) -> Column:
         def of(y: Column) -> Column:  # y: kind and text, so that the kind is found once
             k, t = y["k"], y["e"]
-            attempt = F.coalesce(F.element_at(F.col("__pii_moved"), F.concat_ws("\x1f", k, canonical(k, t))), F.lit(0))
-            return surrogate(key, k, t, attempt)
+            moved_to = lambda canon: F.element_at(F.col("__pii_moved"), F.concat_ws("\x1f", k, canon))
+            own, told, none = moved_to(canonical(k, t)), _gender(t), F.col("__pii_moved").isNull()
+            attempt = F.when(none, 0).otherwise(F.coalesce(own["attempt"], F.lit(0)))
+            base = F.when(none, 0).otherwise(F.coalesce(moved_to(surname(k, t))["attempt"], F.lit(0)))
+            return surrogate(key, k, t, attempt, base, F.when(none, told).otherwise(F.coalesce(own["gender"], told)))
 
         return F.element_at(F.transform(F.array(F.struct(kind_of(x).alias("k"), x.alias("e"))), of), 1)
 

@@ -166,6 +166,31 @@ def test_pii_names_of_any_length(spark):
     assert re.fullmatch(r"Herr von \w+, Señora \w+ de la \w+, Mr \w+ Jr\. and Mr \w+", out[3]["text"])
 
 
+def test_pii_surrogates_are_distinct_and_the_same_for_all_spellings(spark):
+    rows = [f"hr@h{i}.example" for i in range(2500)] + [f"x@h{i}.example" for i in range(100)]
+    rows += [f"Mr {chr(65 + i % 26)}{'aeiou'[i // 26 % 5]}{'bcdfg'[i // 130 % 5]} Lee" for i in range(300)]
+    rows += [f"Mr {chr(65 + i)}. Lee" for i in range(26)]
+    same = ["+1 555-123-4567", "+15551234567", "+1 (555) 123 4567", "Dr Anna Lee", "Mrs Anna Lee", "Prof. Dr. Anna Lee", "Dr Lee"]
+    docs = spark.createDataFrame(list(enumerate(rows + same)), "doc_id long, text string")
+    out = [r["text"] for r in sorted(pii.op2_pii(docs).collect(), key=lambda r: r["doc_id"])]
+    new, (p, q, r, a, b, c, lee) = out[: len(rows)], out[len(rows) :]
+    assert len(set(new)) == len(rows) and not set(new) & set(rows)
+    assert all(re.fullmatch(r"[a-z]+@([a-z0-9]+\.)?example\.(com|net|org)", x) for x in new[:2600])
+    digits = {re.sub(r"\D", "", x) for x in (p, q, r)}
+    assert len(digits) == 1 and digits != {"15551234567"} and min(digits)[0] == "1"
+    assert re.fullmatch(r"\+1 \d{3}-\d{3}-\d{4}", p) and re.fullmatch(r"\+\d{11}", q) and re.fullmatch(r"\+1 \(\d{3}\) \d{3} \d{4}", r)
+    anna = {x.removeprefix(t) for x, t in ((a, "Dr "), (b, "Mrs "), (c, "Prof. Dr. "))}
+    assert len(anna) == 1 and re.split("[ -]", *anna)[0] in pii.GIVEN["latin", "f"]
+    assert {x.split(" ")[-1] for x in [*new[2600:], a, lee]} == {lee.split(" ")[1]}
+
+
+def test_pii_raises_where_no_surrogate_is_free(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda *_: F.lit("a@example.com"))
+    docs = spark.createDataFrame([(1, "b@h.example c@h.example")], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        pii.exceptions(docs.select(F.explode(pii.entities(F.col("text"))).alias("e")).select(F.lit("email").alias("kind"), "e", F.col("e").alias("canon")), "k", rounds=2)
+
+
 def test_pii_plan_is_native(docs):
     plan = pii.replace_pii(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
