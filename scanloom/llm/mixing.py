@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import WORD, settle, word_count
+from .words import WORD, settle, stored, word_count
 
 #: Weights of the sources by code point of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -83,21 +83,22 @@ def mix(
     block_words: int = 32,
     shard_words: int = 2_000_000,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id_col, size, source, source_size, target, taken, skip, extra) of every document.
 
     ``taken`` words: the whole document ``(taken - extra) / size`` times and ``extra`` words more from word ``skip`` on
-    (counted on around the document's end).
+    (counted on around the document's end). ``row_col``: an identity of the rows, carried into the result.
     """
     spark = docs.sparkSession
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("again")] if row_col else [])))
     targets = source_targets(rows, weights, cap).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     # One row a source, then one a shard: small lists by construction (a shard has about shard_words words).
     by_source = sorted(targets.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sources = spark.createDataFrame(by_source, targets.schema)
     place = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("source"), F.col("size"))
     dealt = (
-        rows.withColumn("again", F.monotonically_increasing_id())
+        (rows if row_col else rows.withColumn("again", F.monotonically_increasing_id()))
         .withColumnRenamed("source", "_s")
         .join(sources, F.col("_s").eqNullSafe(F.col("source")))
         .drop("_s")
@@ -142,6 +143,7 @@ def mix(
         (F.col("rounds") * F.col("size") + first + wrapped).cast("long").alias("taken"),
         skip.cast("long").alias("skip"),
         (first + wrapped).cast("long").alias("extra"),
+        *([F.col("again").alias(row_col)] if row_col else []),
     )
 
 
@@ -151,16 +153,17 @@ def op6_mixing(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in the columns of ``docs``: each document as often as it is taken whole, and once more cut to its
-    extra words. Rows are joined to the plan by id, which must be unique."""
+    extra words. Rows are numbered, written once with their numbers and joined to the plan by them, so ids may be null or repeat."""
     names = docs.columns
-    taken = ("doc_id", "size", "taken", "skip", "extra")
-    plan = mix(docs, **how).where("taken > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in taken])
-    size, whole_words, skip, extra = (F.col(f"__mix_{c}") for c in taken[1:])
+    rows = stored(docs.withColumn("__mix_row", F.monotonically_increasing_id()))
+    taken = ("size", "taken", "skip", "extra")
+    plan = mix(rows, row_col="__mix_row", **how).where("taken > 0").select(F.col("__mix_row").alias("__mix_of"), *[F.col(c).alias(f"__mix_{c}") for c in taken])
+    size, whole_words, skip, extra = (F.col(f"__mix_{c}") for c in taken)
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     whole = ((whole_words - extra) / size).cast("int")
     none = F.array().cast("array<boolean>")
     pieces = F.concat(F.when(whole > 0, F.array_repeat(F.lit(False), whole)).otherwise(none), F.when(extra > 0, F.array(F.lit(True))).otherwise(none))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__mix_doc_id"))).withColumn("__mix_cut", F.explode(pieces))
+    out = rows.join(plan, F.col("__mix_row") == F.col("__mix_of")).withColumn("__mix_cut", F.explode(pieces))
     twice = F.concat(words, words)  # the extra words go on at the document's start
     cut = F.array_join(F.slice(twice, skip.cast("int") + 1, extra.cast("int")), " ")
     out = out.withColumn("text", F.when(F.col("__mix_cut"), cut).otherwise(F.col("text")))

@@ -10,11 +10,11 @@ A query first searches the cell of its own key, which gives the k-th best score
 inequality only annuli within that radius of its distance to a pivot can hold better vectors; it visits the cells, and in them the blocks, that
 meet them. Queries travel in batches of ``batch`` and are scored against blocks with one matrix product.
 
-Of equal vectors only the k + 1 smallest ids can be among anybody's k best, so the others aren't indexed: no loss, and a
+Of equal vectors only the k + 1 smallest ids, each on k rows at most, can be among anybody's k best, so the others aren't indexed: no loss, and a
 very common vector doesn't grow a cell.
 
 Defined results: vectors that are null or hold nulls or non-finite components, and rows without id, take no part; shorter vectors are
-filled up with zeros; a query doesn't find its own id; ties go to the smaller id; an empty table has no results.
+filled up with zeros; a query doesn't find its own id; an id that stands on several rows is found once for each of them; ties go to the smaller id; an empty table has no results.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def search(
             yield close(held)
 
     copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    indexed = rows.select("vec_id", "v").withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy")
+    ids = rows.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    indexed = ids.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("col")
     keyed = "vec_id long, x binary, pivot int, r double"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = indexed.mapInArrow(key, keyed).repartitionByRange(n, "pivot", "r", "vec_id").sortWithinPartitions("pivot", "r", "vec_id")

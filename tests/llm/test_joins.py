@@ -36,6 +36,14 @@ def test_topk_against_brute_force(spark):
     assert set(got) == {i for i in ok if i % 20 == 0}
 
 
+def test_topk_with_repeated_and_null_ids(spark):
+    rows = [(20, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(21, 30)] + [(31, [0.5, 0.5])] * 30 + [(None, [1.0, 1.0])] * 30
+    got = topk.op1_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    score = 2 * 64 * 64
+    want = [(20, k + 1, i, score) for k, i in enumerate(range(21, 30))] + [(20, k, 31, score // 2) for k in range(10, 21)]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_topk_few_and_none(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.op1_topk(one).collect()] == [(0, 1, 1, 64 * 32 - 128 * 64)]

@@ -246,6 +246,21 @@ def test_mixed_documents_have_the_taken_words(spark, docs):
     assert got == want
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    rows = [(None if i < 30 else 7 if i < 60 else i, " ".join(f"w{i}x{k}" for k in range(20 + i)), ["s0", "s1", "s2"][i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, got = {}, {}
+    for r in mixing.op6_mixing(docs).collect():
+        want[r["size"]] = r["taken"]  # each row has a size of its own
+    for r in mixing.mixed_documents(docs).collect():
+        owner = {w.split("x")[0] for w in words(r["text"])}
+        assert len(owner) == 1
+        i = int(owner.pop()[1:])
+        assert r["doc_id"] == rows[i][0] and r["source"] == rows[i][2]
+        got[20 + i] = got.get(20 + i, 0) + len(words(r["text"]))
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
