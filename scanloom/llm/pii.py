@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import settle
+from .words import stored
 
 # Forms of address by gender, reserved domains, given names and parts of surnames by script and gender.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "Κυρία"]
@@ -254,7 +254,7 @@ def _settled(known: DataFrame, key: str, rounds: int) -> DataFrame:
 
     def drawn(rows: DataFrame) -> DataFrame:
         kind, attempt = F.col("kind"), F.col("attempt")
-        return settle(rows.withColumn("new", canonical(kind, surrogate(key, kind, F.col("e"), attempt, F.coalesce("base", attempt), F.col("gender")))))
+        return stored(rows.withColumn("new", canonical(kind, surrogate(key, kind, F.col("e"), attempt, F.coalesce("base", attempt), F.col("gender")))))
 
     now = drawn(known.withColumn("attempt", F.lit(0)))
     real = now.select(F.col("kind").alias("_k"), F.col("canon").alias("_c"))
@@ -262,7 +262,7 @@ def _settled(known: DataFrame, key: str, rounds: int) -> DataFrame:
     while True:
         rank = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "canon"))
         marked = now.withColumn("rank", rank).join(real, (F.col("kind") == F.col("_k")) & (F.col("new") == F.col("_c")), "left")
-        marked = settle(marked.withColumn("bad", (F.col("rank") > 1) | F.col("_c").isNotNull()).drop("rank", "_k", "_c"))
+        marked = stored(marked.withColumn("bad", (F.col("rank") > 1) | F.col("_c").isNotNull()).drop("rank", "_k", "_c"))
         bad = marked.where("bad").count()
         if not bad:
             return now.drop("new")
@@ -279,7 +279,7 @@ def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     told = found.withColumn("own", own).groupBy("kind", "canon").agg(F.min("e").alias("e"), F.min("own").alias("lo"), F.max("own").alias("hi"), F.max(F.col("own") == "f").alias("f"), F.max(F.col("own") == "m").alias("m"))
     gender = F.when(F.col("kind") == "name", F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n"))
     known = told.withColumn("surname", surname(F.col("kind"), F.col("e")))
-    known = settle(known.select("kind", "canon", "e", gender.alias("gender"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("mixed"), "surname"))
+    known = stored(known.select("kind", "canon", "e", gender.alias("gender"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("mixed"), "surname"))
     full = (F.col("kind") == "name") & (F.col("surname").isNull() | (F.col("surname") != F.col("canon")))
     # Surnames of full names count as found by themselves.
     alone = known.where(full & F.col("surname").isNotNull()).select("kind", F.col("surname").alias("canon"), _surname_of(F.split(person(F.col("e")), " ")).alias("e"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import sliced
+from .words import sliced, small_batches
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Scores below it reject a document. Junk scores about -0.25, clean text of the rarer languages about -0.05.
@@ -174,15 +174,14 @@ def passes(text: str, ratio: np.ndarray, threshold: float) -> bool:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that the rules keep: a narrow filter."""
+    """The rows of ``docs``, with all columns, that the rules keep. Only texts go to the workers, and one boolean a row comes back."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield batch.filter(pa.array([passes(t or "", shared.value, threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def keep(texts: pa.Array) -> pa.Array:
+        return pa.array([passes(t or "", shared.value, threshold) for i in range(0, len(texts), 500) for t in texts.slice(i, 500).to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col(text_col)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

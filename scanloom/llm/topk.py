@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import settle
+from .words import stored
 
 
 def scaled(embedding: Column, scale: int = 64) -> Column:
@@ -112,7 +112,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of every query among (vec_id, v) with v an array of longs."""
     spark = vectors.sparkSession
-    rows = settle(vectors.where("v is not null and vec_id is not null"))
+    rows = stored(vectors.where("v is not null and vec_id is not null"))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     schema = "query_id long, rank int, vec_id long, score long"
     if not some:
@@ -156,11 +156,11 @@ def search(
     keyed = "vec_id long, x binary, pivot int, r double"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = indexed.mapInArrow(key, keyed).repartitionByRange(n, "pivot", "r", "vec_id").sortWithinPartitions("pivot", "r", "vec_id")
-    blocks = settle(ordered.mapInArrow(cut, "cell long, pivot int, lo double, hi double, ids binary, xs binary"))
+    blocks = stored(ordered.mapInArrow(cut, "cell long, pivot int, lo double, hi double, ids binary, xs binary"))
     bounds = blocks.groupBy("cell", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("cell").collect()
     cells = spark.sparkContext.broadcast({c: np.array([r[c] for r in bounds]) for c in ("cell", "pivot", "lo", "hi")})
     queries = rows.where(is_query).select("vec_id", "v").distinct().mapInArrow(key, keyed)
-    queries = settle(queries.repartitionByRange(n, "pivot", "r", "vec_id").sortWithinPartitions("pivot", "r"))
+    queries = stored(queries.repartitionByRange(n, "pivot", "r", "vec_id").sortWithinPartitions("pivot", "r"))
 
     def visits(home: bool):
         """Batches of queries for the cells that they must search: the cell of their key, or all within their radius."""
@@ -208,7 +208,7 @@ def search(
         return pairs.mapInArrow(score, "query_id long, vec_id long, score long").withColumn("rank", top).where(F.col("rank") <= k)
 
     start = found(queries.withColumn("least", F.lit(int(_LEAST)).cast("long")), True)
-    kth = settle(start.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("least")))
+    kth = stored(start.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("least")))
     known = queries.join(kth, F.col("vec_id") == F.col("_q"), "left").drop("_q")
     known = known.withColumn("least", F.coalesce("least", F.lit(int(_LEAST)).cast("long"))).repartitionByRange(n, "pivot", "r", "vec_id")
     return found(known, False).select("query_id", "rank", "vec_id", "score")

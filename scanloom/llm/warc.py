@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import settle
+from .words import shared_folder, small_batches, stored
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,14 +44,9 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri)) if ":" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="packages-")
-    return f"{folder.rstrip('/')}/packages-{uuid.uuid4().hex}"
+def package_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
+    return f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
 
 
 # Records
@@ -193,7 +188,8 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int = 32 << 20) -> DataFrame:
-    """Write (page_id, url, html) to ZIP packages in ``folder``; returns (path, n_records) of each, already written."""
+    """Write (page_id, url, html) to ZIP packages in ``folder``; returns (path, n_records, n_bytes) of each, already written."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
     known = revisits(rows, min_bytes).withColumnsRenamed({"page_id": "_id", "key": "_key"})
@@ -212,7 +208,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
                 data = pack([("archive/data.warc.gz", b"".join(held)), ("indexes/index.cdxj", "".join(index).encode()), ("datapackage.json", about)], zip64=True)
                 with fs.open_output_stream(name) as f:
                     f.write(data)
-                written.append((name, len(index)))
+                written.append((name, len(index), len(data)))
                 held, size, index = [], 0, []
 
         for batch in batches:
@@ -224,13 +220,20 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
                 if size >= package_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in written], pa.string()), pa.array([x[1] for x in written], pa.int64())], names=["path", "n_records"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in written], pa.string()), *(pa.array([x[i] for x in written], pa.int64()) for i in (1, 2))], names=["path", "n_records", "n_bytes"])
 
-    return settle(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string, n_records long"))
+    return stored(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string, n_records long, n_bytes long"))
 
 
 def read_packages(packages: DataFrame, folder: str, range_bytes: int = 4 << 20, partitions: int | None = None) -> DataFrame:
-    """Records of the packages in ``path``: (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Records of the packages in ``path``: (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
+
+    Ranges are dealt to ``partitions`` tasks by number, not by key: as many as there are ranges, but no more than the session has cores or 64 MB of
+    archive ask for. A range's descriptor is tiny, so adaptive execution would fold any other shuffle of them into one task.
+    """
+    if partitions is None:
+        cores, total = packages.sparkSession.sparkContext.defaultParallelism, packages.agg(F.sum("n_bytes")).first()[0] or 0
+        partitions = max(1, min(-(-total // range_bytes), max(2 * cores, -(-total // (64 << 20)))))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = store(folder)
@@ -269,8 +272,7 @@ def read_packages(packages: DataFrame, folder: str, range_bytes: int = 4 << 20,
                 yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
     spread = packages.select("path").mapInArrow(ranges, "path string, start long, lengths array<long>")
-    spread = spread.repartition(partitions) if partitions else spread.repartition("path", "start")
-    return spread.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.repartition(partitions).mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 _ROW = pa.schema(
@@ -280,6 +282,6 @@ _ROW = pa.schema(
 
 def op8_warc(pages: DataFrame) -> DataFrame:
     """Write every page, read the packages back."""
-    folder = shared_folder(pages.sparkSession)
+    folder = package_folder(pages.sparkSession)
     records = read_packages(write_packages(pages, folder), folder)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -28,37 +28,35 @@ def sliced(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the cluster's checkpoint folder, with their lineage cut.
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of one Arrow batch to 1,000 where nothing else was chosen: with long texts the default of 10,000 takes hundreds of MB in each task."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a local one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
 
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only on one machine, as in tests, a temporary folder takes its place; a cluster without the setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tables-")
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once as a compressed table to the shared folder and read back.
+    """The rows, written once as a table to the shared folder and read back: lineage is cut, and any executor can be lost after that.
 
-    For large intermediate results that several plans read; any executor can be lost after that.
+    Size estimates come from the files, so they don't grow from one round of an iteration to the next as those of a checkpoint do. Row groups are small, as
+    several tasks of an executor write at once.
     """
     import uuid
 
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -130,6 +130,39 @@ def test_bitmaps_never_rule_out_a_link():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_components_of_long_chains(spark):
+    ids = list(range(10_000))
+    random.Random(5).shuffle(ids)
+    links = [*zip(ids, ids[1:]), *((20_000 + i, 20_001 + i) for i in range(2_000)), *((50_000, 50_001 + i) for i in range(3_000))]
+    got = components.connected_components(spark.createDataFrame(links, "u long, v long")).groupBy("component").count().collect()
+    assert {tuple(r) for r in got} == {(0, 10_000), (20_000, 2_001), (50_000, 3_001)}
+
+
+@pytest.mark.parametrize("cell", [3, 8])
+def test_recursive_cells_lose_no_pair(spark, cell):
+    """Regions of several clusters: whatever is cut by pivots, every pair within the threshold stays a candidate."""
+    rng = np.random.default_rng(cell)
+    rows, sets = [], {}
+    for region in range(3):
+        centres = [rng.integers(0, 1 << 62, rng.integers(20, 200)).astype(np.uint64) for _ in range(6)]
+        for k in range(40):
+            c = centres[rng.integers(0, 6)]
+            s = np.unique(np.concatenate([c[rng.random(len(c)) > rng.choice([0.0, 0.05, 0.15])], rng.integers(0, 1 << 62, 3).astype(np.uint64)]))
+            sets[(region, d := 100 * region + k)] = s
+            rows.append((region, d, len(s), d, bytearray(jaccard.region_bitmap(s)), 40))
+    df = spark.createDataFrame(rows, "region long, doc long, n int, component long, bits binary, m long")
+    got = {tuple(r) for r in jaccard.candidates(df, 80, cell).collect()}
+    want = {
+        (a[1], b[1])
+        for a, x in sets.items()
+        for b, y in sets.items()
+        if a[0] == b[0] and a[1] < b[1] and 100 * (k := len(np.intersect1d(x, y))) >= 80 * (len(x) + len(y) - k)
+    }
+    assert want and want <= got
+    cut = jaccard.parted(df.selectExpr("*", "true as core"), 80, 0, cell).where("cut").count()
+    assert cut > 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect())
