@@ -110,7 +110,7 @@ def charge_by_comb(points: Column, mz: Column, most: int = 10, tolerance: float
 
     def score(z: Column) -> Column:
         at = F.transform(F.filter(F.sequence(F.lit(-teeth), F.lit(teeth)), lambda k: k != 0), lambda k: mz + k * C13_GAP / z)
-        got = F.transform(at, lambda c: F.aggregate(F.filter(points, lambda p: F.abs(p["x"] - c) <= tolerance), F.lit(0.0), lambda s, p: F.greatest(s, p["y"])))
+        got = F.transform(at, lambda c: F.aggregate(F.filter(points, lambda p: F.abs(p["x"] - c) <= tolerance), F.lit(0.0), lambda s, p: s + p["y"]))
         return F.aggregate(got, F.lit(0.0), lambda s, v: s + v) * F.size(F.filter(got, lambda v: v > 0))
 
     scored = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda z: F.struct(score(z).alias("s"), (-z).alias("z")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import interpolate, interval_join
+from .joins import _around, interpolate, interval_join
 from .series import moving
 
 
@@ -22,10 +22,16 @@ def lockmass_points(points: DataFrame, masses: DataFrame, ppm: float) -> DataFra
 
 def calibrate(points: DataFrame, coefficients: DataFrame, on: list[str]) -> DataFrame:
     """Points (on, t, mz, ...) with mz less c0 + c1 mz + c2 mz^2, coefficients (on, t, c0, c1, c2) interpolated in t, the ends' outside."""
-    out = points
-    for c in ("c0", "c1", "c2"):
-        out = interpolate(out, "t", coefficients, "t", c, on, True, c)
-    return out.withColumn("mz", F.col("mz") - (F.col("c0") + F.col("c1") * F.col("mz") + F.col("c2") * F.col("mz") * F.col("mz"))).drop("c0", "c1", "c2")
+    near = _around(points, "t", coefficients, "t", F.struct("c0", "c1", "c2"), on)
+    a, b = F.col("_prev"), F.col("_next")
+    share = F.when(b["t"] > a["t"], (F.col("t") - a["t"]) / F.when(b["t"] > a["t"], b["t"] - a["t"])).otherwise(0.0)
+    c0, c1, c2 = (F.coalesce(a["v"][c], b["v"][c]) + (F.coalesce(b["v"][c], a["v"][c]) - F.coalesce(a["v"][c], b["v"][c])) * F.coalesce(share, F.lit(0.0)) for c in ("c0", "c1", "c2"))
+    return near.withColumn("mz", F.col("mz") - (c0 + c1 * F.col("mz") + c2 * F.col("mz") * F.col("mz"))).drop("_prev", "_next")
+
+
+def calibrate_ppm(points: DataFrame, errors: DataFrame, lock: float, on: list[str]) -> DataFrame:
+    """Points (on, t, mz, ...) with mz (1 - c0 / lock), for one lock mass with its errors (on, t, c0) interpolated in t, the ends' outside."""
+    return interpolate(points, "t", errors, "t", "c0", on, True, "_c").withColumn("mz", F.col("mz") * (1 - F.col("_c") / lock)).drop("_c")
 
 
 def fit(points: DataFrame, mass: float, ppm: float, on: list[str], median_half: int = 2, average_half: int = 2, share: float = 0.6, least: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import asof_nearest, interval_join
+from .joins import asof_backward, asof_nearest, interval_join
 
 
 def per_scan(scans: DataFrame, points: DataFrame, how: str, level: int = 1) -> DataFrame:
@@ -60,7 +60,7 @@ def xic_snapped(scans: DataFrame, points: DataFrame, windows: DataFrame, level:
     """As ``xic`` for (window_id, run, mz_start, mz_end, time_start, time_end), but both times are snapped to the nearest scans first."""
     dim = scan_index(scans, level)
     ends = asof_nearest(asof_nearest(windows, "time_start", dim, "rt", "idx", ["run"], "i0"), "time_end", dim, "rt", "idx", ["run"], "i1")
-    wanted = dim.join(ends.select("window_id", "run", "i0", "i1"), "run").where(F.col("idx").between(F.col("i0"), F.col("i1")))
+    wanted = interval_join(dim, "idx", ends.select("window_id", "run", "i0", "i1"), "i0", "i1", 64, ["run"])
     hits = interval_join(points.join(dim, "scan"), "mz", ends, "mz_start", "mz_end", tile, ["run"]).where(F.col("idx").between(F.col("i0"), F.col("i1")))
     sums = hits.groupBy("window_id", "scan").agg(F.sum("intensity").alias("s"))
     return wanted.join(sums, ["window_id", "scan"], "left").select("window_id", "run", "scan", "rt", F.coalesce("s", F.lit(0.0)).alias("intensity"))
@@ -71,9 +71,9 @@ def with_tiles(points: DataFrame, index: DataFrame, width: float = 30.0, height:
     return points.join(index.select("run", "scan", "rt", "idx"), "scan").withColumns({"tile_x": F.floor(F.col("mz") / width).cast("int"), "tile_y": F.expr(f"cast((idx - 1) div {height} as int)")})
 
 
-def xic_tiled(tiled: DataFrame, index: DataFrame, windows: DataFrame, width: float = 30.0, height: int = 64) -> DataFrame:
+def xic_tiled(tiled: DataFrame, index: DataFrame, windows: DataFrame, width: float = 30.0, height: int = 64, step: float = 8.0) -> DataFrame:
     """``xic`` over the tiled layout: windows become tiles, tiles are joined, the residual is exact."""
-    span = index.join(windows.select("window_id", "time_start", "time_end"), F.col("rt").between(F.col("time_start"), F.col("time_end")))
+    span = interval_join(index, "rt", windows.select("window_id", "time_start", "time_end"), "time_start", "time_end", step)
     rows = span.groupBy("window_id", "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"))
     rect = rows.join(windows, "window_id").where("mz_start <= mz_end").withColumn("tile_x", F.explode(F.sequence(F.floor(F.col("mz_start") / width).cast("int"), F.floor(F.col("mz_end") / width).cast("int"))))
     rect = rect.withColumn("tile_y", F.explode(F.expr(f"sequence(cast((a - 1) div {height} as int), cast((b - 1) div {height} as int))")))
@@ -92,14 +92,14 @@ def prefix_sums(binned: DataFrame) -> DataFrame:
 def range_sum(prefix: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, run, bin, y): sum over scans i0 to i1, both included, as a difference of two prefixes.
 
-    ``ranges``: (range_id, run, i0, i1). Bins are sparse, so each prefix is the last one at or before the index.
+    ``ranges``: (range_id, run, i0, i1). Bins are sparse, so each prefix is the last one at or before the
+    index: two as-of lookups for each range and bin of its run.
     """
-    pair = prefix.join(ranges, "run")
-    at = pair.groupBy("range_id", "run", "bin").agg(
-        F.max_by("prefix", F.when(F.col("idx") <= F.col("i1"), F.col("idx"))).alias("b"),
-        F.max_by("prefix", F.when(F.col("idx") < F.col("i0"), F.col("idx"))).alias("a"),
-    )
-    return at.select("range_id", "run", "bin", (F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))).alias("y"))
+    ends = F.explode(F.array(F.struct(F.col("i1").cast("long").alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col("i0") - 1).cast("long").alias("at"), F.lit(-1.0).alias("sign"))))
+    bins = prefix.select("run", "bin").distinct()
+    asked = ranges.withColumn("e", ends).join(bins, "run").select("range_id", "run", "bin", "e.*")
+    found = asof_backward(asked, "at", prefix.withColumn("idx", F.col("idx").cast("long")), "idx", "prefix", ["run", "bin"], "p")
+    return found.groupBy("range_id", "run", "bin").agg(F.sum(F.col("sign") * F.coalesce("p", F.lit(0.0))).alias("y"))
 
 
 def scan_bounds(scans: DataFrame) -> DataFrame:

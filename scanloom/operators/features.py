@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chem import C13_GAP, PROTON
+from ..storage import stored
 from .cluster import collate, dbscan
 
 MOST = 1000
@@ -56,12 +57,27 @@ def scan_clusters(mz: np.ndarray, intensity: np.ndarray, tolerance: float, charg
     return out
 
 
-def charge_clusters(points: DataFrame, tolerance: float = 0.02, charges: int = 6, least_correlation: float = 0.6, least_bits: float = 0.0) -> DataFrame:
+def above_noise(mz: np.ndarray, intensity: np.ndarray, deviations: float, gap: float, share: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    """The points of a scan that stand at or above its noise floor, the upper median plus so many deviations of the lowest ``share`` of its intensities,
+    or are chained to one that does by gaps of at most ``gap``."""
+    low = np.sort(intensity)[: max(1, int(np.ceil(len(intensity) * share)))]
+    floor = low[len(low) // 2] + deviations * low.std()
+    order = np.argsort(mz, kind="stable")
+    island = np.concatenate([[0], np.cumsum(np.diff(mz[order]) > gap)])
+    tops = np.full(island[-1] + 1, -np.inf)
+    np.maximum.at(tops, island, intensity[order])
+    keep = np.zeros(len(mz), bool)
+    keep[order] = tops[island] >= floor
+    return mz[keep], intensity[keep]
+
+
+def charge_clusters(points: DataFrame, tolerance: float = 0.02, charges: int = 6, least_correlation: float = 0.6, deviations: float | None = None, gap: float = 0.02, most: int = MOST) -> DataFrame:
     """(run, scan, rt, mz, intensity, charge, mass, isotopes, correlation) of (run, scan, rt, mz, intensity).
 
-    The unit is the scan: the points of one scan are one array of at most MOST points, the most intense.
+    The unit is the scan: the points of one scan are one array of at most ``most`` points, the most intense; that many is a feature of the method. With
+    ``deviations``, only points above the scan's noise, and what hangs together with them, are taken further.
     """
-    best = F.slice(F.sort_array(F.collect_list(F.struct("intensity", "mz")), False), 1, MOST).alias("p")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("intensity", "mz")), False), 1, most).alias("p")
     scans = points.groupBy("run", "scan", "rt").agg(best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +86,8 @@ def charge_clusters(points: DataFrame, tolerance: float = 0.02, charges: int = 6
             for r, s, t, p in zip(*(b.column(i) for i in range(4)), strict=True):
                 v = p.values
                 mz, y = v.field("mz").to_numpy(), v.field("intensity").to_numpy()
+                if deviations is not None and len(y):
+                    mz, y = above_noise(mz, y, deviations, gap)
                 rows += [(r.as_py(), s.as_py(), t.as_py(), *c) for c in scan_clusters(mz, y, tolerance, charges, least_correlation)]
             types = [b.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["run", "scan", "rt", "mz", "intensity", "charge", "mass", "isotopes", "correlation"])
@@ -82,3 +100,16 @@ def features(clusters: DataFrame, eps: float = 5.01, least: int = 3, mass_scale:
     """Features of the charge clusters (id, idx, rt, mass, intensity, charge): density clusters in (scan index, scaled mass), summarised."""
     labels = dbscan(clusters.withColumn("_m", F.col("mass") * mass_scale), "id", "idx", "_m", eps, least)
     return collate(clusters.join(labels, "id"))
+
+
+def find(points: DataFrame, eps: float = 5.01, least: int = 3, mass_scale: float = 50.0, least_mass: float = 0.0, **how) -> DataFrame:
+    """Features of whole runs: scans are capped and cut at their noise, charge clusters of ``least_mass`` or more are found, clusters of each run are joined over its scans by
+    density, and summarised. ``points``: (run, scan, rt, mz, intensity), run a number. Clusters are written once, with the ids that they are joined by.
+    """
+    order = F.dense_rank().over(Window.partitionBy("run").orderBy("rt", "scan"))
+    index = points.select("run", "scan", "rt").distinct().withColumn("idx", order).select("run", "scan", "idx")
+    found = charge_clusters(points, **how).where(F.col("mass") >= least_mass).join(index, ["run", "scan"])
+    found = stored(found.withColumn("id", F.monotonically_increasing_id()))
+    # Runs lie so far apart on the first axis that their clusters never meet.
+    apart = found.withColumn("idx", F.col("idx") + F.col("run").cast("double") * 1e7)
+    return features(apart, eps, least, mass_scale)

@@ -5,10 +5,11 @@ All but the recursive detectors are windows over (key) ordered by i. A key is on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,58 +151,121 @@ def nearest_extremum_to_middle(series: DataFrame, on: Sequence[str], kind: int)
     return series.join(n, list(on)).join(best, list(on), "left").where(F.col("i") == F.coalesce("b", mid)).select(*on, "i", "t", "y")
 
 
-# Recursive detectors: one series a group, sequential by nature.
-
-
-def _peaks(y: np.ndarray, selectivity: float) -> list[int]:
-    """Maxima that rise by more than ``selectivity`` over the least value since the last peak, and fall by more after."""
-    out, rising, low, top = [], True, 0, 0
-    for i in range(len(y)):
-        if rising:
-            if y[i] > y[top]:
-                top = i
-            if y[i] < y[low] and top <= low:
-                low = top = i
-            if y[top] - y[low] > selectivity and y[top] - y[i] > selectivity:
-                out.append(top)
-                rising, low = False, i
+# Recursive detectors: sequential by nature, so each series passes through one task, sorted, as a stream with a state of fixed size.
+
+
+def _streamed(rows: DataFrame, key: str, names: Sequence[str], state: Callable, schema: str) -> DataFrame:
+    """``state()`` makes a new state for each key: a function from a row of ``names``, in order of the first of them, to the output rows after the key."""
+    kind = rows.schema[key].dataType.simpleString()
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, see = None, None
+        types = [pa.int32() if t == "int" else pa.float64() for _, t in fields]
+        for b in batches:
+            out = []
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if see is None or k != at:
+                    at, see = k, state()
+                out += [(k, *r) for r in see(*row)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * (len(types) + 1)
+            arrays = [pa.array(c, t) for c, t in zip(columns, [b.schema.field(0).type, *types], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, *(f for f, _ in fields)])
+
+    ordered = rows.select(key, *names).repartition(key).sortWithinPartitions(key, names[0])
+    return ordered.mapInArrow(run, f"{key} {kind}, {schema}")
+
+
+class _Peaks:
+    """The candidate so far, whether it has been reported, and the least value on its left."""
+
+    def __init__(self) -> None:
+        self.top, self.reported, self.left, self.met = None, False, None, 0
+
+    def __call__(self, i: int, t: float, y: float, v: float, floor: float, selectivity: float, last: bool) -> list:
+        self.met += 1
+        self.left = floor if self.left is None else self.left
+        if self.reported and not last:
+            self.top, self.reported = None, False
+        best = self.top[3] if self.top else floor
+        rises = v > best and v > self.left + selectivity
+        if last:
+            if rises and self.met > 1:
+                return [(i, t, y)]
+            return [self.top[:3]] if self.top and not self.reported else []
+        if rises:
+            self.top = (i, t, y, v)
+        elif self.top and best > v + selectivity:
+            self.reported, self.left = True, v
+            return [self.top[:3]]
         else:
-            if y[i] < y[low]:
-                low = i
-            if y[i] - y[low] > selectivity:
-                rising, top = True, i
-    return out
+            self.left = min(self.left, v)
+        return []
 
 
-def peaks(series: DataFrame, key: str, selectivity: float) -> DataFrame:
-    """(key, i, t, y) of the peaks of each series."""
-    kind = series.schema[key].dataType.simpleString()
+def peaks(series: DataFrame, key: str, selectivity: float | Column, kind: int = 1) -> DataFrame:
+    """(key, i, t, y) of the peaks of each series (``kind`` -1: of its valleys): the extrema are gone through in order. One that is above all since the last reported
+    peak, and above the least value met by more than ``selectivity``, is the candidate; it is reported once a later extremum lies lower by more than
+    that, and the least value then starts anew. Before the first peak the least value is that of all extrema. At the end the last extremum, or
+    else the candidate that is still open, is reported. ``selectivity`` may be a column of the series, one value for each key.
+    """
+    e = extrema(series, [key]).withColumn("v", F.col("y") * kind)
+    least = e.groupBy(key).agg(F.min("v").alias("least"))
+    if isinstance(selectivity, Column):
+        least = least.join(series.groupBy(key).agg(F.max(selectivity).alias("sel")), key)
+    else:
+        least = least.withColumn("sel", F.lit(float(selectivity)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        return pdf.loc[_peaks(pdf["y"].to_numpy(), selectivity), [key, "i", "t", "y"]]
+    ends = F.lead("i").over(_order([key])).isNull()
+    return _streamed(e.withColumn("last", ends).join(least, key), key, ("i", "t", "y", "v", "least", "sel", "last"), _Peaks, "i int, t double, y double")
 
-    return series.select(key, "i", "t", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, i int, t double, y double")
 
+def nth_maximum(series: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, value): the k-th largest local maximum from 0, the smallest if there are fewer, 0 if there is none."""
+    tops = extrema(series, [key]).where("kind = 1")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("y"))) - 1
+    found = tops.withColumn("_r", rank).where(F.col("_r") <= k).groupBy(key).agg(F.min("y").alias("value"))
+    return series.select(key).distinct().join(found, key, "left").select(key, F.coalesce("value", F.lit(0.0)).alias("value"))
 
-def _zscore(y: np.ndarray, lag: int, threshold: float, influence: float) -> np.ndarray:
-    """Flags +1 and -1 of values that leave the mean of the last ``lag`` filtered values by more than ``threshold`` deviations."""
-    flags, f = np.zeros(len(y), int), y.astype(float).copy()
-    for i in range(lag, len(y)):
-        past = f[i - lag : i]
-        m, s = past.mean(), past.std()
-        if abs(y[i] - m) > threshold * s:
-            flags[i] = 1 if y[i] > m else -1
-            f[i] = influence * y[i] + (1 - influence) * f[i - 1]
-    return flags
+
+def peaks_relative(series: DataFrame, key: str, share: float, k: int = 0) -> DataFrame:
+    """``peaks`` with ``share`` of the k-th largest maximum as selectivity."""
+    return peaks(series.join(nth_maximum(series, key, k), key).withColumn("_sel", F.col("value") * share), key, F.col("_sel"))
 
 
 def zscore_flags(series: DataFrame, key: str, lag: int, threshold: float, influence: float) -> DataFrame:
-    """(key, i, flag) of the flagged points of each series."""
-    kind = series.schema[key].dataType.simpleString()
+    """(key, i, flag) of the flagged points of each series: +1 above, -1 below the mean of the window by more than ``threshold`` deviations.
+
+    The window holds ``lag`` filtered values and ends one point before the last one (for the first tested point, the ``lag`` points before it). The filtered value of
+    a flagged point is ``influence`` of it and the rest of the last filtered one.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pdf.assign(flag=_zscore(pdf["y"].to_numpy(), lag, threshold, influence)).query("flag != 0")[[key, "i", "flag"]]
+    def state() -> Callable:
+        held: deque = deque(maxlen=lag + 1)
 
-    return series.select(key, "i", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, i int, flag int")
+        def see(i: int, y: float) -> list:
+            if len(held) < lag:
+                held.append(y)
+                return []
+            window = np.fromiter(held, float)[:lag]
+            mean, flag = window.mean(), 0
+            if abs(y - mean) > threshold * window.std():
+                flag = 1 if y > mean else -1
+            held.append(influence * y + (1 - influence) * held[-1] if flag else y)
+            return [(i, flag)] if flag else []
+
+        return see
+
+    return _streamed(series, key, ("i", "y"), state, "i int, flag int")
+
+
+def flag_intervals(series: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+    """(key, first, last): from each +1 flag that follows an unflagged point, or one below, to the last point before the next unflagged one.
+
+    A -1 neither starts nor ends an interval; one that is open at the series' end is dropped.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    rows = series.select(key, "i").join(flags, [key, "i"], "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
+    marks = rows.where("flag <> -1").withColumns({"_was": F.coalesce(F.lag("flag").over(w), F.lit(0))}).where("flag <> _was")
+    ends = marks.withColumn("last", F.lead("i").over(w) - 1)
+    return ends.where("flag = 1 and last is not null").select(key, F.col("i").alias("first"), "last")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,12 +89,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of arrays of one length; 0 if a spread is 0."""
+    return cosine(centred(a), centred(b))
 
-    def centred(x: Column) -> Column:
-        m = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(x)
-        return F.transform(x, lambda v: v.cast("double") - m)
 
-    return cosine(centred(a), centred(b))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once, not for each element of an array that ``body`` goes through."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unit(a: Column) -> Column:
+    """The vector over its norm, in doubles; zeros for a norm of 0."""
+    return _let(F.sqrt(dot(a, a)), lambda norm: F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0)))
+
+
+def centred(a: Column) -> Column:
+    """The vector less its mean, in doubles."""
+    return _let(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(a), lambda mean: F.transform(a, lambda v: v.cast("double") - mean))
+
+
+def against_all(queries: DataFrame, rows: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, s): dot products of every query (id, v) with every row (id, v) but itself; 0 where lengths differ.
+
+    Queries travel as blocks of about ``block`` vectors, and a row meets each block once, so what is sent is rows times blocks, not pairs.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_k")).agg(F.collect_list(F.struct("id", "v")).alias("_q"))
+    met = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_k")
+    score = lambda q: F.when(F.size(q["v"]) == F.size("v"), dot(q["v"], F.col("v"))).otherwise(0.0)
+    pairs = met.select(F.col("id").alias("b"), F.explode(F.transform("_q", lambda q: F.struct(q["id"].alias("a"), score(q).alias("s")))).alias("p"))
+    return pairs.select("p.a", "b", "p.s").where("a <> b")
 
 
 def masked(binned: DataFrame, on: Sequence[str], listed: DataFrame, tolerance: float) -> DataFrame:

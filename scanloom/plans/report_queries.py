@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import cluster, convolve, report
+from ..operators import cluster, convolve, features, report, sequences
 from ..sources.tables import points, read, scans
 from .registry import query
 
@@ -60,13 +60,13 @@ def rollup_children(spark, d):
     return report.roll_up_children(_tree(spark, d), ["r_name", "n_name"], "c_mktsegment", "c_custkey")[0].select("r_name", F.col("c_mktsegment").alias("v"))
 
 
-@query("""WITH t AS (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal > 0)
+@query("""WITH t AS (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)
 SELECT node_id, parent_id FROM t WHERE node_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL)""")
 def tree_leaves(spark, d):
     c, n, r = (read(spark, d, t) for t in ("customer", "nation", "region"))
     node = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
     t = r.select(node("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id")).unionByName(n.select(node("n", "n_nationkey").alias("node_id"), node("r", "n_regionkey").alias("parent_id")))
-    t = t.unionByName(c.where("c_acctbal > 0").select(node("c", "c_custkey").alias("node_id"), node("n", "c_nationkey").alias("parent_id")))
+    t = t.unionByName(c.select(node("c", "c_custkey").alias("node_id"), node("n", "c_nationkey").alias("parent_id")))
     return report.leaves(t).select("node_id", "parent_id")
 
 
@@ -113,20 +113,27 @@ def collate_charges(spark, d):
 
 @query()
 def greedy_groups(spark, d):
-    return cluster.greedy_groups(_features(spark, d).where("mass > 0").select("id", "mass", F.col("apex").alias("rt")), 100.0, 20.0)
+    return cluster.greedy_groups(_features(spark, d).select("id", "mass", F.col("apex").alias("rt")), 100.0, 20.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FEATURES}, n AS (SELECT a.id, b.id AS o FROM f a JOIN f b ON b.mass BETWEEN a.mass - 5.01 AND a.mass + 5.01 AND (a.mass - b.mass) ** 2 + (a.apex - b.apex) ** 2 < 5.01 ** 2),
+c AS (SELECT id FROM n GROUP BY id HAVING count(*) >= 5), e AS (SELECT n.id, n.o FROM n SEMI JOIN c ON c.id = n.id SEMI JOIN c d ON d.id = n.o),
+r AS (SELECT id, id AS reach FROM c UNION SELECT r.id, e.o FROM r JOIN e ON e.id = r.reach), l AS (SELECT id, min(reach) AS label FROM r GROUP BY id),
+b AS (SELECT n.id, min(l.label) AS label FROM n JOIN l ON l.id = n.o GROUP BY n.id) SELECT f.id, coalesce(l.label, b.label, -1) AS label FROM f LEFT JOIN l USING (id) LEFT JOIN b USING (id)""")
 def dbscan_labels(spark, d):
     return cluster.dbscan(_features(spark, d), "id", "mass", "apex", 5.01, 5)
 
 
 @query()
-def feature_finder(spark, d):
-    from ..operators import features
+def charge_clusters(spark, d):
+    p = points(spark, d).join(scans(spark, d), "scan").select("run", "scan", "rt", "mz", "intensity")
+    return features.charge_clusters(p, tolerance=0.5)
 
-    p = points(spark, d).join(scans(spark, d).where("level = 1"), "scan").select("run", "scan", "rt", "mz", "intensity")
-    return features.charge_clusters(p, tolerance=0.5, least_bits=0.0)
+
+@query()
+def feature_finder(spark, d):
+    p = points(spark, d).join(scans(spark, d), "scan").select("run", "scan", "rt", "mz", "intensity")
+    return features.find(p, tolerance=0.5, deviations=-1.0, gap=1.0, eps=200.0, mass_scale=2.0, least=2)
 
 
 _WORDS = "s AS (SELECT doc_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '', 'g')) AS seq FROM documents)"
@@ -157,10 +164,21 @@ def digest(spark, d):
     return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("part")).cast("long").alias("longest"), F.sum(F.col("part").endswith("K").cast("long")).alias("after_k"))
 
 
-@query()
+def _ladder_sql() -> str:
+    masses = ", ".join(f"('{r}', {m!r}::DOUBLE)" for r, m in chem.RESIDUES.items())
+    return f"""WITH {_WORDS}, m(c, mass) AS (VALUES {masses}), l AS (SELECT doc_id, regexp_extract_all(seq, '[^KR]*[KR]|[^KR]+$') AS parts FROM s),
+p AS (SELECT doc_id, unnest(parts) AS seq, generate_subscripts(parts, 1) AS part FROM l), q AS (SELECT doc_id, part, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) AS i FROM p WHERE seq <> ''),
+b AS (SELECT doc_id, part, i, count(*) OVER w AS n, sum(mass) OVER (w ORDER BY i) AS pre, sum(mass) OVER w AS whole, mass FROM q JOIN m USING (c) WINDOW w AS (PARTITION BY doc_id, part)),
+f AS (SELECT doc_id, part, pre + {chem.PROTON} AS mass, 0.25 AS weight FROM b WHERE i < n UNION ALL SELECT doc_id, part, whole - (pre - mass) + {chem.WATER} + {chem.PROTON}, 0.75 FROM b)
+SELECT doc_id, CAST(part AS INTEGER) AS part, count(*) AS n, round(sum(mass), 2) AS mass, round(sum(mass * weight), 2) AS weighted, round(min(mass), 4) AS least, round(max(mass), 4) AS most FROM f GROUP BY doc_id, part"""
+
+
+@query(_ladder_sql())
 def fragment_ladder(spark, d):
-    s = _seq(spark, d).select("doc_id", F.substring("seq", 1, 12).alias("seq"))  # a peptide is short: the ladder of each text's first one
-    return s.select("doc_id", F.explode(chem.fragments(F.col("seq"))).alias("f")).select("doc_id", F.round("f.mass", 4).alias("mass"), "f.weight")
+    parts = _seq(spark, d).select("doc_id", F.posexplode(chem.digest(F.col("seq"))).alias("part", "seq")).withColumn("part", F.col("part") + 1)
+    f = sequences.ladder(parts, ["doc_id", "part"]).groupBy("doc_id", "part")
+    m = F.col("mass")
+    return f.agg(F.count("*").alias("n"), F.round(F.sum(m), 2).alias("mass"), F.round(F.sum(m * F.col("weight")), 2).alias("weighted"), F.round(F.min(m), 4).alias("least"), F.round(F.max(m), 4).alias("most"))
 
 
 @query(f"""SELECT p_partkey, round((p_retailprice + 2 * {chem.PROTON}) / 2, 6) AS mz, round(p_retailprice * 2 - 2 * {chem.PROTON}, 6) AS mass, round(p_retailprice * 10 / 1e6, 8) AS tolerance, CAST(floor(p_retailprice * 500) AS BIGINT) AS bin,
@@ -190,13 +208,17 @@ def replicate_chains(spark, d):
     return convolve.replicate(s, "n").select("s_suppkey", "chain")
 
 
-SITES = [(1, 16.0, 0.3), (2, 16.0, 0.1), (2, 42.01, 0.2), (3, 0.98, 0.05)]
+_DELTAS = (16.0, 42.01, 0.98, 79.97)
 
 
-@query("""WITH a(d, f) AS (VALUES (0, 0.7::DOUBLE), (1600, 0.3::DOUBLE)), b(d, f) AS (VALUES (0, 0.7::DOUBLE), (1600, 0.1::DOUBLE), (4201, 0.2::DOUBLE)), c(d, f) AS (VALUES (0, 0.95::DOUBLE), (98, 0.05::DOUBLE))
-SELECT (a.d + b.d + c.d) / 100 AS delta, round(sum(a.f * b.f * c.f), 6) AS fraction FROM a CROSS JOIN b CROSS JOIN c GROUP BY 1""")
+@query(f"""WITH RECURSIVE s AS (SELECT l_orderkey AS protein, l_linenumber AS site, CAST([{", ".join(str(round(x * 100)) for x in _DELTAS)}][l_partkey % 4 + 1] AS BIGINT) AS bin, sum(l_discount * 0.3711::DOUBLE) AS f FROM lineitem GROUP BY ALL),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY protein ORDER BY site) AS k FROM (SELECT * FROM s UNION ALL SELECT protein, site, 0, 1 - sum(f) FROM s GROUP BY protein, site)),
+m AS (SELECT protein, max(k) AS k FROM o GROUP BY protein), r AS (SELECT protein, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS bin, CAST(1 AS DOUBLE) AS f FROM m UNION ALL SELECT r.protein, o.k, r.bin + o.bin, r.f * o.f FROM r JOIN o ON o.protein = r.protein AND o.k = r.k + 1)
+SELECT r.protein, r.bin / 100 AS delta, round(sum(r.f), 6) AS fraction FROM r JOIN m ON m.protein = r.protein AND m.k = r.k GROUP BY r.protein, r.bin""")
 def delta_mass_conv(spark, d):
-    return convolve.delta_masses(spark.createDataFrame(SITES, "site int, delta double, fraction double")).withColumn("fraction", F.round("fraction", 6))
+    delta = F.element_at(F.array(*map(F.lit, _DELTAS)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    sites = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("protein"), F.col("l_linenumber").alias("site"), delta.alias("delta"), (F.col("l_discount") * 0.3711).alias("fraction"))
+    return convolve.delta_masses(sites, pruning=0.0).withColumn("fraction", F.round("fraction", 6))
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round((least(a.s_acctbal + 500, b.s_acctbal + 500) - greatest(a.s_acctbal, b.s_acctbal)) / (greatest(a.s_acctbal + 500, b.s_acctbal + 500) - least(a.s_acctbal, b.s_acctbal)), 6) AS iou FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")

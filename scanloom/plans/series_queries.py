@@ -137,29 +137,73 @@ def running_sum(spark, d):
     return series(spark, d).select("channel", "i", F.round(F.sum("y").over(w), 4).alias("y"))
 
 
-@query()
+_EXTREMA = """n AS (SELECT *, CASE WHEN lag(y) OVER w = y THEN 0 ELSE 1 END AS new FROM series WINDOW w AS (PARTITION BY channel ORDER BY i)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+r AS (SELECT channel, run, max(i) AS i, arg_max(t, i) AS t, any_value(y) AS y, count(*) AS n FROM g GROUP BY channel, run),
+s AS (SELECT *, sign(y - lag(y) OVER w) AS a, sign(y - lead(y) OVER w) AS b FROM r WINDOW w AS (PARTITION BY channel ORDER BY run)),
+x AS (SELECT * FROM s WHERE CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN CASE WHEN n = 1 THEN b ELSE 0 END WHEN b IS NULL THEN a WHEN a = b THEN a ELSE 0 END <> 0),
+e AS (SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY i) AS INTEGER) AS k, i, t, y, min(y) OVER (PARTITION BY channel) AS least, count(*) OVER (PARTITION BY channel) AS many FROM x)"""
+
+
+def _peaks_sql(selectivity: str, more: str = "") -> str:
+    """The state goes through the extrema one by one: the candidate (its place and height), whether it is reported, the least value, and what is reported here."""
+    rises = "e.y > best AND e.y > lft + sel"
+    return f"""WITH RECURSIVE {SERIES_SQL}, {_EXTREMA}{more}, z AS (SELECT e.*, {selectivity} AS sel FROM e),
+m(channel, k, best, cand, reported, lft, hit) AS (SELECT channel, 0, min(least), NULL::INTEGER, false, min(least), NULL::INTEGER FROM z GROUP BY channel UNION ALL
+SELECT e.channel, e.k, CASE WHEN {rises} THEN e.y ELSE best END, CASE WHEN {rises} THEN e.i ELSE cand END,
+CASE WHEN e.k < e.many AND NOT ({rises}) AND cand IS NOT NULL AND best > e.y + sel THEN true ELSE false END,
+CASE WHEN {rises} THEN lft WHEN cand IS NOT NULL AND best > e.y + sel THEN e.y ELSE least(lft, e.y) END,
+CASE WHEN e.k = e.many THEN CASE WHEN {rises} AND e.many > 1 THEN e.i WHEN cand IS NOT NULL AND NOT was THEN cand END WHEN NOT ({rises}) AND cand IS NOT NULL AND best > e.y + sel THEN cand END
+FROM (SELECT m.channel, m.k, CASE WHEN m.reported AND m.k + 1 < c.many THEN c.least ELSE m.best END AS best, CASE WHEN m.reported AND m.k + 1 < c.many THEN NULL ELSE m.cand END AS cand, m.reported AS was, m.lft
+FROM m JOIN (SELECT DISTINCT channel, many, least FROM z) c USING (channel)) p JOIN z e ON e.channel = p.channel AND e.k = p.k + 1)
+SELECT e.channel, e.i, e.t, e.y FROM m JOIN e ON e.channel = m.channel AND e.i = m.hit"""
+
+
+@query(_peaks_sql("60.0"))
 def peaks_selectivity(spark, d):
     return S.peaks(series(spark, d), "channel", 60.0)
 
 
-@query()
+@query(_peaks_sql("w.value * 0.25", ", w AS (SELECT channel, min(y) AS value FROM (SELECT channel, y, row_number() OVER (PARTITION BY channel ORDER BY y DESC) AS q FROM x WHERE coalesce(a, b) = 1) WHERE q <= 4 GROUP BY channel)").replace("sel FROM e)", "sel FROM e JOIN w USING (channel))"))
+def peaks_relative(spark, d):
+    return S.peaks_relative(series(spark, d), "channel", 0.25, 3)
+
+
+_ZSCORE = f"""WITH RECURSIVE {SERIES_SQL}, m(channel, i, held, flag) AS (SELECT channel, 30, list(y ORDER BY i), 0 FROM series WHERE i <= 30 GROUP BY channel UNION ALL
+SELECT s.channel, s.i, list_append(m.held[-30:], CASE WHEN abs(s.y - w.mean) > 3.0 * w.dev THEN 0.1 * s.y + (1 - 0.1) * m.held[-1] ELSE s.y END),
+CASE WHEN abs(s.y - w.mean) > 3.0 * w.dev THEN CASE WHEN s.y > w.mean THEN 1 ELSE -1 END ELSE 0 END
+FROM m JOIN series s ON s.channel = m.channel AND s.i = m.i + 1, LATERAL (SELECT list_avg(m.held[1:30]) AS mean, list_stddev_pop(m.held[1:30]) AS dev) w), flags AS (SELECT channel, i, flag FROM m WHERE flag <> 0)"""
+
+
+@query(f"{_ZSCORE} SELECT channel, i, flag FROM flags")
 def zscore_flags(spark, d):
     return S.zscore_flags(series(spark, d), "channel", 30, 3.0, 0.1)
 
 
-ANCHORS = [("click", 0.1, 0.0), ("click", 0.5, 0.7), ("click", 0.9, 1.0), ("view", 0.2, 0.3), ("view", 0.6, 0.6)]
+@query(f"""{_ZSCORE}, v AS (SELECT s.channel, s.i, coalesce(f.flag, 0) AS flag FROM series s LEFT JOIN flags f ON f.channel = s.channel AND f.i = s.i),
+c AS (SELECT *, coalesce(lag(flag) OVER (PARTITION BY channel ORDER BY i), 0) AS was FROM v WHERE flag <> -1), k AS (SELECT *, lead(i) OVER (PARTITION BY channel ORDER BY i) - 1 AS stop FROM c WHERE flag <> was)
+SELECT channel, i AS first, stop AS last FROM k WHERE flag = 1 AND stop IS NOT NULL""")
+def zscore_intervals(spark, d):
+    s = series(spark, d)
+    return S.flag_intervals(s, S.zscore_flags(s, "channel", 30, 3.0, 0.1), "channel")
+
+
+ANCHORS = [
+    ("click", 0.1, 0.0), ("click", 0.5, 0.7), ("click", 0.9, 1.0), ("view", 0.2, 0.3), ("view", 0.6, 0.6), ("error", 0.0, 0.1), ("error", 0.4, 0.3), ("error", 5.0, 6.0),
+    ("purchase", 0.3, 0.3), ("purchase", 0.8, 0.9), ("signup", 0.05, 0.2), ("signup", 0.7, 0.75), ("signup", 0.95, 0.8),
+]
 
 
 def _anchors_sql() -> str:
     return "anchors(channel, a, b) AS (VALUES " + ", ".join(f"('{c}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for c, a, b in ANCHORS) + ")"
 
 
-@query(f"""WITH {SERIES_SQL}, {_anchors_sql()}, u AS (SELECT channel, i, CAST(i AS DOUBLE) / 2000 AS t FROM series WHERE channel IN ('click', 'view')),
+@query(f"""WITH {SERIES_SQL}, {_anchors_sql()}, u AS (SELECT channel, i, CAST(i AS DOUBLE) / 2000 AS t FROM series),
 p AS (SELECT u.*, a.a AS ta, a.b AS va FROM u ASOF LEFT JOIN anchors a ON u.channel = a.channel AND u.t >= a.a),
 n AS (SELECT p.*, a.a AS tb, a.b AS vb FROM p ASOF LEFT JOIN anchors a ON p.channel = a.channel AND p.t <= a.a)
 SELECT channel, i, t, round(CASE WHEN ta IS NULL THEN t + vb - tb WHEN tb IS NULL THEN va WHEN tb > ta THEN va + (vb - va) * (t - ta) / (tb - ta) ELSE va END, 6) AS warped FROM n""")
 def warp_times(spark, d):
-    rows = series(spark, d).where("channel in ('click', 'view')").select("channel", "i", (F.col("i").cast("double") / 2000).alias("t"))
+    rows = series(spark, d).select("channel", "i", (F.col("i").cast("double") / 2000).alias("t"))
     a = spark.createDataFrame(ANCHORS, "channel string, t_src double, t_dst double")
     return align.warp(rows, "t", a, ON).withColumn("warped", F.round("warped", 6))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
+from ..storage import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,14 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 
 def collected(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """What a finite stream has written when it is through: the table of its sink."""
-    name = f"trace_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    """What a finite stream has written when it is through: a table in the shared folder. Each batch of a "complete" stream replaces the last one, others are added."""
+    folder = f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}"
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.functions import chem
-from scanloom.operators import align, calibrate, chrom, cluster, compare, convolve, features, joins, report, series, spectra, tiles
+from scanloom.operators import align, calibrate, chrom, cluster, compare, convolve, features, joins, report, sequences, series, spectra, tiles
 
 
 def rows(df, *cols):
@@ -142,11 +142,38 @@ def test_islands_and_resampling(spark):
     assert [r["y"] for r in series.resample(line(spark, 0, 10, 20), ["channel"], 5).orderBy("k").collect()] == [0, 5, 10, 15, 20]
 
 
-def test_peaks_and_zscore():
-    y = np.array([0, 1, 5, 1, 2, 1, 6, 0, 3, 2.5, 3, 0.0])
-    assert series._peaks(y, 2.0) == [2, 6, 8] and series._peaks(y, 4.5) == [6] and series._peaks(np.array([]), 1.0) == []
-    flat = np.r_[np.tile([1.0, 1.1], 20), 9.0, np.tile([1.0, 1.1], 5)]
-    assert np.flatnonzero(series._zscore(flat, 10, 4.0, 0.0)).tolist() == [40]
+def _line(spark, *lines):
+    rows_ = [(c, i, float(i), float(v)) for c, y in zip("abcdefg", lines) for i, v in enumerate(y)]
+    return spark.createDataFrame(rows_, "channel string, i int, t double, y double")
+
+
+def test_peaks_and_zscore(spark):
+    y = [0, 1, 5, 1, 2, 1, 6, 0, 3, 2.5, 3, 0.0]
+    s = _line(spark, y, [0, 5], [0, 5, 4], [3, 3], [9, 1, 2])
+    assert rows(series.peaks(s, "channel", 2.0), "channel", "i") == [("a", 2), ("a", 6), ("a", 8), ("b", 1), ("c", 1), ("e", 0)]
+    assert rows(series.peaks(s, "channel", 4.5), "channel", "i") == [("a", 6), ("b", 1), ("c", 1), ("e", 0)]
+    assert rows(series.peaks(_line(spark, y), "channel", 2.0, -1), "i") == [(0,), (3,), (7,), (11,)]
+    assert rows(series.nth_maximum(s, "channel", 1), "channel", "value") == [("a", 5.0), ("b", 5.0), ("c", 5.0), ("d", 0.0), ("e", 2.0)]
+    assert rows(series.peaks_relative(s.where("channel = 'a'"), "channel", 0.5, 0), "i") == [(2,), (6,)]
+    flat = _line(spark, np.r_[np.tile([1.0, 1.1], 20), 9.0, 9.0, np.tile([1.0, 1.1], 5)], np.r_[np.tile([1.0, 1.1], 20), 9.0], [1.0])
+    flags = series.zscore_flags(flat, "channel", 10, 4.0, 0.0)
+    assert rows(flags, "channel", "i", "flag") == [("a", 40, 1), ("a", 41, 1), ("b", 40, 1)]
+    assert rows(series.flag_intervals(flat, flags, "channel"), "channel", "first", "last") == [("a", 40, 41)]
+
+
+def test_ladder_and_delta_masses(spark):
+    m, w, p = chem.RESIDUES, chem.WATER, chem.PROTON
+    peptides = spark.createDataFrame([(1, "GAK"), (2, "R"), (3, ""), (4, None)], "id int, seq string")
+    mods = spark.createDataFrame([(1, 2, 16.0)], "id int, position int, delta double")
+    got = rows(sequences.ladder(peptides, ["id"], modifications=mods), "id", "ion", "k", "mass")
+    g, a, k = m["G"], m["A"] + 16, m["K"]
+    want = [(1, "b", 1, g + p), (1, "b", 2, g + a + p), (1, "y", 1, k + w + p), (1, "y", 2, a + k + w + p), (1, "y", 3, g + a + k + w + p), (2, "y", 1, m["R"] + w + p)]
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(got, want))
+    sites = spark.createDataFrame([("p", 1, 16.0, 0.3), ("p", 2, 16.0, 0.1), ("q", 1, 1.0, 0.5)], "protein string, site int, delta double, fraction double")
+    got = [(a, d, round(f, 9)) for a, d, f in rows(convolve.delta_masses(sites), "protein", "delta", "fraction")]
+    assert got == [("p", 0.0, 0.63), ("p", 16.0, 0.34), ("p", 32.0, 0.03), ("q", 0.0, 0.5), ("q", 1.0, 0.5)]
+    with pytest.raises(Exception, match="exceed 1"):
+        convolve.delta_masses(spark.createDataFrame([("p", 1, 16.0, 1.3)], sites.schema)).collect()
 
 
 def test_spectra(spark):
@@ -172,6 +199,21 @@ def test_dbscan_against_brute_force(spark):
     assert got == want
 
 
+def test_dbscan_of_dense_cells(spark):
+    """Cells that are core without pairs, two of them linked by their outermost points or only by others, and a null coordinate."""
+    rng = random.Random(8)
+    pts = [(i, rng.gauss(0, 0.3), rng.gauss(0, 0.3)) for i in range(300)] + [(1000 + i, 1.2 + rng.random() * 0.3, rng.random() * 3) for i in range(200)] + [(2000 + i, 4.0, 4.0) for i in range(3)]
+    near = {i: [j for j, u, v in pts if (x - u) ** 2 + (y - v) ** 2 < 0.5**2] for i, x, y in pts}
+    core = {i for i in near if len(near[i]) >= 5}
+    label, changed = {i: i for i in core}, True
+    while changed:
+        now = {i: min(label[j] for j in near[i] if j in core) for i in core}
+        changed, label = now != label, now
+    want = {i: label[i] if i in core else min((label[j] for j in near[i] if j in core), default=-1) for i in near} | {9999: -1}
+    df = spark.createDataFrame([*pts, (9999, None, 1.0)], "id long, x double, y double")
+    assert dict(rows(cluster.dbscan(df, "id", "x", "y", 0.5, 5), "id", "label")) == want
+
+
 def test_greedy_groups_against_the_loop(spark):
     rng = random.Random(6)
     f = [(i, rng.choice([300.0, 300.01, 300.02, 500.0, 799.999]) * (1 + rng.gauss(0, 8e-6)), rng.uniform(0, 3)) for i in range(300)]
@@ -246,13 +288,6 @@ def test_calibration(spark):
     assert rows(l.where("scan = 1"), "mz", "intensity") == [(499.999, 5.0)] and l.where("scan = 2").first()["mz"] is None
 
 
-def test_delta_masses_closed_form(spark):
-    two = spark.createDataFrame([(1, 16.0, 0.3), (2, 16.0, 0.1)], "site int, delta double, fraction double")
-    assert [(a, round(b, 9)) for a, b in rows(convolve.delta_masses(two), "delta", "fraction")] == [(0.0, 0.63), (16.0, 0.34), (32.0, 0.03)]
-    with pytest.raises(ValueError):
-        convolve.delta_masses(spark.createDataFrame([(1, 1.0, 0.7), (1, 2.0, 0.7)], "site int, delta double, fraction double"))
-
-
 def test_chemistry(spark):
     d = spark.createDataFrame([("pep-TIDEk r",)], "s string").select(chem.clean(F.col("s")).alias("s"))
     r = d.select("s", chem.peptide_mass(F.col("s")).alias("m"), chem.digest(F.col("s")).alias("d"), chem.fragments(F.substring("s", 1, 3)).alias("f")).first()
