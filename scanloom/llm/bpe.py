@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small_batches, trim
+
 #: The pattern of these vocabularies, and the same for the standard library's faster matcher where letters, numbers and
 #: white space are what that matcher takes for letters, digits and white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,9 +59,9 @@ class PrefixEncoder:
     """Vocabulary, automaton and pair tests for one vocabulary file of a byte-level BPE with word ends."""
 
     #: Pre-tokens kept with their encoding: bounds a worker's memory.
-    MEMO = 300_000
+    MEMO = 100_000
     #: Pair tests kept.
-    PAIRS = 1_000_000
+    PAIRS = 200_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -219,18 +221,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ``ids_le`` holds the ids as little-endian unsigned 32-bit integers; ``decoded`` what they decode to.
     ``vocabulary`` is the path of the vocabulary file on every executor.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # what one output batch holds stays small
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):  # what one output batch holds stays small
+                part = batch.slice(at, 250)
                 rows = [enc.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())],
                     names=["id", "ids_le", "decoded"],
                 )
+        trim()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids_le binary, decoded string").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import _P, _hashes  # one memo for all operators that run in a worker
-from .words import release, sliced, small_batches, stored
+from .words import release, sliced, small_batches, stored, trim
 
 SKETCH = 1 << 20
 #: Counters of the sketch travel in chunks of this size.
@@ -98,7 +98,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if held:
             sums += np.bincount(np.concatenate(held), minlength=SKETCH)
         at = range(0, SKETCH, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in at], pa.int32()), pa.array([sums[i : i + CHUNK].astype(np.int64).tolist() for i in at], pa.list_(pa.int64()))], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in at], pa.int32()), pa.array([sums[i : i + CHUNK] for i in at], pa.list_(pa.int64()))], names=["chunk", "counts"])
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -163,6 +164,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     ],
                     names=["token", "doc", "n", "bits", "few", "copy_of"],
                 )
+        del seen
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     return stored(rows.mapInArrow(run, "token long, doc long, n int, bits binary, few binary, copy_of long"))
@@ -250,6 +253,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(a, c, assume_unique=True))
                 keep.append(100 * common >= percent * (len(a) + len(c) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        sets.clear()
+        trim()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     known = stored(texts.mapInArrow(packed_texts, "doc long, z binary").join(wanted, F.col("doc") == F.col("_id")).select("doc", "z"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import sliced, small_batches
+from .words import sliced, small_batches, trim
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Scores below it reject a document. Junk scores about -0.25, clean text of the rarer languages about -0.05.
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, trusted_limit
                     size = 0
         add()
         raw, target = sums
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], names=["cell", "raw", "target"])
 
     counted = marked.mapInArrow(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target"))
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, trusted_limit
 
 def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base counts, score, base_failed, kept) of every document, under the given cell ratios."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     kind = docs.schema[id_col].dataType.simpleString()
 

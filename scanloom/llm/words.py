@@ -31,9 +31,17 @@ def sliced(batches, rows: int = 500):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's rows of one Arrow batch to 1,000 where nothing else was chosen: with long texts the default of 10,000 takes hundreds of MB in each task."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bounds the session's Arrow batches to 1,000 rows and 8 MB where nothing else was chosen: with long texts the default of 10,000 rows takes hundreds of MB in each task."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", f"{64 << 20}b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def trim() -> None:
+    """At a task's end: memory that Arrow keeps for later goes back, as workers live on and run the tasks of other operators."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
