@@ -2,11 +2,12 @@
 
 A token of 20 characters or more is taken for the encoding with the smallest alphabet that holds it. Three tests ask
 whether its characters look drawn at random from that alphabet: chi-squared uniformity, runs above and below the
-alphabet's middle, and lag-1 serial correlation. Their p-values are combined (Fisher). Natural tokens are far from random,
-so in each stratum of encoding and length the Benjamini-Hochberg procedure at level ``rate`` picks the tokens that are *not*
-random; of a stratum's random tokens it takes a share of ``rate`` at most for natural. What it leaves is a secret if it also holds
-``bits`` of entropy, below which the tests can't tell. The cut of each stratum comes from a histogram of the p-values of all
-documents, of fixed size.
+alphabet's middle, and lag-1 serial correlation. Their p-values are combined (Fisher) to a score. The score isn't a significance by itself, as the tests aren't
+independent; what counts is how often a *natural* token of the same encoding and length scores as random. That background is a fixed model: words joined
+as identifiers, paths and constants are, numbers counted and dated. A discovery is a token whose naturalness is rejected, and in each stratum of encoding
+and length the Benjamini-Hochberg procedure, with an estimate of the natural tokens' number, holds their share among the discoveries at ``rate``. So a short token, of which many natural ones
+look random too, is only taken where secrets abound; a long one nearly always. A secret also holds ``bits`` of entropy. The procedure
+works on a histogram of the scores of all documents' tokens, of fixed size.
 
 Spans are (kind, start, end) in code points. Kinds in order: assign, access, hex, random. Random spans that meet a base span
 are left out.
@@ -17,13 +18,18 @@ Defined results: a null text counts as empty and has no spans; repeated rows are
 from __future__ import annotations
 
 import math
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small_batches
+
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -99,8 +105,7 @@ def candidates(text: str) -> list[tuple[int, int, str, float, float]]:
     for m in _TOKEN.finditer(text):
         kind, codes = encoding_of(m[0].rstrip("="))
         size = len(ENCODINGS[kind][1])
-        band = min(int(4 * math.log2(len(codes) / 20)), 40)
-        out.append((m.start(), m.end(), f"{ENCODINGS[kind][0]}:{band}", battery(codes, size), len(codes) * math.log2(size)))
+        out.append((m.start(), m.end(), f"{ENCODINGS[kind][0]}:{band_of(len(codes))}", battery(codes, size), len(codes) * math.log2(size)))
     return out
 
 
@@ -125,8 +130,103 @@ def has_long_word(text: str) -> bool:
     return any(len(w) >= 20 for w in text.split())
 
 
+# Words of the background's identifiers.
+BACKGROUND_WORDS = (
+    "account action active address admin after agent alert allow amount archive array async attribute audit author balance base batch before binary block body branch browser buffer build bundle button cache "
+    "calculate callback cancel category channel check child class clear client close cluster code collection column command comment commit common compare component config connection content context control "
+    "convert count country create current customer data database date default delete depth description detail device dialog directory display document domain download edit element email enable encode engine "
+    "entity error event example exception execute export extension factory failure feature fetch field file filter final find first folder format forward frame function gateway generate global graph group "
+    "handler header height history home host image import index initial input insert instance interface internal invoice item job keyboard label language last layer length level library limit link list load"
+).split()
+#: Tokens of the background in each stratum of a style.
+BACKGROUND_SIZE = 1500
+#: Quarters of a power of two of the length over 20; the last stratum holds all that are longer.
+BANDS = 16
+
+
+def natural_token(rng: random.Random, style: str, length: int) -> str:
+    """A token as people and programs name things, cut to ``length``."""
+    out = ""
+    while len(out) < length:
+        w = rng.choice(BACKGROUND_WORDS)
+        if style == "camel":
+            out += w.capitalize() if out else w
+        elif style == "lower":
+            out += w
+        elif style == "UPPER":
+            out += w.upper()
+        elif style == "snake":
+            out += ("_" if out else "") + w
+        elif style == "path":
+            out += rng.choice(("/", "-", "/")) + rng.choice((w, w.capitalize(), w + str(rng.randint(0, 99))))
+        elif style == "numbered":
+            out += rng.choice((w, w.capitalize(), str(rng.randint(0, 2030))))
+        elif style == "CONSTANT":
+            out += w.upper() + rng.choice(("", str(rng.randint(0, 99))))
+        elif style == "digits":
+            out += rng.choice((f"{rng.randint(1990, 2030)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}", f"{rng.randint(0, 9999):06d}", str(rng.randint(0, 9)) * 3, f"{rng.randint(0, 23):02d}{rng.randint(0, 59):02d}{rng.randint(0, 59):02d}"))
+        else:  # hex and HEX: padded counters, flags and round numbers
+            x = rng.choice((f"{rng.randint(0, 0xFFFF):08x}", f"{rng.randint(0, 255):02x}00", "ff", "0" * 4, f"{rng.randint(0, 0xFFF):04x}"))
+            out += x.upper() if style == "HEX" else x
+    return out[:length]
+
+
+def band_of(length: int) -> int:
+    return min(int(4 * math.log2(length / 20)), BANDS - 1)
+
+
+@lru_cache(maxsize=1)
+def background() -> dict[tuple[str, int], tuple[list[int], list[tuple[float, float, float]]]]:
+    """Of each (encoding, band): the sorted score bins of natural tokens; and of each style in it its share, and mean and deviation of the scores' square roots."""
+    rng, bins = random.Random(1234), {}
+    for band in range(BANDS):
+        for style in ("camel", "lower", "UPPER", "snake", "path", "numbered", "CONSTANT", "digits", "hex", "HEX"):
+            for _ in range(BACKGROUND_SIZE if band < 8 else BACKGROUND_SIZE // 5):  # longer ones vary less
+                low, high = 20 * 2 ** (band / 4), 20 * 2 ** ((band + 1) / 4)
+                token = natural_token(rng, style, max(20, math.ceil(low + rng.random() * (high - low - 1))))
+                kind, codes = encoding_of(token)
+                bins.setdefault((ENCODINGS[kind][0], band_of(len(codes))), {}).setdefault(style, []).append(bin_of(battery(codes, len(ENCODINGS[kind][1]))))
+    out = {}
+    for k, styles in bins.items():
+        n, fits = sum(map(len, styles.values())), []
+        for x in styles.values():
+            roots = [math.sqrt(v) for v in x]
+            mean = sum(roots) / len(roots)
+            fits.append((len(x) / n, mean, max(1.0, math.sqrt(sum((v - mean) ** 2 for v in roots) / len(roots)))))
+        if n >= 100:
+            out[k] = (sorted(v for x in styles.values() for v in x), fits)
+    return out
+
+
+def natural_share(encoding: str, band: int, score: int) -> float:
+    """How many natural tokens of the stratum score ``score`` or less, that is, look as random as that or more.
+
+    Counted where 20 or more do. Below that, the tails of normal distributions of each style's square roots, as a chi-squared statistic is about normal and its
+    log-significance about quadratic in it. A stratum that the background doesn't have takes the largest share of any with its length.
+    """
+    known = background()
+    if (encoding, band) not in known:
+        return max(natural_share(e, b, score) for e, b in known if b == band)
+    x, fits = known[encoding, band]
+    at = bisect_right(x, score)
+    if at >= 20:
+        return at / len(x)
+    tail = sum(w * _tail((mean - math.sqrt(score + 0.5)) / dev) for w, mean, dev in fits)
+    return max(1e-12, min(tail, 20 / len(x)))
+
+
+def natural_part(encoding: str, band: int, counts: dict[int, int]) -> float:
+    """An upper estimate of the share of natural tokens among a stratum's: those that score above the background's median, against what the background has there."""
+    x, _ = background().get((encoding, band), (None, None))
+    if x is None:
+        return 1.0
+    median = x[len(x) // 2]
+    above = 1 - bisect_right(x, median) / len(x)
+    return min(1.0, (1 + sum(n for b, n in counts.items() if b > median)) / (sum(counts.values()) * above)) if above else 1.0
+
+
 def cuts(docs: DataFrame, text_col: str, rate: float) -> dict[str, int]:
-    """For each stratum the first bin (from likely to unlikely) whose tokens count as natural."""
+    """For each stratum the last score bin (from random to natural) whose tokens are discoveries."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,16 +234,25 @@ def cuts(docs: DataFrame, text_col: str, rate: float) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], names=["stratum", "bin"])
 
     seen = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(measure, "stratum string, bin int").groupBy("stratum", "bin").count()
-    w = Window.partitionBy("stratum").orderBy(F.desc("bin"))
-    ranked = seen.withColumn("k", F.sum("count").over(w)).withColumn("m", F.sum("count").over(Window.partitionBy("stratum")))
-    # The largest p-value of a bin is 2 ** (-bin / 8).
-    under = ranked.where(F.pow(F.lit(2.0), -F.col("bin") / 8) <= rate * F.col("k") / F.col("m"))
-    return {r["stratum"]: r["cut"] for r in under.groupBy("stratum").agg(F.min("bin").alias("cut")).collect()}  # a row a stratum
+    by: dict[str, dict[int, int]] = {}
+    for r in seen.collect():  # at most one row for each encoding, band and bin
+        by.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
+    out = {}
+    for stratum, counts in by.items():
+        encoding, band = stratum.split(":")
+        total, so_far = sum(counts.values()), 0
+        natural = total * natural_part(encoding, int(band), counts)
+        for b in sorted(counts):
+            so_far += counts[b]
+            if natural_share(encoding, int(band), b) * natural <= rate * so_far:
+                out[stratum] = b
+    return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, bits: float = 80.0) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, bits: float = 80.0) -> DataFrame:
     """(id_col, spans) with spans an array of (start, kind, end) in order, of every text."""
-    natural = cuts(docs, text_col, rate)
+    small_batches(docs.sparkSession)
+    last = cuts(docs, text_col, rate)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +265,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
                 if long_words:
                     taken = list(spans)
                     for start, end, stratum, p, entropy in candidates(text):
-                        if entropy >= bits and bin_of(p) < natural.get(stratum, BINS) and not any(s < end and start < e for s, _, e in taken):
+                        if entropy >= bits and bin_of(p) <= last.get(stratum, -1) and not any(s < end and start < e for s, _, e in taken):
                             spans.append((start, 3, end))
                 out.append([{"start": s, "kind": KINDS[k], "end": e} for s, k, e in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, shape)], names=["id", "spans"])

@@ -104,6 +104,26 @@ def test_secret_battery_finds_random_tokens_and_spares_words(spark):
     assert sum(got[i] for i in range(200, 400)) <= 2
 
 
+@pytest.mark.parametrize("length", [20, 24, 32, 40, 64])
+def test_secret_discoveries_are_rarely_identifiers(spark, length):
+    """Identifiers of other words than the background's: of what is discovered at most a tenth is natural at any length (the rate is a twentieth); from 40 on most secrets are found."""
+    rng = random.Random(length)
+    pool = "river stone window garden yellow bridge market winter doctor flower silver dinner pocket button letter danger forest island ladder mirror needle orange pepper rabbit shadow ticket valley wagon zebra hunter".split()
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for i in range(1200):
+        if i % 2:
+            token = "".join(rng.choice(base62) for _ in range(length))
+        else:
+            token = "".join(rng.choice(pool).capitalize() for _ in range(length))[:length]
+        rows.append((i, f"see {token} there"))
+    got = {r["doc_id"]: r["n_random"] for r in secrets.op4_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits, wrong = sum(got[i] for i in range(1, 1200, 2)), sum(got[i] for i in range(0, 1200, 2))
+    assert wrong <= 0.1 * (hits + wrong) + 1
+    if length >= 40:
+        assert hits >= 0.9 * 600
+
+
 def test_secrets_empty(empty):
     assert secrets.op4_secrets(empty).count() == 0
 
