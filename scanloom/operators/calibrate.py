@@ -47,3 +47,12 @@ def fit(points: DataFrame, mass: float, ppm: float, on: list[str], median_half:
 
     errors = hit.join(good, on).withColumn("i", F.row_number().over(Window.partitionBy(*on).orderBy("t")))
     return moving(moving(errors, on, median_half, "median"), on, average_half, "avg").select(*on, "t", F.col("y").alias("c0"))
+
+
+def calibration_functions(base_peaks: DataFrame, scale: float = 10.0, share: float = 0.6, least: int = 10, fewest_points: int = 4) -> DataFrame:
+    """(function, mz): functions that look like a lock mass: of their scans with ``fewest_points`` points or more there are ``least`` or more, and more than ``share`` of them have
+    their base peak in one bucket of trunc(mz * scale). ``base_peaks``: (function, scan, n, mz).
+    """
+    by = base_peaks.where(F.col("n") >= fewest_points).groupBy("function", F.expr(f"cast(mz * {scale} as long)").alias("bucket")).agg(F.count("*").alias("c"))
+    top = by.groupBy("function").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.min_by("bucket", F.struct(-F.col("c"), F.col("bucket"))).alias("bucket"))
+    return top.where((F.col("n") >= least) & (F.col("most") > share * F.col("n"))).select("function", (F.col("bucket") / scale).alias("mz"))

@@ -124,3 +124,8 @@ def mz_domain(scans: DataFrame, points: DataFrame, level: int = 1, most: int = 3
     n = F.count("*").over(Window.partitionBy("run"))
     some = dim.withColumn("step", F.greatest(F.lit(1), F.floor(n / most))).where("(idx - 1) % step = 0")
     return some.join(points, "scan", "left").groupBy("run").agg(F.coalesce(F.min("mz"), F.lit(200.0)).alias("lo"), F.coalesce(F.max("mz"), F.lit(2000.0)).alias("hi"))
+
+
+def random_scans(scans: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """A seeded sample of scans with replacement, about ``share`` of them."""
+    return scans.sample(True, share, seed)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.averagine import envelope
 from ..functions.chem import C13_GAP, PROTON
 from ..storage import stored
 from .cluster import collate, dbscan
@@ -19,7 +20,7 @@ MOST = 1000
 def scan_clusters(mz: np.ndarray, intensity: np.ndarray, tolerance: float, charges: int, least_correlation: float) -> list[tuple]:
     """(mz, intensity, charge, mass, isotopes, correlation) of one scan, strongest first; each takes its points away.
 
-    The charge is the one whose isotope comb gathers most; isotopes are compared with a Poisson envelope of about the mass's mean.
+    The charge is the one whose isotope comb gathers most; isotopes are compared with the averagine envelope of the mass, at every shift.
     """
     mz, y, out = mz, intensity.astype(float).copy(), []
     for i in np.argsort(-intensity, kind="stable"):
@@ -44,10 +45,9 @@ def scan_clusters(mz: np.ndarray, intensity: np.ndarray, tolerance: float, charg
             fits = []
             for first in range(top + 1):
                 mass = (mz[comb[first]] - PROTON) * z
-                k = np.arange(len(comb) - first)
-                envelope = np.exp(k * np.log(max(mass * 0.00055, 1e-6)) - np.cumsum(np.log(np.maximum(k, 1))))
+                theory = envelope(mass, len(comb) - first)
                 got = y[comb[first:]]
-                fits.append((float(np.dot(got, envelope) / (np.linalg.norm(got) * np.linalg.norm(envelope))) if len(got) > 1 else 0.0, -first, float(mass)))
+                fits.append((float(np.dot(got, theory) / (np.linalg.norm(got) * np.linalg.norm(theory))) if len(got) > 1 else 0.0, -first, float(mass)))
             c, first, mass = max(fits)
             comb = comb[-first:]
             if c >= least_correlation:
@@ -113,3 +113,24 @@ def find(points: DataFrame, eps: float = 5.01, least: int = 3, mass_scale: float
     # Runs lie so far apart on the first axis that their clusters never meet.
     apart = found.withColumn("idx", F.col("idx") + F.col("run").cast("double") * 1e7)
     return features(apart, eps, least, mass_scale)
+
+
+def admitted(features: DataFrame, least_mass: float, most_mass: float, least_width: float) -> DataFrame:
+    """Features (mass, start, end, ...) with a mass above the least and up to the most, and wide enough in time."""
+    return features.where((F.col("mass") > least_mass) & (F.col("mass") <= most_mass) & (F.col("end") - F.col("start") >= least_width))
+
+
+def clusters_admitted(clusters: DataFrame, cutoff: float, least_mass: float) -> DataFrame:
+    """Charge clusters (correlation, mass, ...) that correlate better than the cutoff and are heavy enough."""
+    return clusters.where((F.col("correlation") > cutoff) & (F.col("mass") >= least_mass))
+
+
+def peptide_list(features: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The list of peptides to look for, in its fixed order of columns, from (feature, mass, start, end, charges) and the known (feature, sequence).
+
+    A feature without a sequence is named UNKNOWN_ and its number; of several sequences of one feature the first by text counts.
+    """
+    known = sequences.groupBy("feature").agg(F.min("sequence").alias("sequence"))
+    name = F.coalesce("sequence", F.concat(F.lit("UNKNOWN_"), F.col("feature").cast("string")))
+    out = features.join(known, "feature", "left")
+    return out.select("feature", name.alias("Sequence"), F.col("mass").alias("UnchargedMass"), F.col("start").alias("StartTime"), F.col("end").alias("EndTime"), F.col("charges").alias("ChargeList"))

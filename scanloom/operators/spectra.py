@@ -28,6 +28,54 @@ def closest_index(points: Column, x: Column) -> Column:
     return F.when(F.size(points) == 0, -1).otherwise(F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
 
+def index_at_or_below(points: Column, x: Column) -> Column:
+    """0-based index of the last point at or left of x; -1 left of the data, -2 right of it or without points."""
+    xs = F.transform(points, lambda p: p["x"])
+    return F.when((F.size(points) == 0) | (x > F.array_max(xs)), -2).otherwise(F.size(F.filter(points, lambda p: p["x"] <= x)) - 1).cast("int")
+
+
+def sum_by_index(points: Column, a: Column, b: Column) -> Column:
+    """Sum of y from the last point at or left of a, or the first point, to the last one at or left of b: one point left of a may be in it."""
+    before = lambda x: F.size(F.filter(points, lambda p: p["x"] <= x))
+    first = F.greatest(before(a), F.lit(1))
+    return F.aggregate(F.slice(points, first, F.greatest(before(b) - first + 1, F.lit(0))), F.lit(0.0), lambda s, p: s + p["y"])
+
+
+def positive(points: DataFrame, least: float = 1e-20) -> DataFrame:
+    """Points with an intensity above ``least``."""
+    return points.where(F.col("intensity") > least)
+
+
+def spaced_top_k(points: Column, k: int, spacing: float) -> Column:
+    """The k most intense of an array of (x, y), none nearer than ``spacing`` to a stronger one that was taken; in order of intensity, then x."""
+    order = F.array_sort(F.transform(points, lambda p: F.struct((-p["y"]).alias("o"), p["x"].alias("x"))))
+    none = F.array().cast("array<struct<o:double,x:double>>")
+    taken = F.aggregate(order, none, lambda a, p: F.when((F.size(a) < k) & ~F.exists(a, lambda q: F.abs(q["x"] - p["x"]) < spacing), F.concat(a, F.array(p))).otherwise(a))
+    return F.transform(taken, lambda p: F.struct(p["x"].alias("x"), (-p["o"]).alias("y")))
+
+
+def alike(a: Column, b: Column, fudge: float) -> Column:
+    """Whether two arrays have one length and differ by ``fudge`` at most at each place."""
+    return F.when(F.size(a) != F.size(b), False).otherwise(F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= fudge), lambda ok: ok))
+
+
+def nth_element(points: DataFrame, on: Sequence[str], share: float) -> DataFrame:
+    """(on, value): element floor(n * share), from 0, of the sorted intensities of each group, found by counts of equal values: no group is held in one array."""
+    counts = points.groupBy(*on, "intensity").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*on)
+    upto = counts.withColumns({"_upto": F.sum("c").over(w.orderBy("intensity").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("c").over(w)})
+    return upto.where(F.col("_upto") > F.floor(F.col("_n") * share)).groupBy(*on).agg(F.min("intensity").alias("value"))
+
+
+def nearest_within(points: DataFrame, targets: DataFrame, ppm: float) -> DataFrame:
+    """(scan, mass, mz, intensity): of each scan the point nearest to each target mass, if it lies within ppm; the smaller m/z of equals."""
+    from .joins import interval_join
+
+    w = targets.select("mass", (F.col("mass") * (1 - ppm / 1e6)).alias("lo"), (F.col("mass") * (1 + ppm / 1e6)).alias("hi"))
+    near = F.min_by(F.struct("mz", "intensity"), F.struct(F.abs(F.col("mz") - F.col("mass")), F.col("mz"), -F.col("intensity"))).alias("p")
+    return interval_join(points, "mz", w, "lo", "hi", 1.0).groupBy("scan", "mass").agg(near).select("scan", "mass", "p.*")
+
+
 def scaled(points: Column, sx: float, sy: float, dx: float = 0.0, dy: float = 0.0) -> Column:
     return F.transform(points, lambda p: F.struct((p["x"] * sx + dx).alias("x"), (p["y"] * sy + dy).alias("y")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,19 @@ def hills(points: DataFrame, on: list[str], mz_gap: float, scan_gap: int = 2) ->
     w = Window.partitionBy(*on, "bin").orderBy("idx", "mz")
     new = F.coalesce((F.col("idx") - F.lag("idx").over(w) > scan_gap).cast("int"), F.lit(0))
     return binned.withColumn("_new", new).withColumn("hill", F.sum("_new").over(w)).drop("_new")
+
+
+def slice_of(cells: DataFrame, axis: str, index: int) -> DataFrame:
+    """The row of cells at one m/z (``bx``) or time (``bt``) of a raster."""
+    return cells.where(F.col(axis) == index)
+
+
+def accumulated(grid: DataFrame, other: DataFrame, on: list[str], factor: float = 1.0) -> DataFrame:
+    """(on, bin, y): the grid plus ``factor`` times another of the same step; cells that one lacks count as 0."""
+    both = grid.select(*on, "bin", "y").unionByName(other.select(*on, "bin", (F.col("y") * factor).alias("y")))
+    return both.groupBy(*on, "bin").agg(F.sum("y").alias("y"))
+
+
+def zoom_level(world: Column, pixels: Column) -> Column:
+    """The level of the pyramid whose cells are the largest that aren't larger than a pixel: floor(log2(world / pixels)), 0 at least."""
+    return F.floor(F.log2(F.greatest(F.lit(1.0), world / pixels))).cast("int")

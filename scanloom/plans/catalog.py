@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chrom_queries, report_queries, series_queries, spectra_queries, table_queries  # noqa: F401
+from . import annotation_queries, chrom_queries, report_queries, series_queries, spectra_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
