@@ -286,7 +286,11 @@ class Family:
         return out
 
 
-def _scan_levels(rows: DataFrame, width: int, batch_rows: int) -> DataFrame:
+#: Bytes of text whose entries one task's family holds, about one entry for 18 bytes.
+TASK_BYTES = 24 << 20
+
+
+def _scan_levels(rows: DataFrame, width: int, batch_rows: int, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, size = Family(width), [], 0
 
@@ -318,7 +322,7 @@ def _scan_levels(rows: DataFrame, width: int, batch_rows: int) -> DataFrame:
             yield from close(True)
 
     key = F.shiftrightunsigned("a", 14)
-    ordered = rows.repartition(key).sortWithinPartitions("doc")
+    ordered = rows.repartition(partitions, key).sortWithinPartitions("doc")
     return ordered.mapInArrow(run, "doc long, lo int, hi int, kind byte")
 
 
@@ -385,7 +389,7 @@ def _windows_of(texts: DataFrame, width: int, chunk: int, buckets: int) -> DataF
     return texts.mapInArrow(run, "bucket int, w binary, rest binary")
 
 
-def _judge(windows: DataFrame, width: int) -> DataFrame:
+def _judge(windows: DataFrame, width: int, partitions: int) -> DataFrame:
     """(doc, lo, hi): bytes covered by windows of smaller documents, and those known before. One bucket at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +419,7 @@ def _judge(windows: DataFrame, width: int) -> DataFrame:
         if held:
             yield close()
 
-    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, lo int, hi int")
+    return windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, lo int, hi int")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20, batch_rows: int = 1 << 17) -> DataFrame:
@@ -424,13 +428,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
         raise ValueError(f"width must be {3 * GRAM} or more")
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    spans = _scan_levels(_entries_of(docs, width, chunk_bytes), width, batch_rows)
+    # Tasks by the bytes of the texts, so what a family holds doesn't grow with the input; the session's number if that is more.
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    spans = _scan_levels(_entries_of(docs, width, chunk_bytes), width, batch_rows, partitions)
     asked = stored(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans")))
     del spans
     release(spark)  # the entries' shuffle files
     some = docs.where("text is not null").join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    covered = stored(_judge(_windows_of(some, width, 2_000_000, buckets), width))
+    covered = stored(_judge(_windows_of(some, width, 2_000_000, 2 * partitions), width, partitions))
     release(spark, asked)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

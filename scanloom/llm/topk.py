@@ -6,9 +6,10 @@ Each vector is keyed by its nearest pivot and its distance to it; the keys are s
 its stretch into blocks, sorted annuli of the pivots. A *cell* is the part of one pivot's annuli that one task holds, so there are at
 most as many cells as partitions and pivots together, whatever the number of vectors: the driver holds their bounds.
 
-A query first searches the cell of its own key, which gives the k-th best score so far and so a radius. By the triangle
-inequality only annuli within that radius of its distance to a pivot can hold better vectors; it visits the cells, and in them the blocks, that
-meet them. Queries travel in batches of ``batch`` and are scored against blocks with one matrix product.
+A query orders the cells by the least distance that its distances to their pivots allow, the cell of its own key first, and expands over them in rounds: the first
+cell, those up to the sixth, the rest. After each round its k-th best score so far gives a smaller radius, and by the triangle inequality
+only annuli within it can hold better vectors; a query is sent no further than they reach, to the cells, and in them to the blocks, that meet it.
+Queries travel in batches of ``batch`` and are scored against blocks with one matrix product.
 
 Of equal vectors only the k + 1 smallest ids, each on k rows at most, can be among anybody's k best, so the others aren't indexed: no loss, and a
 very common vector doesn't grow a cell.
@@ -109,6 +110,7 @@ def search(
     sample: int = 4096,
     block: int = 2048,
     batch: int = 256,
+    rounds: tuple[int, ...] = (1, 6),
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of every query among (vec_id, v) with v an array of longs."""
     spark = vectors.sparkSession
@@ -162,8 +164,9 @@ def search(
     queries = rows.where(is_query).select("vec_id", "v").distinct().mapInArrow(key, keyed)
     queries = stored(queries.repartitionByRange(n, "pivot", "r", "vec_id").sortWithinPartitions("pivot", "r"))
 
-    def visits(home: bool):
-        """Batches of queries for the cells that they must search: the cell of their key, or all within their radius."""
+    def visits(seen: int, upto: int | None):
+        """Batches of queries for the cells that they search in a round: those from the ``seen``-th on in order of the least distance that their annuli allow, the cell
+        of the query's own key first, as far as they meet its radius."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, c = shared.value, cells.value
@@ -172,15 +175,16 @@ def search(
                     p = b.slice(start, batch).to_pydict()
                     q = np.frombuffer(b"".join(p["x"]), np.int64).reshape(-1, g.dim)
                     ids, least = np.array(p["vec_id"], np.int64), np.array(p["least"], np.int64)
-                    d = g.distances(q, np.zeros(len(q)))
-                    if home:
-                        r, own = np.array(p["r"])[:, None], np.array(p["pivot"])[:, None] == c["pivot"]
-                        gap = np.where(own, np.maximum(np.maximum(c["lo"] - r, r - c["hi"]), 0), np.inf)
-                        gap = np.where(own.any(1)[:, None], gap, np.abs(d[:, c["pivot"]] - c["lo"]))
-                        go = np.arange(len(c["cell"])) == gap.argmin(1)[:, None]
-                    else:
-                        rho, at = g.radius(q, least)[:, None], d[:, c["pivot"]]
-                        go = (at - rho <= c["hi"]) & (at + rho >= c["lo"])
+                    at = g.distances(q, np.zeros(len(q)))[:, c["pivot"]]
+                    r, own = np.array(p["r"])[:, None], np.array(p["pivot"])[:, None] == c["pivot"]
+                    apart = np.maximum(np.maximum(c["lo"] - at, at - c["hi"]), 0)
+                    gap = np.where(own, np.maximum(np.maximum(c["lo"] - r, r - c["hi"]), 0), np.inf)
+                    home = np.where(own.any(1), gap.argmin(1), apart.argmin(1))
+                    apart[np.arange(len(q)), home] = -1
+                    place = np.empty_like(apart, dtype=np.int64)
+                    np.put_along_axis(place, apart.argsort(1, kind="stable"), np.arange(apart.shape[1])[None, :], 1)
+                    rho = g.radius(q, least)[:, None]
+                    go = (place >= seen) & (place < (upto or apart.shape[1])) & (at - rho <= c["hi"]) & (at + rho >= c["lo"])
                     out = [(int(c["cell"][j]), ids[m].tobytes(), q[m].tobytes(), least[m].tobytes()) for j in np.flatnonzero(go.any(0)) for m in [go[:, j]]]
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["at", "qids", "qs", "least"])
 
@@ -202,16 +206,20 @@ def search(
 
     top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
-    def found(with_least: DataFrame, home: bool) -> DataFrame:
-        sent = with_least.mapInArrow(visits(home), "at long, qids binary, qs binary, least binary")
+    so_far, known = None, queries.withColumn("least", F.lit(int(_LEAST)).cast("long"))
+    for seen, upto in zip((0, *rounds), (*rounds, None)):
+        sent = known.mapInArrow(visits(seen, upto), "at long, qids binary, qs binary, least binary")
         pairs = blocks.join(sent, F.col("cell") == F.col("at")).select("pivot", "lo", "hi", "ids", "xs", "qids", "qs", "least")
-        return pairs.mapInArrow(score, "query_id long, vec_id long, score long").withColumn("rank", top).where(F.col("rank") <= k)
-
-    start = found(queries.withColumn("least", F.lit(int(_LEAST)).cast("long")), True)
-    kth = stored(start.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("least")))
-    known = queries.join(kth, F.col("vec_id") == F.col("_q"), "left").drop("_q")
-    known = known.withColumn("least", F.coalesce("least", F.lit(int(_LEAST)).cast("long"))).repartitionByRange(n, "pivot", "r", "vec_id")
-    return found(known, False).select("query_id", "rank", "vec_id", "score")
+        now = pairs.mapInArrow(score, schema.replace(" rank int,", "")).select("query_id", "vec_id", "score")
+        now = (now.unionByName(so_far) if so_far is not None else now).withColumn("rank", top).where(F.col("rank") <= k)
+        if upto is None:
+            return now.select("query_id", "rank", "vec_id", "score")
+        now = stored(now)
+        so_far = now.select("query_id", "vec_id", "score")
+        kth = now.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("least"))
+        known = queries.join(kth, F.col("vec_id") == F.col("_q"), "left").drop("_q")
+        known = known.withColumn("least", F.coalesce("least", F.lit(int(_LEAST)).cast("long"))).repartitionByRange(n, "pivot", "r", "vec_id")
+    raise AssertionError("the last round has no end")
 
 
 def op1_topk(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
