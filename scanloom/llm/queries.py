@@ -48,8 +48,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_quality that SQL can say."""
+    return op3(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4_secrets that SQL can say."""
+    return op4(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict:
-    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op9_repeats": op9, "op10_licenses": op10}
+    return {"op1_topk": op1, "op2_pii": op2, "op3_quality": op3, "op4_secrets": op4, "op5_bpe": op5, "op6_mixing": op6, "op7_jaccard": op7, "op8_warc": op8, "op9_repeats": op9, "op10_licenses": op10, "quality_base": quality_base, "secrets_base": secrets_base}
 
 
 _TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -73,6 +83,20 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_t
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 
+_QUALITY = r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+u AS (SELECT r, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w),
+g AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS c FROM g WHERE five IS NOT NULL),
+k AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + unnest([0, 1, 2, 3, 4]) AS i FROM f WHERE c > 1) GROUP BY r),
+b AS (SELECT w.r, doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(k.n, 0) AS n_repeat_words FROM w LEFT JOIN k USING (r))
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b"""
+
+_SECRETS = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force, a library or a round trip."""
-    return {"op1_topk": _TOPK, "op7_jaccard": _JACCARD, "op8_warc": _WARC}
+    return {"op1_topk": _TOPK, "op7_jaccard": _JACCARD, "op8_warc": _WARC, "quality_base": _QUALITY, "secrets_base": _SECRETS}

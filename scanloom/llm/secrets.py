@@ -22,10 +22,9 @@ import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import small_batches
@@ -175,18 +174,36 @@ def band_of(length: int) -> int:
     return min(int(4 * math.log2(length / 20)), BANDS - 1)
 
 
-@lru_cache(maxsize=1)
-def background() -> dict[tuple[str, int], tuple[list[int], list[tuple[float, float, float]]]]:
-    """Of each (encoding, band): the sorted score bins of natural tokens; and of each style in it its share, and mean and deviation of the scores' square roots."""
-    rng, bins = random.Random(1234), {}
-    for band in range(BANDS):
-        for style in ("camel", "lower", "UPPER", "snake", "path", "numbered", "CONSTANT", "digits", "hex", "HEX"):
-            for _ in range(BACKGROUND_SIZE if band < 8 else BACKGROUND_SIZE // 5):  # longer ones vary less
-                low, high = 20 * 2 ** (band / 4), 20 * 2 ** ((band + 1) / 4)
-                token = natural_token(rng, style, max(20, math.ceil(low + rng.random() * (high - low - 1))))
-                kind, codes = encoding_of(token)
-                bins.setdefault((ENCODINGS[kind][0], band_of(len(codes))), {}).setdefault(style, []).append(bin_of(battery(codes, len(ENCODINGS[kind][1]))))
-    out = {}
+STYLES = ("camel", "lower", "UPPER", "snake", "path", "numbered", "CONSTANT", "digits", "hex", "HEX")
+_model: dict[tuple[str, int], tuple[list[int], list[tuple[float, float, float]]]] = {}
+
+
+def background_scores(band: int, style: str) -> Iterator[tuple[str, int, int]]:
+    """(encoding, band, score bin) of natural tokens of a style, of lengths in a band."""
+    rng = random.Random(f"{band}/{style}")
+    low, high = 20 * 2 ** (band / 4), 20 * 2 ** ((band + 1) / 4)
+    for _ in range(BACKGROUND_SIZE if band < 8 else BACKGROUND_SIZE // 5):  # longer ones vary less
+        kind, codes = encoding_of(natural_token(rng, style, max(20, math.ceil(low + rng.random() * (high - low - 1)))))
+        yield ENCODINGS[kind][0], band_of(len(codes)), bin_of(battery(codes, len(ENCODINGS[kind][1])))
+
+
+def background(spark: SparkSession) -> dict[tuple[str, int], tuple[list[int], list[tuple[float, float, float]]]]:
+    """Of each (encoding, band): the sorted score bins of natural tokens; and of each style in it its share, and mean and deviation of the scores' square roots.
+
+    The model is the same for all inputs: it is made once by small tasks and kept.
+    """
+    if _model:
+        return _model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i % len(STYLES), *r) for i in batch.column(0).to_pylist() for r in background_scores(i // len(STYLES), STYLES[i % len(STYLES)])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["style", "encoding", "band", "bin"])
+
+    made = spark.range(0, BANDS * len(STYLES), 1, BANDS).mapInArrow(run, "style int, encoding string, band int, bin int")
+    bins: dict = {}
+    for r in made.collect():  # BANDS times STYLES times BACKGROUND_SIZE rows at most
+        bins.setdefault((r["encoding"], r["band"]), {}).setdefault(r["style"], []).append(r["bin"])
     for k, styles in bins.items():
         n, fits = sum(map(len, styles.values())), []
         for x in styles.values():
@@ -194,19 +211,18 @@ def background() -> dict[tuple[str, int], tuple[list[int], list[tuple[float, flo
             mean = sum(roots) / len(roots)
             fits.append((len(x) / n, mean, max(1.0, math.sqrt(sum((v - mean) ** 2 for v in roots) / len(roots)))))
         if n >= 100:
-            out[k] = (sorted(v for x in styles.values() for v in x), fits)
-    return out
+            _model[k] = (sorted(v for x in styles.values() for v in x), sorted(fits))
+    return _model
 
 
-def natural_share(encoding: str, band: int, score: int) -> float:
-    """How many natural tokens of the stratum score ``score`` or less, that is, look as random as that or more.
+def natural_share(known: dict, encoding: str, band: int, score: int) -> float:
+    """How many of the ``known`` background's tokens of the stratum score ``score`` or less, that is, look as random as that or more.
 
     Counted where 20 or more do. Below that, the tails of normal distributions of each style's square roots, as a chi-squared statistic is about normal and its
     log-significance about quadratic in it. A stratum that the background doesn't have takes the largest share of any with its length.
     """
-    known = background()
     if (encoding, band) not in known:
-        return max(natural_share(e, b, score) for e, b in known if b == band)
+        return max(natural_share(known, e, b, score) for e, b in known if b == band)
     x, fits = known[encoding, band]
     at = bisect_right(x, score)
     if at >= 20:
@@ -215,9 +231,9 @@ def natural_share(encoding: str, band: int, score: int) -> float:
     return max(1e-12, min(tail, 20 / len(x)))
 
 
-def natural_part(encoding: str, band: int, counts: dict[int, int]) -> float:
+def natural_part(known: dict, encoding: str, band: int, counts: dict[int, int]) -> float:
     """An upper estimate of the share of natural tokens among a stratum's: those that score above the background's median, against what the background has there."""
-    x, _ = background().get((encoding, band), (None, None))
+    x, _ = known.get((encoding, band), (None, None))
     if x is None:
         return 1.0
     median = x[len(x) // 2]
@@ -237,14 +253,14 @@ def cuts(docs: DataFrame, text_col: str, rate: float) -> dict[str, int]:
     by: dict[str, dict[int, int]] = {}
     for r in seen.collect():  # at most one row for each encoding, band and bin
         by.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
-    out = {}
+    out, known = {}, background(docs.sparkSession)
     for stratum, counts in by.items():
         encoding, band = stratum.split(":")
         total, so_far = sum(counts.values()), 0
-        natural = total * natural_part(encoding, int(band), counts)
+        natural = total * natural_part(known, encoding, int(band), counts)
         for b in sorted(counts):
             so_far += counts[b]
-            if natural_share(encoding, int(band), b) * natural <= rate * so_far:
+            if natural_share(known, encoding, int(band), b) * natural <= rate * so_far:
                 out[stratum] = b
     return out
 
