@@ -12,7 +12,7 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component) of all ids in (u, v), component the smallest id reachable.
 
     Contraction: in each round every node hooks onto the neighbour that comes first in an order drawn anew for the round, paths are cut short by
-    following pointers three times, and the links are written again between the nodes hooked onto. In a random order about a third of
+    following pointers twice more, and the links are written again between the nodes hooked onto. In a random order about a third of
     a path's nodes are hooked onto, so links shrink by a constant factor a round, long chains included. The rounds' maps are
     then composed from the last to the first. Each step is a partial aggregation or a join that can be split at a hot key, and every result is
     a stored table, so a lost executor costs a retry and plans and size estimates don't grow. It is an error if links are left
@@ -27,8 +27,8 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
         both = edges.select("u", place("v").alias("p")).union(edges.select(F.col("v").alias("u"), place("u").alias("p")))
         first = both.groupBy("u").agg(F.min("p").alias("p"))
         hooks = stored(first.select(F.col("u").alias("id"), F.least("p", place("u"))["x"].alias("to")))
-        for _ in range(3):
-            up = hooks.select(F.col("id").alias("_i"), F.col("to").alias("_t"))
+        up = hooks.select(F.col("id").alias("_i"), F.col("to").alias("_t"))
+        for _ in range(2):
             hooks = hooks.join(up, F.col("to") == F.col("_i")).select("id", F.col("_t").alias("to"))
         hooks = stored(hooks)
         maps.append(hooks)
