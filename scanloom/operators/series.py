@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import interpolate
+from .spectra import spaced_top_k
 
 
 def _order(on: Sequence[str], by: str = "i"):
@@ -120,6 +121,15 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return (k / k.sum()).tolist()
 
 
+def smooth_centroids(series: DataFrame, on: Sequence[str], sigma: float, radius: float, k: int) -> DataFrame:
+    """(on, t, y): centroids of the smoothed series, the strongest first: one that lies nearer than ``radius`` to a stronger one is merged into it, and at most
+    ``k`` of each key are left. ``on`` names single scans, whose centroids are one array; ``sigma`` counts points.
+    """
+    tops = centroid3(convolve(series, on, gaussian_kernel(sigma), True), on)
+    lists = tops.groupBy(*on).agg(F.collect_list(F.struct(F.col("t").alias("x"), "y")).alias("_p"))
+    return lists.select(*on, F.explode(spaced_top_k(F.col("_p"), k, radius)).alias("p")).select(*on, F.col("p.x").alias("t"), "p.y")
+
+
 def islands(points: DataFrame, on: Sequence[str], x: str, gap: float, least: int = 1) -> DataFrame:
     """(on, island, lo, hi, n): runs of x whose neighbours are at most ``gap`` apart, with ``least`` members or more."""
     w = Window.partitionBy(*on).orderBy(x)

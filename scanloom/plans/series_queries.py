@@ -220,3 +220,12 @@ def central_series(spark, d):
 def warp_anchors(spark, d):
     s = series(spark, d)
     return align.find_warps(s, s.agg(F.min("channel")).first()[0])
+
+
+@query()
+def smooth_centroids(spark, d):
+    s = series(spark, d).withColumn("hour", F.floor(F.col("t") / 86400).cast("long"))
+    from pyspark.sql import Window
+
+    s = s.withColumn("i", F.row_number().over(Window.partitionBy("channel", "hour").orderBy("i")))
+    return S.smooth_centroids(s, ["channel", "hour"], 1.5, 1800.0, 1000)

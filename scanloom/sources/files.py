@@ -180,3 +180,21 @@ def fingerprint(content: Column, samples: int = 10, width: int = 65_536) -> Colu
     step = F.floor(n / samples).cast("int")
     some = F.concat(n.cast("string").cast("binary"), *[F.substring(content, F.lit(i) * step + 1, F.lit(width)) for i in range(samples)])
     return F.when(n <= samples * width, F.sha1(content)).otherwise(F.sha1(some))
+
+
+def write_calibration(coefficients: DataFrame, path: str) -> None:
+    """One row a run, its coefficients (t, c0, c1, c2) in order of time."""
+    series = F.array_sort(F.collect_list(F.struct("t", "c0", "c1", "c2"))).alias("coefficients")
+    coefficients.groupBy("run").agg(series).write.mode("overwrite").parquet(path)
+
+
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """(run, t, c0, c1, c2)."""
+    return spark.read.parquet(path).select("run", F.explode("coefficients").alias("c")).select("run", "c.*")
+
+
+def write_scans(points: DataFrame, first: int, last: int, path: str) -> None:
+    """The points (scan, mz, intensity) of the scans from ``first`` to ``last`` as text, a folder a scan, named by its number with eight digits."""
+    some = points.where(F.col("scan").between(first, last)).withColumn("name", F.lpad(F.col("scan").cast("string"), 8, "0"))
+    rows = some.repartition("name").sortWithinPartitions("name", "mz")
+    rows.select("name", "mz", "intensity").write.mode("overwrite").option("header", True).partitionBy("name").csv(path)

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanloom.functions.averagine import envelope
-from scanloom.operators import calibrate, compare, features, rows, spectra, tiles
+from scanloom.operators import calibrate, chrom, compare, features, rows, series, spectra, tiles
+from scanloom.sources import files
 
 
 def got(df, *cols):
@@ -72,3 +73,43 @@ def test_noise_and_calibration(spark):
     points = spark.createDataFrame([(1, 0.0, 100.0), (1, 5.0, 100.0), (1, 20.0, 200.0)], "run int, t double, mz double")
     errors = spark.createDataFrame([(1, 0.0, 0.1), (1, 10.0, 0.3)], "run int, t double, c0 double")
     assert [round(r[0], 6) for r in got(calibrate.calibrate_ppm(points, errors, 100.0, ["run"]), "mz")] == [199.4, 99.8, 99.9]
+
+
+def test_smooth_centroids(spark):
+    y = [0, 0, 1, 4, 9, 4, 1, 0, 0, 1, 3, 1, 0, 0, 0, 0, 0, 2, 8, 2, 0.0]
+    s = spark.createDataFrame([(1, i, float(i), float(v)) for i, v in enumerate(y, 1)], "k int, i int, t double, y double")
+    kernel = series.gaussian_kernel(1.0)
+    smooth = np.convolve(np.pad(y, 4, "edge"), kernel, "valid")
+    tops = [i for i in range(1, len(y) - 1) if smooth[i - 1] < smooth[i] > smooth[i + 1]]
+    want = sorted(((sum((i + 1 + d) * smooth[i + d] for d in (-1, 0, 1)) / smooth[i - 1 : i + 2].sum()), smooth[i]) for i in tops)
+    out = [(t, y_) for t, y_ in got(series.smooth_centroids(s, ["k"], 1.0, 0.0, 10), "t", "y")]
+    assert len(tops) == 3 and np.allclose(sorted(out), want)
+    near = series.smooth_centroids(s, ["k"], 1.0, 7.0, 10).count()
+    assert near == 2 and series.smooth_centroids(s, ["k"], 1.0, 0.0, 1).count() == 1
+
+
+def test_checkpointed_range_sums(spark):
+    rng = np.random.default_rng(3)
+    points = [(1, i, float(m), float(rng.integers(1, 9))) for i in range(1, 41) for m in np.sort(rng.uniform(0, 20, rng.integers(0, 5)))]
+    df = spark.createDataFrame(points, "run int, idx int, mz double, intensity double")
+    index = spark.createDataFrame([(1, i) for i in range(1, 41)], "run int, idx int")
+    grid = chrom.interpolated_grid(df, 0.5)
+    kept = chrom.checkpoint_scans(index, 6)
+    assert sorted(r["at"] for r in kept.collect()) == [6, 12, 18, 24, 30, 36, 40]
+    ranges = [(1, 1, 1, 40), (2, 1, 7, 9), (3, 1, 6, 6), (4, 1, 13, 33), (5, 1, 39, 999)]
+    out = chrom.range_sum_checkpointed(grid, kept, chrom.checkpoints(grid, kept), spark.createDataFrame(ranges, "range_id int, run int, i0 int, i1 int"))
+    want: dict = {}
+    cells = [tuple(r) for r in grid.select("idx", "bin", "y").collect()]
+    for k, _, a, b in ranges:
+        for i, x, v in cells:
+            want[k, x] = want.get((k, x), 0.0) + (v if a <= i <= b else 0.0)
+    have = {(r["range_id"], r["bin"]): r["y"] for r in out.collect()}
+    assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_calibrations_and_scans_on_disk(spark, tmp_path):
+    c = spark.createDataFrame([(1, 2.0, 0.1, 0.0, 0.0), (1, 1.0, 0.2, 0.0, 0.0), (2, 1.0, 0.3, 0.0, 0.0)], "run int, t double, c0 double, c1 double, c2 double")
+    files.write_calibration(c, f"{tmp_path}/calibration")
+    assert got(files.read_calibration(spark, f"{tmp_path}/calibration"), "run", "t", "c0") == got(c, "run", "t", "c0")
+    files.write_scans(spark.createDataFrame([(7, 2.0, 1.0), (7, 1.0, 5.0), (9, 1.0, 1.0)], "scan int, mz double, intensity double"), 1, 8, f"{tmp_path}/scans")
+    assert [p.name for p in (tmp_path / "scans").iterdir() if p.is_dir()] == ["name=00000007"]
