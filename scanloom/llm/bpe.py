@@ -59,7 +59,7 @@ class PrefixEncoder:
     """Vocabulary, automaton and pair tests for one vocabulary file of a byte-level BPE with word ends."""
 
     #: Pre-tokens kept with their encoding: bounds a worker's memory.
-    MEMO = 100_000
+    MEMO = 200_000
     #: Pair tests kept.
     PAIRS = 200_000
 
