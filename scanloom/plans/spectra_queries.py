@@ -117,10 +117,21 @@ def calibrate_poly(spark, d):
     return out.groupBy("run", "scan").agg(F.count("*").alias("n"), F.round(F.sum("mz"), 4).alias("mz"))
 
 
-@query()
+def _shifted(values: str) -> str:
+    """Five values around place i, from 0; at the ends the window is shifted inward."""
+    first = f"greatest(0, least(i - 2, len({values}) - 5))"
+    return f"{values}[{first} + 1:{first} + 5]"
+
+
+@query(f"""WITH {SCANS_SQL}, {POINTS_SQL}, q AS (SELECT s.run, s.rt AS t, p.mz, p.intensity FROM points p JOIN scans s USING (scan)), n AS (SELECT run, count(DISTINCT t) AS n FROM q GROUP BY run),
+h AS (SELECT run, t, arg_min(mz, (-intensity, mz)) - 300 AS y FROM q WHERE abs(mz - 300) <= 90 GROUP BY run, t), g AS (SELECT run, count(*) AS h FROM h GROUP BY run),
+l AS (SELECT run, list(t ORDER BY t) AS ts, list(y ORDER BY t) AS ys FROM h JOIN g USING (run) JOIN n USING (run) WHERE g.h > 0.5 * n.n AND g.h > 5 GROUP BY run),
+m AS (SELECT run, ts, list_transform(range(len(ys)), lambda i: list_sort({_shifted("ys")})[CAST(floor(least(5, len(ys)) / 2) AS BIGINT) + 1]) AS ms FROM l),
+v AS (SELECT run, ts, list_transform(range(len(ms)), lambda i: list_avg({_shifted("ms")})) AS cs FROM m)
+SELECT run, unnest(ts) AS t, round(unnest(cs), 6) AS c0 FROM v""")
 def calibration_fit(spark, d):
     p = points(spark, d).join(scans(spark, d).select("run", F.col("rt").alias("t"), "scan"), "scan")
-    return calibrate.fit(p, 300.0, 300000.0, ["run"], share=0.5)
+    return calibrate.fit(p, 300.0, 300000.0, ["run"], share=0.5).withColumn("c0", F.round("c0", 6))
 
 
 def _runs(spark, d):
