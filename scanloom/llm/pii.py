@@ -254,6 +254,8 @@ def _settled(known: DataFrame, key: str, rounds: int) -> DataFrame:
 
     def drawn(rows: DataFrame) -> DataFrame:
         kind, attempt = F.col("kind"), F.col("attempt")
+        # Dealt by number: the rows are few bytes but much work, and adaptive execution would fold them into one task.
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return stored(rows.withColumn("new", canonical(kind, surrogate(key, kind, F.col("e"), attempt, F.coalesce("base", attempt), F.col("gender")))))
 
     now = drawn(known.withColumn("attempt", F.lit(0)))
