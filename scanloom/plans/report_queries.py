@@ -111,6 +111,19 @@ def collate_charges(spark, d):
     return cluster.collate(c)
 
 
+# One row a seed: ids are gone through in order, and a bit string tells who has a group.
+@query(f"""WITH RECURSIVE {_FEATURES}, {_NEAR}, p AS MATERIALIZED (SELECT id, list({{o: other, s: sample, d: (d_mass, d_apex, d_intensity, other)}} ORDER BY (d_mass, d_apex, d_intensity, other)) AS near FROM n GROUP BY id),
+a AS MATERIALIZED (SELECT f.id, coalesce(near, []) AS near FROM f LEFT JOIN p USING (id)), z AS (SELECT bitstring('0', CAST(max(id) + 2 AS INTEGER)) AS none FROM f),
+r AS (SELECT CAST(0 AS BIGINT) AS grp, CAST(-1 AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS members, none AS taken FROM z UNION ALL
+  SELECT grp + 1, seed, list_prepend(seed, took), list_reduce(list_prepend(set_bit(taken, CAST(seed AS INTEGER), 1), list_transform(took, lambda m: set_bit(none, CAST(m AS INTEGER), 1))), lambda x, y: x | y)
+  FROM (SELECT grp, taken, none, seed, list_transform(list_filter(free, lambda x, i: len(list_filter(free[1:i - 1], lambda w: w.s = x.s)) = 0), lambda x: x.o) AS took
+    FROM (SELECT grp, taken, none, a.id AS seed, list_filter(near, lambda x: get_bit(taken, CAST(x.o AS INTEGER)) = 0) AS free
+      FROM (SELECT r.grp, r.taken, z.none, min(f.id) AS next FROM r, f, z WHERE f.id > r.seed AND get_bit(r.taken, CAST(f.id AS INTEGER)) = 0 GROUP BY ALL) JOIN a ON a.id = next)))
+SELECT unnest(members) AS id, grp AS "group" FROM r WHERE grp > 0""")
+def neighbour_groups(spark, d):
+    return cluster.neighbour_groups(_features(spark, d), 2.5, 10.0, 30.0)
+
+
 @query()
 def greedy_groups(spark, d):
     return cluster.greedy_groups(_features(spark, d).select("id", "mass", F.col("apex").alias("rt")), 100.0, 20.0)
