@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import interpolate
+from ..storage import stored
+from .joins import interpolate, interval_join
 from .spectra import spaced_top_k
 
 
@@ -186,38 +187,34 @@ def _streamed(rows: DataFrame, key: str, names: Sequence[str], state: Callable,
     return ordered.mapInArrow(run, f"{key} {kind}, {schema}")
 
 
-class _Peaks:
-    """The candidate so far, whether it has been reported, and the least value on its left."""
+class _Turns:
+    """Where a series turns down for good: its highest point while it rises, its lowest value while it falls."""
 
     def __init__(self) -> None:
-        self.top, self.reported, self.left, self.met = None, False, None, 0
-
-    def __call__(self, i: int, t: float, y: float, v: float, floor: float, selectivity: float, last: bool) -> list:
-        self.met += 1
-        self.left = floor if self.left is None else self.left
-        if self.reported and not last:
-            self.top, self.reported = None, False
-        best = self.top[3] if self.top else floor
-        rises = v > best and v > self.left + selectivity
-        if last:
-            if rises and self.met > 1:
-                return [(i, t, y)]
-            return [self.top[:3]] if self.top and not self.reported else []
-        if rises:
-            self.top = (i, t, y, v)
-        elif self.top and best > v + selectivity:
-            self.reported, self.left = True, v
-            return [self.top[:3]]
-        else:
-            self.left = min(self.left, v)
-        return []
+        self.high: tuple | None = None  # while it rises
+        self.low: float | None = None  # while it falls
+
+    def __call__(self, i: int, t: float, y: float, v: float, least: float, selectivity: float, last: bool) -> list:
+        out = []
+        if self.high is None:
+            self.low = min(least if self.low is None else self.low, v)
+            if v - self.low > selectivity:
+                self.high = i, t, y, v
+        elif v > self.high[3]:
+            self.high = i, t, y, v
+        elif self.high[3] - v > selectivity:
+            out, self.high, self.low = [self.high[:3]], None, v
+        return [*out, self.high[:3]] if last and self.high else out
 
 
 def peaks(series: DataFrame, key: str, selectivity: float | Column, kind: int = 1) -> DataFrame:
-    """(key, i, t, y) of the peaks of each series (``kind`` -1: of its valleys): the extrema are gone through in order. One that is above all since the last reported
-    peak, and above the least value met by more than ``selectivity``, is the candidate; it is reported once a later extremum lies lower by more than
-    that, and the least value then starts anew. Before the first peak the least value is that of all extrema. At the end the last extremum, or
-    else the candidate that is still open, is reported. ``selectivity`` may be a column of the series, one value for each key.
+    """(key, i, t, y) of the peaks of each series (``kind`` -1: of its valleys): the maxima with a prominence above ``selectivity``.
+
+    From a peak down to the least value before the next point that is higher, the series falls by more than ``selectivity``, to the left as to the right. Where no
+    higher point comes, the series counts as falling to the least of its extrema beyond that end: so a series that ends high has a peak there. Of equal maxima
+    without such a fall between them the first is the peak. ``selectivity`` may be a column of the series, one value for each key.
+
+    These are the points where a series turns down after a rise, turns of ``selectivity`` or less left out, so one pass with one number of state finds them.
     """
     e = extrema(series, [key]).withColumn("v", F.col("y") * kind)
     least = e.groupBy(key).agg(F.min("v").alias("least"))
@@ -227,7 +224,54 @@ def peaks(series: DataFrame, key: str, selectivity: float | Column, kind: int =
         least = least.withColumn("sel", F.lit(float(selectivity)))
 
     ends = F.lead("i").over(_order([key])).isNull()
-    return _streamed(e.withColumn("last", ends).join(least, key), key, ("i", "t", "y", "v", "least", "sel", "last"), _Peaks, "i int, t double, y double")
+    return _streamed(e.withColumn("last", ends).join(least, key), key, ("i", "t", "y", "v", "least", "sel", "last"), _Turns, "i int, t double, y double")
+
+
+def peak_intervals(series: DataFrame, key: str, share: float, least_points: int = 3) -> DataFrame:
+    """(key, first, last, apex): intervals of positions that cover each series in order and meet at their ends only.
+
+    A peak's interval reaches from the valley before it to the valley after it, or to the series' end; peaks and valleys are those of ``share`` of the largest absolute
+    value. Of peaks between the same valleys the highest stays (the first of equals). What is left between intervals, and before and after them, is filled by
+    intervals with a null apex. A series of fewer than ``least_points`` points, and one without a peak, is one interval, with a null apex.
+    """
+    scale = series.groupBy(key).agg(F.max(F.abs("y")).alias("_top"), F.min("i").alias("_a"), F.max("i").alias("_b"), F.count("*").alias("_n"))
+    long = stored(series.join(scale, key).where(F.col("_n") >= least_points).withColumn("_sel", F.col("_top") * share).select(key, "i", "t", "y", "_sel"))
+    tops = peaks(long, key, F.col("_sel")).select(key, "i", "y")
+    turns = tops.unionByName(peaks(long, key, F.col("_sel"), -1).select(key, "i", F.lit(None).cast("double").alias("y"))).join(scale.select(key, "_a", "_b"), key)
+    valley = F.when(F.col("y").isNull(), F.col("i"))
+    before, after = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(key).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    bound = turns.withColumns({"first": F.coalesce(F.last(valley, True).over(before), "_a"), "last": F.coalesce(F.last(valley, True).over(after), "_b")}).where("y is not null")
+    found = bound.groupBy(key, "first", "last").agg(F.min_by("i", F.struct(-F.col("y"), F.col("i"))).alias("apex"))
+    # Markers of no length at both ends, so that gaps there are gaps between neighbours as well.
+    ends = scale.select(key, F.explode(F.array(F.col("_a"), F.col("_b"))).alias("first")).withColumns({"last": F.col("first"), "apex": F.lit(None).cast("int"), "end": F.lit(True)})
+    line = found.withColumn("end", F.lit(False)).unionByName(ends.withColumn("apex", F.col("apex").cast(found.schema["apex"].dataType)))
+    w = Window.partitionBy(key).orderBy("first", "last")
+    gap = line.withColumn("_was", F.lag("last").over(w)).where("_was < first").select(key, F.col("_was").alias("first"), F.col("first").alias("last"), F.lit(None).cast(found.schema["apex"].dataType).alias("apex"))
+    alone = scale.where("_a = _b").select(key, F.col("_a").alias("first"), F.col("_b").alias("last"), F.lit(None).cast(found.schema["apex"].dataType).alias("apex"))
+    return found.unionByName(gap).unionByName(alone)
+
+
+def peak_intervals_nested(series: DataFrame, key: str, share: float, least_points: int = 3, depth: int = 4) -> DataFrame:
+    """``peak_intervals`` again inside each interval, on its own scale, up to ``depth`` times or until none is cut any more. (key, first, last, apex)."""
+    names = series.schema[key].dataType
+    now = stored(peak_intervals(series, key, share, least_points))
+    done: list[DataFrame] = []
+    for _ in range(depth):
+        part = interval_join(series, "i", now.select(F.col(key), "first", "last"), "first", "last", 64.0, [key])
+        piece = part.select(F.struct(F.col(key).alias("k"), F.col("first").alias("f"), F.col("last").alias("l")).cast("string").alias("_piece"), F.col(key).alias("_key"), "first", "last", "i", "t", "y")
+        whole = piece.select("_piece", "_key", F.col("first").alias("_f"), F.col("last").alias("_l")).distinct()
+        cut = peak_intervals(piece.select("_piece", "i", "t", "y"), "_piece", share, least_points).join(whole, "_piece")
+        cut = stored(cut.withColumn("_same", (F.col("first") == F.col("_f")) & (F.col("last") == F.col("_l"))))
+        more = cut.where("not _same").select(F.col("_key").cast(names).alias(key), "first", "last", "apex")
+        kept = cut.where("_same").select(F.col("_key").cast(names).alias(key), "first", "last").join(now, [key, "first", "last"])
+        done.append(kept.select(key, "first", "last", "apex"))
+        now = stored(more)
+        if now.isEmpty():
+            break
+    out = now
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def nth_maximum(series: DataFrame, key: str, k: int) -> DataFrame:

@@ -137,26 +137,18 @@ def running_sum(spark, d):
     return series(spark, d).select("channel", "i", F.round(F.sum("y").over(w), 4).alias("y"))
 
 
-_EXTREMA = """n AS (SELECT *, CASE WHEN lag(y) OVER w = y THEN 0 ELSE 1 END AS new FROM series WINDOW w AS (PARTITION BY channel ORDER BY i)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
-r AS (SELECT channel, run, max(i) AS i, arg_max(t, i) AS t, any_value(y) AS y, count(*) AS n FROM g GROUP BY channel, run),
-s AS (SELECT *, sign(y - lag(y) OVER w) AS a, sign(y - lead(y) OVER w) AS b FROM r WINDOW w AS (PARTITION BY channel ORDER BY run)),
-x AS (SELECT * FROM s WHERE CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN CASE WHEN n = 1 THEN b ELSE 0 END WHEN b IS NULL THEN a WHEN a = b THEN a ELSE 0 END <> 0),
-e AS (SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY i) AS INTEGER) AS k, i, t, y, min(y) OVER (PARTITION BY channel) AS least, count(*) OVER (PARTITION BY channel) AS many FROM x)"""
-
-
-def _peaks_sql(selectivity: str, more: str = "") -> str:
-    """The state goes through the extrema one by one: the candidate (its place and height), whether it is reported, the least value, and what is reported here."""
-    rises = "e.y > best AND e.y > lft + sel"
-    return f"""WITH RECURSIVE {SERIES_SQL}, {_EXTREMA}{more}, z AS (SELECT e.*, {selectivity} AS sel FROM e),
-m(channel, k, best, cand, reported, lft, hit) AS (SELECT channel, 0, min(least), NULL::INTEGER, false, min(least), NULL::INTEGER FROM z GROUP BY channel UNION ALL
-SELECT e.channel, e.k, CASE WHEN {rises} THEN e.y ELSE best END, CASE WHEN {rises} THEN e.i ELSE cand END,
-CASE WHEN e.k < e.many AND NOT ({rises}) AND cand IS NOT NULL AND best > e.y + sel THEN true ELSE false END,
-CASE WHEN {rises} THEN lft WHEN cand IS NOT NULL AND best > e.y + sel THEN e.y ELSE least(lft, e.y) END,
-CASE WHEN e.k = e.many THEN CASE WHEN {rises} AND e.many > 1 THEN e.i WHEN cand IS NOT NULL AND NOT was THEN cand END WHEN NOT ({rises}) AND cand IS NOT NULL AND best > e.y + sel THEN cand END
-FROM (SELECT m.channel, m.k, CASE WHEN m.reported AND m.k + 1 < c.many THEN c.least ELSE m.best END AS best, CASE WHEN m.reported AND m.k + 1 < c.many THEN NULL ELSE m.cand END AS cand, m.reported AS was, m.lft
-FROM m JOIN (SELECT DISTINCT channel, many, least FROM z) c USING (channel)) p JOIN z e ON e.channel = p.channel AND e.k = p.k + 1)
-SELECT e.channel, e.i, e.t, e.y FROM m JOIN e ON e.channel = m.channel AND e.i = m.hit"""
+def _prominent(name: str, sel: str, sign: int, channels: str = "") -> str:
+    """Extrema with the least value on both sides, up to the next one that is higher; the ends count as the least of all."""
+    v = f"({sign} * y)"
+    return f"""{name}_e AS (SELECT channel, i, t, y, {v} AS v, min({v}) OVER (PARTITION BY channel) AS least FROM x WHERE kind <> 0),
+{name}_h AS (SELECT a.channel, a.i, a.t, a.y, a.v, a.least, max(CASE WHEN b.i < a.i AND b.v >= a.v THEN b.i END) AS l, min(CASE WHEN b.i > a.i AND b.v > a.v THEN b.i END) AS r FROM {name}_e a JOIN {name}_e b USING (channel) GROUP BY ALL),
+{name}_p AS (SELECT a.channel, a.i, a.t, a.y, a.v, CASE WHEN a.l IS NULL THEN a.least ELSE min(CASE WHEN b.i > a.l AND b.i < a.i THEN b.v END) END AS lo, CASE WHEN a.r IS NULL THEN a.least ELSE min(CASE WHEN b.i < a.r AND b.i > a.i THEN b.v END) END AS hi
+  FROM {name}_h a JOIN {name}_e b USING (channel) GROUP BY a.channel, a.i, a.t, a.y, a.v, a.l, a.r, a.least),
+{name} AS (SELECT {name}_p.* FROM {name}_p {channels} WHERE v - lo > {sel} AND v - hi > {sel})"""
+
+
+def _peaks_sql(selectivity: str, more: str = "", channels: str = "") -> str:
+    return f"{_EXTREMA}{more}, {_prominent('p', selectivity, 1, channels)} SELECT channel, i, t, y FROM p"
 
 
 @query(_peaks_sql("60.0"))
@@ -164,11 +156,21 @@ def peaks_selectivity(spark, d):
     return S.peaks(series(spark, d), "channel", 60.0)
 
 
-@query(_peaks_sql("w.value * 0.25", ", w AS (SELECT channel, min(y) AS value FROM (SELECT channel, y, row_number() OVER (PARTITION BY channel ORDER BY y DESC) AS q FROM x WHERE coalesce(a, b) = 1) WHERE q <= 4 GROUP BY channel)").replace("sel FROM e)", "sel FROM e JOIN w USING (channel))"))
+@query(_peaks_sql("w.value * 0.25", ", w AS (SELECT channel, min(y) AS value FROM (SELECT channel, y, row_number() OVER (PARTITION BY channel ORDER BY y DESC) AS q FROM x WHERE kind = 1) WHERE q <= 4 GROUP BY channel)", "JOIN w USING (channel)"))
 def peaks_relative(spark, d):
     return S.peaks_relative(series(spark, d), "channel", 0.25, 3)
 
 
+@query(f"""{_EXTREMA}, w AS (SELECT channel, 0.3 * max(abs(y)) AS sel, min(i) AS a, max(i) AS b FROM series GROUP BY channel), {_prominent('p', 'w.sel', 1, 'JOIN w USING (channel)')}, {_prominent('q', 'w.sel', -1, 'JOIN w USING (channel)')},
+bo AS (SELECT p.channel, p.i, p.y, coalesce((SELECT max(q.i) FROM q WHERE q.channel = p.channel AND q.i < p.i), a) AS first, coalesce((SELECT min(q.i) FROM q WHERE q.channel = p.channel AND q.i > p.i), b) AS last FROM p JOIN w USING (channel)),
+iv AS (SELECT channel, first, last, arg_min(i, (-y, i)) AS apex FROM bo GROUP BY ALL),
+mk AS (SELECT channel, first, last FROM iv UNION ALL SELECT channel, a, a FROM w UNION ALL SELECT channel, b, b FROM w),
+gp AS (SELECT channel, lag(last) OVER (PARTITION BY channel ORDER BY first, last) AS first, first AS last FROM mk)
+SELECT channel, first, last, apex FROM iv UNION ALL SELECT channel, first, last, NULL FROM gp WHERE first < last""")
+def peak_intervals(spark, d):
+    return S.peak_intervals(series(spark, d), "channel", 0.3)
+
+
 _ZSCORE = f"""WITH RECURSIVE {SERIES_SQL}, m(channel, i, held, flag) AS (SELECT channel, 30, list(y ORDER BY i), 0 FROM series WHERE i <= 30 GROUP BY channel UNION ALL
 SELECT s.channel, s.i, list_append(m.held[-30:], CASE WHEN abs(s.y - w.mean) > 3.0 * w.dev THEN 0.1 * s.y + (1 - 0.1) * m.held[-1] ELSE s.y END),
 CASE WHEN abs(s.y - w.mean) > 3.0 * w.dev THEN CASE WHEN s.y > w.mean THEN 1 ELSE -1 END ELSE 0 END
