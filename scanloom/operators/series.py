@@ -165,7 +165,7 @@ def nearest_extremum_to_middle(series: DataFrame, on: Sequence[str], kind: int)
 # Recursive detectors: sequential by nature, so each series passes through one task, sorted, as a stream with a state of fixed size.
 
 
-def _streamed(rows: DataFrame, key: str, names: Sequence[str], state: Callable, schema: str) -> DataFrame:
+def streamed(rows: DataFrame, key: str, names: Sequence[str], state: Callable, schema: str) -> DataFrame:
     """``state()`` makes a new state for each key: a function from a row of ``names``, in order of the first of them, to the output rows after the key."""
     kind = rows.schema[key].dataType.simpleString()
     fields = [f.split() for f in schema.split(", ")]
@@ -224,7 +224,7 @@ def peaks(series: DataFrame, key: str, selectivity: float | Column, kind: int =
         least = least.withColumn("sel", F.lit(float(selectivity)))
 
     ends = F.lead("i").over(_order([key])).isNull()
-    return _streamed(e.withColumn("last", ends).join(least, key), key, ("i", "t", "y", "v", "least", "sel", "last"), _Turns, "i int, t double, y double")
+    return streamed(e.withColumn("last", ends).join(least, key), key, ("i", "t", "y", "v", "least", "sel", "last"), _Turns, "i int, t double, y double")
 
 
 def peak_intervals(series: DataFrame, key: str, share: float, least_points: int = 3) -> DataFrame:
@@ -310,7 +310,7 @@ def zscore_flags(series: DataFrame, key: str, lag: int, threshold: float, influe
 
         return see
 
-    return _streamed(series, key, ("i", "y"), state, "i int, flag int")
+    return streamed(series, key, ("i", "y"), state, "i int, flag int")
 
 
 def flag_intervals(series: DataFrame, flags: DataFrame, key: str) -> DataFrame:

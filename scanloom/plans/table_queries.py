@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import read
 from ..streaming import traces
 from .registry import query
@@ -32,3 +33,23 @@ SELECT event_type, epoch_us(min(ts)) AS start, count(*) AS n, round(sum(value),
 def gap_sessions(spark, d):
     s = read(spark, d, "events").groupBy("event_type", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("intensity"))
     return s.select("event_type", F.unix_micros("w.start").alias("start"), "n", "intensity")
+
+
+_MODS = """WITH RECURSIVE d AS (SELECT DISTINCT p_brand AS title, p_retailprice AS m FROM part),
+r AS (SELECT title, min(m) AS first, 0 AS part FROM d GROUP BY title UNION ALL SELECT r.title, min(d.m), r.part + 1 FROM r JOIN d ON d.title = r.title AND d.m - r.first >= 0.35 GROUP BY r.title, r.part),
+g AS (SELECT *, row_number() OVER (ORDER BY lower(title), title, first) AS grp FROM r)"""
+
+
+@query(f"""{_MODS} SELECT p_partkey, title || '#' || CAST(g.part AS VARCHAR) AS key, grp AS "group" FROM part ASOF JOIN g ON g.title = p_brand AND p_retailprice >= g.first""")
+def modification_groups(spark, d):
+    mods = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("title"), F.col("p_retailprice").alias("mono_mass"))
+    return files.modification_groups(mods, 0.35).select("p_partkey", "key", "group")
+
+
+@query(f"""{_MODS}, q AS (SELECT l_orderkey, l_linenumber, l_extendedprice, 'Brand#' || CAST(l_suppkey % 30 AS VARCHAR) AS title, l_extendedprice / l_quantity AS m FROM lineitem),
+a AS (SELECT DISTINCT title, m FROM q), b AS (SELECT a.title, a.m, arg_min(grp, (abs(a.m - first), grp)) AS grp FROM a JOIN g ON g.title = a.title AND abs(a.m - g.first) < 0.35 GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_extendedprice, b.grp AS "group" FROM q LEFT JOIN b ON b.title = q.title AND b.m = q.m""")
+def modification_lookup(spark, d):
+    mods = read(spark, d, "part").select(F.col("p_brand").alias("title"), F.col("p_retailprice").alias("mono_mass"))
+    asked = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 30).cast("string")).alias("title"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("mono_mass"))
+    return files.modification_lookup(asked, files.modification_groups(mods, 0.35), 0.35).select("l_orderkey", "l_linenumber", "l_extendedprice", "group")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chem import C13_GAP, PROTON
+from ..operators.greedy import ranked
+from ..operators.joins import band_join
+from ..operators.series import streamed
+from ..storage import stored
 
 
 # Delimited text
@@ -134,13 +138,41 @@ def read_modifications(spark: SparkSession, path: str, row: str = "mod") -> Data
 
 
 def modification_groups(mods: DataFrame, eps: float = 1e-4) -> DataFrame:
-    """Modifications of one title with masses at most eps apart from their neighbour, numbered by title (in lower case) and mass."""
-    from pyspark.sql import Window
+    """``mods`` with (part, key, group): in order of mass, a modification joins the group of its title whose first mass is less than ``eps`` below, or opens the next one.
+
+    Each is compared with the group's first member only, so a group spans less than ``eps``. Titles count as written. ``part`` numbers the groups of a title from 0, ``key``
+    is title#part, ``group`` numbers all groups from 1, by title in lower case, title and mass. Those without a title or a mass are in no group: null.
+    """
+    masses = mods.where("title is not null and mono_mass is not null").select("title", "mono_mass").distinct()
+
+    def state():
+        first, part = None, -1
+
+        def see(mass: float) -> list:
+            nonlocal first, part
+            if first is None or mass - first >= eps:
+                first, part = mass, part + 1
+            return [(mass, first, part)]
+
+        return see
+
+    placed = stored(streamed(masses, "title", ["mono_mass"], state, "mono_mass double, first double, part int"))
+    groups = placed.select(F.lower("title").alias("_lower"), "title", "first", "part").distinct()
+    numbers = ranked(groups, ["_lower", "title", "first"], "group").select("title", "part", "group")
+    known = placed.join(numbers, ["title", "part"]).select("title", "mono_mass", "part", "group")
+    return mods.join(known, ["title", "mono_mass"], "left").withColumn("key", F.concat_ws("#", "title", F.col("part").cast("string")))
+
+
+def modification_lookup(asked: DataFrame, groups: DataFrame, eps: float = 1e-4) -> DataFrame:
+    """``asked`` (title, mono_mass, ...) with the group of the same title whose first mass is less than ``eps`` away, the nearest one, then the first; null if none.
 
-    w = Window.partitionBy("title").orderBy("mono_mass")
-    new = F.coalesce((F.col("mono_mass") - F.lag("mono_mass").over(w) > eps).cast("int"), F.lit(0))
-    parts = mods.withColumn("_n", new).withColumn("part", F.sum("_n").over(w)).drop("_n")
-    return parts.withColumn("key", F.concat_ws("#", F.lower("title"), F.col("part").cast("string")))
+    ``groups``: the result of ``modification_groups``. The join is on title and cells of mass.
+    """
+    firsts = groups.where("group is not null").groupBy("title", "group").agg(F.min("mono_mass").alias("_first"))
+    rows = asked.withColumn("_row", F.monotonically_increasing_id())
+    near = band_join(rows.where("title is not null and mono_mass is not null"), "mono_mass", firsts, "_first", F.lit(eps), eps, ["title"], closed=False)
+    best = near.groupBy("_row").agg(F.min_by("group", F.struct(F.abs(F.col("mono_mass") - F.col("_first")), F.col("group"))).alias("group"))
+    return rows.join(best, "_row", "left").drop("_row")
 
 
 def write_tree(rows: DataFrame, path: str) -> None:

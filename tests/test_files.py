@@ -47,6 +47,18 @@ def test_modifications(spark, tmp_path):
     assert files.modification_groups(m).select("key").distinct().count() == 1 or m.count() == 2
 
 
+def test_modification_groups_by_first_member(spark):
+    rows = [(1, "a", 0.0), (2, "a", 8e-5), (3, "a", 1.6e-4), (4, "A", 0.0), (5, "A", 8e-5), (6, None, 1.0), (7, "b", None), (8, "a", 0.0)]
+    m = spark.createDataFrame(rows, "id int, title string, mono_mass double").repartition(3)
+    groups = files.modification_groups(m, 1e-4)
+    got = {r["id"]: (r["key"], r["group"]) for r in groups.collect()}
+    # each with its group's first member: the third is too far from it; titles that differ in case stay apart
+    assert {i: g for i, (_, g) in got.items()} == {1: 2, 2: 2, 8: 2, 3: 3, 4: 1, 5: 1, 6: None, 7: None}
+    assert got[1][0] == "a#0" and got[3][0] == "a#1" and got[4][0] == "A#0"
+    asked = spark.createDataFrame([(1, "a", 1.5e-4), (2, "a", 5.0), (3, "c", 0.0), (4, "A", -5e-5), (5, None, 0.0), (6, "a", 1.2e-4)], "n int, title string, mono_mass double")
+    assert {r["n"]: r["group"] for r in files.modification_lookup(asked, groups, 1e-4).collect()} == {1: 3, 2: None, 3: None, 4: 1, 5: None, 6: 3}
+
+
 def test_synthetic_features_are_found(spark):
     run = files.synthetic(spark, 6, 120)
     assert [tuple(r) for r in chrom.scan_bounds(run.scans).collect()] == [(120, 0, 119)]
