@@ -55,6 +55,12 @@ class Memo(dict):
         return value
 
 
+def known_normalizer(section: dict | None) -> dict | None:
+    """None if the vocabulary's normalizer is the one that ``split`` does: NFC, runs of white space to a blank, lower case; else what differs."""
+    known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    return None if section == {"type": "Sequence", "normalizers": known} else section or {}
+
+
 class PrefixEncoder:
     """Vocabulary, automaton and pair tests for one vocabulary file of a byte-level BPE with word ends."""
 
@@ -69,6 +75,8 @@ class PrefixEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if (other := known_normalizer(spec.get("normalizer"))) is not None:
+            raise ValueError(f"this encoder doesn't know the normalizer {other}")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: s for s, i in self.vocab.items()}
@@ -98,6 +106,8 @@ class PrefixEncoder:
                 self.automaton.add_word(symbols, i)
                 self.sizes[i] = len(symbols)
         self.automaton.make_automaton()
+        self.alphabet = {s for t in self.vocab if len(s := self.symbols(t)) == 1}
+        self.whole = self.alphabet.issuperset([*self.letters, *(self.ends.values() if self.suffix else ())])
         self.tested: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.packed = {i: struct.pack("<I", i) for i in self.names}
@@ -135,6 +145,8 @@ class PrefixEncoder:
         text = piece.encode("utf-8").decode("latin-1").translate(self.table)
         if self.suffix:
             text = text[:-1] + self.ends[text[-1]]
+        if not self.whole:
+            text = "".join([c for c in text if c in self.alphabet])
         last: list[int | None] = [None] * (len(text) + 1)
         sizes, tested, alone = self.sizes, self.tested, self.alone
         for end, token in self.automaton.iter(text):

@@ -59,8 +59,10 @@ _AN = r"\p{L}\p{N}"
 _TITLE = "|".join(FEMALE + MALE + NEUTRAL)
 _TITLES = rf"(?:(?:{_TITLE})\.? (?:(?:{'|'.join(DEGREES)})\. )*+)++"
 _TAIL = r"[\p{L}\p{M}'’-]"
+#: The rest of a name's word: an apostrophe belongs to it unless it ends the word, alone or with an s. So a possessive is no part of the name.
+_REST = rf"(?:[\p{{L}}\p{{M}}-]|['’](?!s?+(?!{_TAIL})))"
 _INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
-_WORD = rf"(?!(?:{_TITLE}|{'|'.join(SUFFIXES)})(?!{_TAIL}))(?:(?:\p{{Lu}}\.-?)*+(?:[dl]['’]|[ae]l-)?+\p{{Lu}}{_TAIL}++|{_INITIALS})"
+_WORD = rf"(?!(?:{_TITLE}|{'|'.join(SUFFIXES)})(?!{_TAIL}))(?:(?:\p{{Lu}}\.-?)*+(?:[dl]['’]|[ae]l-)?+\p{{Lu}}{_REST}++|{_INITIALS})"
 _PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+{_WORD}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
@@ -293,7 +295,7 @@ def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
 
 
 def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
-    """``docs`` with every entity of ``text_col`` replaced, and the number of entities in ``count_col``."""
+    """``docs`` with every entity of ``text_col`` replaced, and the number of entities in ``count_col``, in place of a column of that name if there is one."""
     e = F.explode(F.array_distinct(entities(F.col(text_col)))).alias("e")
     found = docs.select(e).distinct().withColumn("kind", kind_of(F.col("e")))
     found = found.withColumn("canon", canonical(F.col("kind"), F.col("e")))
@@ -329,7 +331,7 @@ def replace_pii(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id"
     done = F.element_at(F.transform(parts, lambda p: F.struct(fill(p).alias("text"), F.size(p["found"]).alias("n"))), 1)
     work = work.withColumn("__pii_done", F.when(text.rlike(GATE), done).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n"))))
     count = [F.col("__pii_done.n").cast("long").alias(count_col)] if count_col else []
-    return work.select(*[F.col("__pii_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *count)
+    return work.select(*[F.col("__pii_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names if c != count_col], *count)
 
 
 def op2_pii(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ Of equal vectors only the k + 1 smallest ids, each on k rows at most, can be amo
 very common vector doesn't grow a cell.
 
 Defined results: vectors that are null or hold nulls or non-finite components, and rows without id, take no part; shorter vectors are
-filled up with zeros; a query doesn't find its own id; an id that stands on several rows is found once for each of them; ties go to the smaller id; an empty table has no results.
+filled up with zeros; scores beyond a long count as the nearest long; a query doesn't find its own id; an id that stands on several rows is found once for each of them; ties go to the smaller id; an empty table has no results.
 """
 
 from __future__ import annotations
@@ -70,8 +70,13 @@ class Geometry:
         return np.sqrt(np.maximum((y**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * y @ self.pivots.T, 0))
 
     def scores(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Exact integer inner products: in doubles where all sums stay below 2^53."""
-        return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if self.exact else q @ x.T
+        """Exact integer inner products: in doubles where all sums stay below 2^53, in Python's integers where they may pass a long; what doesn't fit one is its nearest."""
+        if self.exact:
+            return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+        if self.norm2 < 2**62:  # no inner product is larger than that, and sums that wrap on their way come back
+            return q @ x.T
+        ends = np.iinfo(np.int64)
+        return np.clip(q.astype(object) @ x.T.astype(object), ends.min, ends.max).astype(np.int64)
 
     def radius(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Distance within which a vector must be to score ``least`` or more, rounded up."""
@@ -79,7 +84,7 @@ class Geometry:
         return np.sqrt(np.maximum(d2, 0)) * (1 + 1e-9) + 1e-6 * (1 + self.norm2**0.5)
 
 
-_LEAST = np.iinfo(np.int64).min // 4
+_LEAST = np.iinfo(np.int64).min
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,9 +175,10 @@ def search(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, c = shared.value, cells.value
+            step = max(1, min(batch, 4_000_000 // len(c["cell"])))  # queries by cells: some arrays of that size at once
             for b in batches:
-                for start in range(0, b.num_rows, batch):
-                    p = b.slice(start, batch).to_pydict()
+                for start in range(0, b.num_rows, step):
+                    p = b.slice(start, step).to_pydict()
                     q = np.frombuffer(b"".join(p["x"]), np.int64).reshape(-1, g.dim)
                     ids, least = np.array(p["vec_id"], np.int64), np.array(p["least"], np.int64)
                     at = g.distances(q, np.zeros(len(q)))[:, c["pivot"]]

@@ -36,6 +36,18 @@ def test_topk_against_brute_force(spark):
     assert set(got) == {i for i in ok if i % 20 == 0}
 
 
+def test_topk_scores_beyond_a_long(spark):
+    rows = [(0, [3e9, 3e9]), (1, [3e9, 3e9]), (2, [1.0, 1.0]), (20, [-3e9, 0.0]), (40, [1e300, 1.0])]
+    got: dict = {}
+    for r in topk.op1_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    most = 2**63 - 1
+    v = {i: [min(max(int(np.floor(64 * x)), -(2**63)), most) for x in xs] for i, xs in rows}
+    for q in (0, 20, 40):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(v[q], x)), -(2**63)), most), i) for i, x in v.items() if i != q)
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
 def test_topk_with_repeated_and_null_ids(spark):
     rows = [(20, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(21, 30)] + [(31, [0.5, 0.5])] * 30 + [(None, [1.0, 1.0])] * 30
     got = topk.op1_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()

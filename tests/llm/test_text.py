@@ -333,3 +333,60 @@ def test_license_recall_against_brute_force(spark):
                 want.add((i, name))
     got = {(r["doc_id"], r["license"]) for r in licenses.op10_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_licenses_row_by_row(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    part = " ".join(mit.split(" ")[: len(mit.split(" ")) * 2 // 3])
+    for texts in ([part, mit], [mit, part]):
+        for doc_id in (7, None):
+            rows = spark.createDataFrame([(doc_id, t, 1, "x", 2.0) for t in [*texts, None]], "doc_id long, text string, class int, license string, h double").coalesce(1)
+            got = [tuple(r)[:3] for r in licenses.op10_licenses(rows).collect()]
+            assert got == [(doc_id, "MIT", 1.0)]
+    many = [(None, f"{i} {t}") for i, t in enumerate(licenses.TEMPLATES.values())] * 2
+    got = {r["license"] for r in licenses.op10_licenses(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert got == set(licenses.TEMPLATES)
+
+
+def test_licenses_of_any_length(spark):
+    rng = random.Random(8)
+    long = " ".join(f"clause{rng.randrange(400)}" for _ in range(1700))
+    words = long.split(" ")
+    near = " ".join(w if i % 60 else "other" for i, w in enumerate(words))
+    half = " ".join(words[:850])
+    catalogue = licenses.TEMPLATES | {"long": long}
+    texts = [long, "lead " * 999 + near + " tail" * 200, half, "nothing of it"]
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=catalogue).collect()}
+    assert set(got) == {(0, "long"), (1, "long")} and got[0, "long"] == 1 and 0.8 <= got[1, "long"] < 1
+    assert [licenses.window_class(n) for n in (5, 6, 7, 9, 128, 129, 1700)] == [6, 6, 8, 12, 128, 192, 2048]
+
+
+def test_pii_possessives_and_clashing_names(spark):
+    texts = ["Dr. Smith's plan and Dr. Smith said", "Dr. Smith’s plan, Mrs. James' cat; Mrs. James left", "Dr. O'Brien's and Dr. O'Brien"]
+    rows = spark.createDataFrame([(i, t, 5, 6) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int, kind int")
+    got = [r["text"] for r in pii.op2_pii(rows).orderBy("doc_id").collect()]
+    name = re.match(r"Dr\. (\S+)'s plan and Dr\. (\S+) said$", got[0])
+    assert name and name[1] == name[2] != "Smith"
+    assert re.match(rf"Dr\. {name[1]}’s plan, Mrs\. (\S+)' cat; Mrs\. \1 left$", got[1])
+    assert re.match(r"Dr\. (\S+)'s and Dr\. \1$", got[2]) and "Brien" not in got[2]
+    assert pii.replace_pii(rows).columns == ["doc_id", "text", "kind", "n_entities"]
+
+
+def test_bpe_without_entries(tmp_path):
+    import json
+
+    known = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    split = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[\p{L}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": known, "pre_tokenizer": split, "post_processor": None, "decoder": None}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {"a": 0, "b": 1, "ab": 2}, "merges": [["a", "b"]]}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(spec))
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(str(path)), bpe.PrefixEncoder(str(path))
+    for text in ("acb", "c", "abcab", "", "ccabb c a"):
+        ids = lib.encode(text).ids
+        assert own.encode(text)[0] == struct.pack(f"<{len(ids)}I", *ids)
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "NFKC"}}))
+    with pytest.raises(ValueError, match="NFKC"):
+        bpe.PrefixEncoder(str(path))
