@@ -52,7 +52,7 @@ class NearestOfEachSample:
         self.eps, self.c = eps, columns
         self.near = Nearby(columns["x"], columns["y"], eps[0], eps[1])
 
-    def reach(self, v: int) -> np.ndarray:
+    def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
         c, (ex, ey, ez) = self.c, self.eps
         n = self.near.around(v)
         return n[(c["sample"][n] != c["sample"][v]) & (np.abs(c["x"][n] - c["x"][v]) < ex) & (np.abs(c["y"][n] - c["y"][v]) < ey) & (np.abs(c["z"][n] - c["z"][v]) < ez)]
@@ -68,6 +68,80 @@ class NearestOfEachSample:
         return chosen, not doubt[chosen].any()  # a row in doubt that is worse than a sure one doesn't matter
 
 
+class Hill:
+    """A seed takes the free points within ``width`` of its place, scan by scan in both directions, as long as at most ``gap`` - 1 scans in a row have none."""
+
+    keeps_seeds = False
+
+    def __init__(self, width: float, gap: int, columns: dict[str, np.ndarray]):
+        self.width, self.gap, self.c = width, gap, columns
+        self.order = np.argsort(columns["x"], kind="stable")
+        self.x = columns["x"][self.order]
+
+    def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
+        c = self.c
+        lo, hi = np.searchsorted(self.x, c["x"][v] - self.width, "left"), np.searchsorted(self.x, c["x"][v] + self.width, "right")
+        n = self.order[lo:hi]
+        n = n[~taken[n] & (np.abs(c["x"][n] - c["x"][v]) <= self.width)]
+        scans = c["idx"][n]
+        by = np.argsort(scans, kind="stable")
+        n, scans = n[by], scans[by]
+        cuts = np.flatnonzero(np.diff(scans) > self.gap)
+        at = np.searchsorted(scans, c["idx"][v])
+        start, end = np.r_[0, cuts + 1], np.r_[cuts + 1, len(n)]
+        k = np.searchsorted(start, at, "right") - 1
+        run = n[start[k] : end[k]]
+        return run[run != v]
+
+    def pick(self, v: int, near: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, bool]:
+        return near, not doubt[near].any()  # a point in doubt can join two stretches
+
+
+class Ladder:
+    """A seed takes the free rows on the longest ladder of steps ``spacing`` / charge through its place: at each step up, then down, the row nearest to it within
+    ``width`` and within ``reach_y`` of the seed's time, until a step has none or ``most`` are taken. Of charges with ladders of one length the one with the
+    larger sum of intensities wins, then the smaller one.
+    """
+
+    keeps_seeds = False
+
+    def __init__(self, spacing: float, charges: int, width: float, reach_y: float, most: int, columns: dict[str, np.ndarray]):
+        self.spacing, self.charges, self.width, self.reach_y, self.most, self.c = spacing, charges, width, reach_y, most, columns
+        self.order = np.argsort(columns["x"], kind="stable")
+        self.x = columns["x"][self.order]
+        self.found: list[np.ndarray] = []
+
+    def _at(self, place: float, v: int, taken: np.ndarray) -> np.ndarray:
+        c = self.c
+        lo, hi = np.searchsorted(self.x, place - self.width, "left"), np.searchsorted(self.x, place + self.width, "right")
+        n = self.order[lo:hi]
+        return n[~taken[n] & (n != v) & (np.abs(c["y"][n] - c["y"][v]) <= self.reach_y)]
+
+    def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
+        """All rows that any charge looks at; ``found`` keeps the rows of each step of each charge."""
+        x0, self.found, seen = self.c["x"][v], [], []
+        for z in range(1, self.charges + 1):
+            steps = []
+            for sign in (1, -1):
+                for k in range(1, self.most + 1):
+                    place = x0 + sign * k * self.spacing / z
+                    n = self._at(place, v, taken)
+                    if not len(n):
+                        break
+                    c = self.c
+                    best = n[np.lexsort((n, np.abs(c["y"][n] - c["y"][v]), np.abs(c["x"][n] - place)))[0]]
+                    steps.append(best)
+                    seen.append(n)
+            self.found.append(np.array(steps, np.int64))
+        return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+
+    def pick(self, v: int, near: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, bool]:
+        if doubt[near].any():
+            return near, False
+        totals = [(-len(f), -self.c["intensity"][f].sum(), z) for z, f in enumerate(self.found)]
+        return self.found[min(totals)[2]], True
+
+
 class AllWithin:
     """A seed takes all free rows within ``ppm`` of its mass and ``reach_y`` of its time."""
 
@@ -77,7 +151,7 @@ class AllWithin:
         self.ppm, self.reach_y, self.c = ppm, reach_y, columns
         self.near = Nearby(columns["x"], columns["y"], 1.0, reach_y)
 
-    def reach(self, v: int) -> np.ndarray:
+    def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
         c = self.c
         n = self.near.around(v)
         n = n[n != v]
@@ -93,7 +167,7 @@ def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int,
     for v in range(len(doubt)):
         if taken[v]:
             continue
-        near = rule.reach(v)
+        near = rule.reach(v, taken)
         near = near[~taken[near] & ~seeds[near]]
         if rule.keeps_seeds:
             near = near[near > v]  # rows before it are seeds by now, or in doubt
@@ -112,21 +186,26 @@ def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int,
 
 
 def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float, rule: Callable[[dict[str, np.ndarray]], object], rows_per_block: int = 20_000, rounds: int = 200) -> DataFrame:
-    """(id, seed) of every row of (id, x, y, ...), all numbers; ``order`` ends in the id, so that it is total. ``rule`` makes a rule of a block's columns, in order."""
+    """(id, seed) of every row of (id, x, y, ...), all numbers; ``order`` ends in the id, so that it is total. ``rule`` makes a rule of a block's columns, in order.
+
+    Rows of different ``part``, if there is such a column, never meet.
+    """
+    rows = rows if "part" in rows.columns else rows.withColumn("part", F.lit(0))
     names = rows.columns
     free = stored(rows.withColumn("seed", F.lit(False)))
     kind = rows.schema["id"].dataType.simpleString()
     parts: list[DataFrame] = []
     for k in range(rounds):
-        size = free.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+        size = free.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.approx_count_distinct("part").alias("parts")).first()
         if not size["n"]:
             break
+        n = size["n"] / max(size["parts"], 1)
         # Blocks of about equal numbers of reaches in both directions, 12 at least.
         spans = [max((size[b] - size[a]) / r, 1.0) for a, b, r in (("x0", "x1", reach_x), ("y0", "y1", reach_y))]
-        side = max((spans[0] * spans[1] * rows_per_block / size["n"]) ** 0.5, 12.0)
-        wide, high = side * reach_x, max(side, spans[0] * spans[1] * rows_per_block / size["n"] / min(side, spans[0])) * reach_y
+        side = max((spans[0] * spans[1] * rows_per_block / n) ** 0.5, 12.0)
+        wide, high = side * reach_x, max(side, spans[0] * spans[1] * rows_per_block / n / min(side, spans[0])) * reach_y
         if spans[1] * reach_y <= high:
-            wide = max(12.0, spans[0] * rows_per_block / size["n"]) * reach_x
+            wide = max(12.0, spans[0] * rows_per_block / n) * reach_x
         at = (size["x0"] - wide * (0.37 * k % 1), size["y0"] - high * (0.61 * k % 1))
         cut = [(F.col(c) - F.lit(a)) / F.lit(w) for c, a, w in (("x", at[0], wide), ("y", at[1], high))]
         halo = (_HALO * reach_x / wide, _HALO * reach_y / high)
@@ -155,7 +234,7 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
                 return pa.RecordBatch.from_arrays([pa.array(ids, t), pa.array(seeds, t), pa.array(done, pa.bool_())], names=["id", "seed", "done"])
 
             for batch in batches:
-                keys = list(zip(batch.column("bx").to_pylist(), batch.column("by").to_pylist(), strict=True))
+                keys = list(zip(*(batch.column(k).to_pylist() for k in ("bx", "by", "part")), strict=True))
                 start = 0
                 while start < len(keys):
                     end = start
@@ -170,7 +249,7 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
             if held:
                 yield solved()
 
-        dealt = sent.repartition("bx", "by").sortWithinPartitions("bx", "by", *order)
+        dealt = sent.repartition("part", "bx", "by").sortWithinPartitions("part", "bx", "by", *order)
         settled = stored(dealt.mapInArrow(work, f"id {kind}, seed {kind}, done boolean"))
         parts.append(settled.select("id", "seed"))
         known = settled.groupBy("id").agg(F.max("done").alias("done"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chrom, joins, tiles
+from ..operators import hills as hills_of
+from ..operators.greedy import ranked
 from ..sources.tables import POINTS_SQL, SCANS_SQL, points, read, scans
+from ..storage import stored
 from .registry import query
 
 #: (window_id, mz_start, mz_end, time_start, time_end); null is unbounded. One is empty, one reversed, one has equal ends.
@@ -204,3 +207,47 @@ def hills(spark, d):
     p = points(spark, d).join(chrom.scan_index(scans(spark, d)), "scan").select("run", "idx", "mz", "intensity")
     by = tiles.hills(p, ["run"], 2.0).groupBy("run", "bin", "hill")
     return by.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.round(F.sum("intensity"), 6).alias("intensity"))
+
+
+_EXTENTS = """c0 AS MATERIALIZED (SELECT * FROM c), mx AS MATERIALIZED (SELECT * FROM m),
+x AS (SELECT bx, bt, v, v AS now, bx AS pos FROM mx UNION ALL SELECT x.bx, x.bt, x.v, c0.v, c0.bx FROM x JOIN c0 ON c0.bt = x.bt AND c0.bx = x.pos - 1 AND c0.v < x.now AND c0.v >= x.v * 0.3 WHERE x.pos <= x.bx),
+y AS (SELECT bx, bt, v, v AS now, bx AS pos FROM mx UNION ALL SELECT y.bx, y.bt, y.v, c0.v, c0.bx FROM y JOIN c0 ON c0.bt = y.bt AND c0.bx = y.pos + 1 AND c0.v < y.now AND c0.v >= y.v * 0.3),
+p AS (SELECT bx, bt, v, v AS now, bt AS pos FROM mx UNION ALL SELECT p.bx, p.bt, p.v, c0.v, c0.bt FROM p JOIN c0 ON c0.bx = p.bx AND c0.bt = p.pos - 1 AND c0.v < p.now AND c0.v >= p.v * 0.3),
+q AS (SELECT bx, bt, v, v AS now, bt AS pos FROM mx UNION ALL SELECT q.bx, q.bt, q.v, c0.v, c0.bt FROM q JOIN c0 ON c0.bx = q.bx AND c0.bt = q.pos + 1 AND c0.v < q.now AND c0.v >= q.v * 0.3)"""
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, {_LOCAL}, {_EXTENTS} SELECT mx.bx, mx.bt, round(mx.v, 6) AS v, (SELECT min(pos) FROM x WHERE x.bx = mx.bx AND x.bt = mx.bt) AS x0, (SELECT max(pos) FROM y WHERE y.bx = mx.bx AND y.bt = mx.bt) AS x1,
+(SELECT min(pos) FROM p WHERE p.bx = mx.bx AND p.bt = mx.bt) AS t0, (SELECT max(pos) FROM q WHERE q.bx = mx.bx AND q.bt = mx.bt) AS t1 FROM mx""")
+def peak_extents(spark, d):
+    cells = _cells(spark, d)
+    return _rounded(tiles.peak_extents(cells, tiles.local_max_2d(cells), 0.3), "v")
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, {_LOCAL}, k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY bx, bt) AS id, bx, bt FROM m),
+n AS MATERIALIZED (SELECT a.id, b.id AS o, z, (abs(b.bx - (a.bx + 8.0::DOUBLE / z)), abs(b.bt - a.bt)) AS d FROM k a, (SELECT unnest([1, 2, 3]) AS z), k b WHERE abs(b.bx - (a.bx + 8.0::DOUBLE / z)) <= 0.5 AND abs(b.bt - a.bt) <= 2),
+l AS MATERIALIZED (SELECT id, o, z FROM n QUALIFY row_number() OVER (PARTITION BY id, z ORDER BY d, o) = 1 AND row_number() OVER (PARTITION BY o, z ORDER BY d, id) = 1),
+e AS MATERIALIZED (SELECT id, o, z FROM l UNION SELECT o, id, z FROM l), r AS (SELECT id, z, id AS reach FROM e UNION SELECT r.id, r.z, e.o FROM r JOIN e ON e.id = r.reach AND e.z = r.z),
+w AS (SELECT id, z, min(reach) AS first, count(*) AS n FROM r GROUP BY id, z), b AS (SELECT id, z, first FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, z) = 1),
+g AS (SELECT k.id, bx, bt, coalesce(z, 0) AS z, coalesce(first, -k.id) AS first FROM k LEFT JOIN b USING (id))
+SELECT bx, bt, CAST(z AS INTEGER) AS charge, min(id) OVER (PARTITION BY z, first) AS chain, count(*) OVER (PARTITION BY z, first) AS size FROM g""")
+def isotope_chains(spark, d):
+    peaks = stored(ranked(tiles.local_max_2d(_cells(spark, d)).select("bx", "bt"), ["bx", "bt"], "id"))
+    chains = tiles.spacing_chains(peaks.select("id", F.col("bx").alias("x"), F.col("bt").alias("t")), 8.0, 3, 0.5, 2.0)
+    return peaks.join(chains, "id").select("bx", "bt", "charge", "chain", "size")
+
+
+def _numbered(spark, d):
+    """Points of days, equal ones put together, numbered by run, day and m/z."""
+    p = points(spark, d).join(scans(spark, d), "scan").groupBy("run", F.col("rt").cast("int").alias("idx"), "mz").agg(F.sum("intensity").alias("intensity"))
+    return stored(ranked(p, ["run", "idx", "mz"], "id"))
+
+
+@query()
+def hill_features(spark, d):
+    return hills_of.find_features(_numbered(spark, d), 0.2, 8, 20.0, 4, 6)
+
+
+@query()
+def hill_layers(spark, d):
+    p = _numbered(spark, d)
+    return hills_of.merged_layer(hills_of.hill_layer(p, hills_of.grow_hills(p, 0.2, 8), 40.0, 30)).select("run", "tx", "ty", "n")
