@@ -34,18 +34,52 @@ def band_join(left: DataFrame, a: str, right: DataFrame, b: str, tolerance: Colu
     return pairs.where(gap <= tolerance if closed else gap < tolerance)
 
 
+#: Inputs whose size is estimated beyond this are solved in buckets of time, of about so many rows; smaller ones in one window a key. Results are the same.
+BUCKETS_FROM_BYTES = 256 << 20
+ROWS_PER_BUCKET = 500_000
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _around(left: DataFrame, lt: str, right: DataFrame, rt: str, value: Column, on: Sequence[str]) -> DataFrame:
-    """``left`` with the right value at or before (``_prev``) and at or after (``_next``) its time, as structs (t, v)."""
+    """``left`` with the right value at or before (``_prev``) and at or after (``_next``) its time, as structs (t, v).
+
+    A key's time is cut into buckets where the inputs are large, so that one key is many tasks' work: each bucket is solved by itself, with two rows more, the last right
+    row before it and the first one after it. Those are carried along a table of one row a bucket.
+    """
     names = left.columns
     l = left.select(*on, F.col(lt).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast("void").alias("_r"))
     r = right.select(*on, F.col(rt).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.struct(F.col(rt).alias("t"), value.alias("v")).alias("_r"))
     both = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r)
-    back = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*on).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    keys = list(on)
+    if _estimated_bytes(both) > BUCKETS_FROM_BYTES:
+        both, keys = _in_buckets(both, on), [*on, "_b"]
+    back = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_prev", F.last("_r", True).over(back)).withColumn("_next", F.last("_r", True).over(ahead))
     return found.where("_side = 1").select("_row.*", "_prev", "_next")
 
 
+def _in_buckets(both: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows with a bucket ``_b``, and for each bucket the right rows next to it on both sides."""
+    size = both.agg(F.min("_t").cast("double").alias("a"), F.max("_t").cast("double").alias("b"), F.count("*").alias("n")).first()
+    width = ((size["b"] or 0.0) - (size["a"] or 0.0)) / max(1, size["n"] // ROWS_PER_BUCKET) or 1.0
+    place = F.floor((F.col("_t").cast("double") - (size["a"] or 0.0)) / width).cast("long")
+    rows = both.withColumn("_b", F.coalesce(place, F.lit(-1).cast("long")))  # a null time comes before all
+    at = F.when(F.col("_side") == 0, F.col("_t"))
+    ends = rows.groupBy(*on, "_b").agg(F.min_by("_r", at).alias("_first"), F.max_by("_r", at).alias("_last"))
+    w = Window.partitionBy(*on).orderBy("_b")
+    carried = ends.select(
+        *on, "_b",
+        F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    more = carried.select(*on, "_b", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_r"))
+    return rows.unionByName(more.select(*on, F.col("_r.t").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), "_r", "_b"))
+
+
 def asof_backward(left: DataFrame, lt: str, right: DataFrame, rt: str, value: str, on: Sequence[str] = (), out: str = "match") -> DataFrame:
     """``left`` with the value of the latest right row at or before its time; of equal times the largest value. Null if none."""
     best = right.groupBy(*on, rt).agg(F.max(value).alias(value))
