@@ -26,6 +26,14 @@ def interval_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi:
     return keyed.join(wide, [*on, "_bucket"]).where(F.col(x).between(F.col(lo), F.col(hi))).drop("_bucket")
 
 
+def overlapping_pairs(intervals: DataFrame, id_col: str, lo: str, hi: str, width: float, on: Sequence[str] = ()) -> DataFrame:
+    """(on, a, b, a_lo, a_hi, b_lo, b_hi) of all pairs a < b of closed intervals that share a point. A pair meets in the bucket of its first common point only."""
+    wide = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo), width), bucket(F.col(hi), width))))
+    a, b = (wide.select(*on, "_bucket", F.col(id_col).alias(n), F.col(lo).alias(f"{n}_lo"), F.col(hi).alias(f"{n}_hi")) for n in "ab")
+    first = F.greatest("a_lo", "b_lo")
+    return a.join(b, [*on, "_bucket"]).where((F.col("a") < F.col("b")) & (first <= F.least("a_hi", "b_hi")) & (F.col("_bucket") == bucket(first, width))).drop("_bucket")
+
+
 def band_join(left: DataFrame, a: str, right: DataFrame, b: str, tolerance: Column, most: float, on: Sequence[str] = (), closed: bool = True) -> DataFrame:
     """Pairs with |a - b| within ``tolerance`` (an expression of both sides, at most ``most``)."""
     near = F.explode(F.array(*[bucket(F.col(a), most) + F.lit(d) for d in (-1, 0, 1)]))

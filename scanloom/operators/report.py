@@ -41,6 +41,14 @@ def roll_up(rows: DataFrame, levels: Sequence[str], columns: dict[str, Column])
     return rows.rollup(*levels).agg(depth.alias("depth"), *[v.alias(k) for k, v in columns.items()])
 
 
+def roll_up_lists(rows: DataFrame, levels: Sequence[str], column: str, order: str) -> DataFrame:
+    """(levels, depth, column): as ``roll_up`` with ``value_list``. A node gathers its distinct values, each with the first place it stands at, not its leaves."""
+    sets = [list(levels[:k]) for k in range(len(levels) + 1)]
+    depth = sum((F.lit(1) - F.grouping(c) for c in levels), F.lit(0)).cast("int")
+    firsts = rows.groupingSets([[*(F.col(c) for c in s), F.col(column)] for s in sets], *(F.col(c) for c in levels), F.col(column)).agg(depth.alias("depth"), F.min(order).alias("_first"))
+    return firsts.groupBy(*levels, "depth").agg(value_list(column, "_first").alias(column))
+
+
 def roll_up_children(rows: DataFrame, levels: Sequence[str], column: str, order: str) -> dict[int, DataFrame]:
     """For each depth, lists of the immediate children's summaries: computed bottom-up, each level from the one below."""
     out, now = {}, rows

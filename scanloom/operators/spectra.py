@@ -118,11 +118,17 @@ def statistics(points: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def noise_floor(points: DataFrame, on: Sequence[str], k: float = 3.0, share: float = 0.8) -> DataFrame:
-    """(on, floor): upper median plus k deviations of the lowest ``share`` of the intensities of each group."""
+    """(on, floor): upper median plus k deviations of the lowest ``share`` of the intensities of each group, from counts of equal values: no group is held in one array."""
+    counts = points.where("intensity is not null").groupBy(*on, "intensity").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*on)
-    ranked = points.withColumn("_r", F.row_number().over(w.orderBy("intensity"))).withColumn("_n", F.count("*").over(w))
-    low = ranked.where(F.col("_r") <= F.ceil(F.col("_n") * share))
-    return low.groupBy(*on).agg((upper_median(F.col("intensity")) + k * F.stddev_pop("intensity")).alias("floor"))
+    upto = counts.withColumns({"_upto": F.sum("c").over(w.orderBy("intensity").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("c").over(w)})
+    kept = F.least(F.col("c"), F.ceil(F.col("_n") * share) - (F.col("_upto") - F.col("c")))
+    low = upto.withColumn("_low", kept).where("_low > 0").withColumn("_size", F.ceil(F.col("_n") * share))
+    mean = F.sum(F.col("_low") * F.col("intensity")).over(w) / F.col("_size")
+    off = F.col("intensity") - F.col("_mean")
+    median = F.min(F.when(F.col("_upto") > F.floor(F.col("_size") / 2), F.col("intensity")))
+    deviation = F.sqrt(F.sum(F.col("_low") * off * off) / F.max("_size"))
+    return low.withColumn("_mean", mean).groupBy(*on).agg((median + k * deviation).alias("floor"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -39,7 +39,7 @@ def rollup_range(spark, d):
 u AS (SELECT r_name, n_name, depth, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM g), f AS (SELECT r_name, n_name, depth, s, min(i) AS i FROM u GROUP BY ALL)
 SELECT r_name, n_name, depth, string_agg(s, '; ' ORDER BY i) AS v FROM f GROUP BY ALL""")
 def rollup_list(spark, d):
-    return _roll(spark, d, report.value_list("c_mktsegment", "c_custkey"))
+    return report.roll_up_lists(_tree(spark, d), ["r_name", "n_name"], "c_mktsegment", "c_custkey").withColumnRenamed("c_mktsegment", "v")
 
 
 @query(_rollup_sql("CASE WHEN count(DISTINCT n_name) > 1 THEN '--' ELSE max(n_name) END").replace("n_name) AS INTEGER", "n_name) AS INTEGER"))
@@ -234,10 +234,11 @@ def delta_mass_conv(spark, d):
     return convolve.delta_masses(sites, pruning=0.0).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round((least(a.s_acctbal + 500, b.s_acctbal + 500) - greatest(a.s_acctbal, b.s_acctbal)) / (greatest(a.s_acctbal + 500, b.s_acctbal + 500) - least(a.s_acctbal, b.s_acctbal)), 6) AS iou FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round((least(a.s_acctbal + 500, b.s_acctbal + 500) - greatest(a.s_acctbal, b.s_acctbal)) / (greatest(a.s_acctbal + 500, b.s_acctbal + 500) - least(a.s_acctbal, b.s_acctbal)), 6) AS iou FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND a.s_acctbal <= b.s_acctbal + 500 AND b.s_acctbal <= a.s_acctbal + 500")
 def interval_overlap(spark, d):
-    from ..operators.joins import overlap_ratio
+    """Pairs that overlap or touch; those apart are no overlap, and would be nearly all pairs."""
+    from ..operators.joins import overlap_ratio, overlapping_pairs
 
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 500).alias("hi"))
-    pairs = s.alias("a").join(s.alias("b"), "s_nationkey").where("a.s_suppkey < b.s_suppkey")
-    return pairs.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(overlap_ratio(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")), 6).alias("iou"))
+    pairs = overlapping_pairs(s, "s_suppkey", "lo", "hi", 500.0, ["s_nationkey"])
+    return pairs.select("a", "b", F.round(overlap_ratio(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")), 6).alias("iou"))

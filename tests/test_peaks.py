@@ -103,3 +103,40 @@ def test_nested_intervals_cover(spark):
     got = sorted((r["first"], r["last"]) for r in S.peak_intervals_nested(frame(spark, {"a": ys, "b": ys[:50]}), "channel", 0.4, 6).where("channel = 'a'").collect())
     assert got[0][0] == 1 and got[-1][1] == 120 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
     assert len(got) > len(intervals(ys, 0.4, 6))
+
+
+def test_noise_floor_from_counts(spark):
+    import statistics
+
+    from scanloom.operators import spectra
+
+    rng = random.Random(6)
+    groups = {k: [rng.choice([float(rng.randrange(5)), rng.uniform(0, 9)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 37), ("d", 200))}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, intensity double").repartition(3)
+    got = {r["k"]: r["floor"] for r in spectra.noise_floor(df, ["k"]).collect()}
+    for k, vs in groups.items():
+        low = sorted(vs)[: -(-len(vs) * 4 // 5)]
+        assert abs(got[k] - (low[len(low) // 2] + 3 * statistics.pstdev(low))) < 1e-9
+    assert "collect_list" not in spectra.noise_floor(df, ["k"])._jdf.queryExecution().toString()
+
+
+def test_lists_roll_up_without_leaves(spark):
+    from scanloom.operators import report
+
+    rng = random.Random(1)
+    rows = [(rng.choice("xy"), rng.choice(["p", "q", None]), rng.choice(["m", "n", "o", "", None]), i) for i in range(80)] + [("z", "p", "", 99)]
+    df = spark.createDataFrame(rows, "g string, h string, s string, o int")
+    key = lambda r: str((r["g"], r["h"], r["depth"]))
+    plain = {key(r): r["l"] for r in report.roll_up(df, ["g", "h"], {"l": report.value_list("s", "o")}).collect()}
+    assert {key(r): r["s"] for r in report.roll_up_lists(df, ["g", "h"], "s", "o").collect()} == plain
+
+
+def test_overlapping_pairs(spark):
+    from scanloom.operators.joins import overlapping_pairs
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(2), a := rng.uniform(-20, 20), a + rng.choice([0.0, 1.0, 30.0, -1.0])) for i in range(80)]
+    got = {(r["a"], r["b"]) for r in overlapping_pairs(spark.createDataFrame(rows, "i int, k int, lo double, hi double"), "i", "lo", "hi", 3.0, ["k"]).collect()}
+    ok = [r for r in rows if r[2] <= r[3]]
+    assert got == {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
