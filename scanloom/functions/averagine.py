@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Atoms of each element in a mean residue of 111.1254 Da, and abundances of the isotopes by added neutrons.
 RESIDUE_MASS = 111.1254
@@ -30,3 +32,18 @@ def envelope(mass: float, n: int) -> np.ndarray:
     low = int(max(mass, 0.0) // STEP)
     share = max(mass, 0.0) / STEP - low
     return (1 - share) * _at(low, n) + share * _at(low + 1, n)
+
+
+def with_fractions(rows: DataFrame, mass: Column, n: int, most_mass: float = 100_000.0, out: str = "fractions") -> DataFrame:
+    """``rows`` with the fractions of the first n isotopes of a mass, linear between the table's masses; null for a null mass, and beyond ``most_mass``.
+
+    The table has one row a step, so its size is fixed, and it is broadcast.
+    """
+    spark = rows.sparkSession
+    steps = [(k, _at(k, n).tolist(), _at(k + 1, n).tolist()) for k in range(int(most_mass // STEP) + 1)]
+    table = F.broadcast(spark.createDataFrame(steps, "_step long, _low array<double>, _high array<double>"))
+    m = F.greatest(mass.cast("double"), F.lit(0.0))
+    share = m / STEP - F.floor(m / STEP)
+    mixed = F.zip_with("_low", "_high", lambda a, b: a + (b - a) * F.col("_share"))
+    placed = rows.withColumn("_step", F.when(mass.isNotNull(), F.floor(m / STEP).cast("long"))).withColumn("_share", share)
+    return placed.join(table, "_step", "left").withColumn(out, mixed).drop("_step", "_share", "_low", "_high")

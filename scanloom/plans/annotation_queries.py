@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.averagine import envelope
-from ..operators import calibrate, chrom, compare, features, rows, spectra, tiles
+from ..functions.averagine import with_fractions
+from ..operators import calibrate, chrom, compare, features, isotopes, rows, spectra, tiles
 from ..sources.tables import POINTS_SQL, SCANS_SQL, points, read, scans
 from .chrom_queries import _CELLS, _cells, _rounded
 from .registry import query
@@ -230,11 +228,15 @@ def first_in_tree(spark, d):
 @query()
 def averagine(spark, d):
     """The first six isotope fractions of every part's price, as a mass; tested by closed forms."""
-    @F.pandas_udf("array<double>")
-    def fractions(mass: pd.Series) -> pd.Series:
-        return mass.map(lambda m: np.round(envelope(m, 6), 9).tolist())
+    parts = with_fractions(read(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("p_retailprice"), 6)
+    return parts.select("p_partkey", F.transform("fractions", lambda x: F.round(x, 9)).alias("fractions"))
 
-    return read(spark, d, "part").select("p_partkey", fractions("p_retailprice").alias("fractions"))
+
+@query()
+def isotope_overlaps(spark, d):
+    """Envelopes of the points of each day of a run."""
+    p = points(spark, d).join(scans(spark, d), "scan").groupBy("run", F.col("rt").cast("int").alias("scan"), F.round("mz", 2).alias("mz")).agg(F.sum("intensity").alias("intensity"))
+    return isotopes.isotope_overlaps(p, tolerance=0.15, charges=4, isotopes=6, least_gain=1e-3)
 
 
 @query()
