@@ -58,7 +58,7 @@ def hill_features(hills: DataFrame, ladders: DataFrame, width: float = 0.025, ch
     rows = step.groupBy("run", F.col("seed").alias("feature")).agg(
         F.avg("_step").alias("_step"), F.min("mz").alias("mz"), F.count("*").alias("hills"), F.min("first").alias("first"), F.max("last").alias("last"), top, F.sum("intensity").alias("intensity")
     )
-    charge = F.coalesce(F.least(F.lit(charges), F.greatest(F.lit(1), F.round(C13_GAP / F.col("_step")))), F.lit(0)).cast("int")
+    charge = F.when(F.col("_step").isNull(), 0).otherwise(F.least(F.lit(charges), F.greatest(F.lit(1), F.round(C13_GAP / F.col("_step"))))).cast("int")
     mass = F.when(F.col("charge") > 0, F.col("mz") * F.col("charge") - F.col("charge") * PROTON)
     return rows.withColumn("charge", charge).withColumn("mass", mass).select("run", "feature", "charge", "mz", "mass", "hills", "first", "last", "apex", "intensity")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chrom, joins, tiles
+from ..operators import chrom, joins, tiles, workflow
 from ..operators import hills as hills_of
 from ..operators.greedy import ranked
 from ..sources.tables import POINTS_SQL, SCANS_SQL, points, read, scans
@@ -251,3 +251,25 @@ def hill_features(spark, d):
 def hill_layers(spark, d):
     p = _numbered(spark, d)
     return hills_of.merged_layer(hills_of.hill_layer(p, hills_of.grow_hills(p, 0.2, 8), 40.0, 30)).select("run", "tx", "ty", "n")
+
+
+@query()
+def multi_sample_peptides(spark, d):
+    """Each run a sample, each part an identification: its name as the sequence, its number as score."""
+    k = F.col("p_partkey")
+    known = read(spark, d, "part").select((F.lit(1992) + k % 7).cast("int").alias("run"), F.col("p_retailprice").alias("mass"), (k % 366).alias("rt"), (k % 100).cast("double").alias("score"), F.col("p_size").cast("double").alias("intensity"), F.col("p_name").alias("sequence"))
+    return workflow.peptides(_numbered(spark, d), known, 0.2, 8, 20.0, 4, 300.0, 10.0, 0.5, 20.0, 5.0)[0]
+
+
+_MATCHES = """WITH f AS (SELECT event_id AS id, user_id % 5 AS sample, CAST(event_id * 7919 % 40009 AS DOUBLE) / 50 AS mass, CAST(event_id * 104729 % 30011 AS DOUBLE) / 100 AS apex FROM events), k AS (SELECT user_id % 5 AS run, CAST(event_id * 7919 % 40009 AS DOUBLE) / 50 + 0.01 AS mass, CAST(event_id * 104729 % 30011 AS DOUBLE) / 100 AS rt, CAST(event_id % 100 AS DOUBLE) AS score, value AS intensity, 'P' || CAST(event_id % 977 AS VARCHAR) AS sequence FROM events)
+SELECT f.id AS feature, k.sequence, k.score, round(k.intensity, 6) AS intensity FROM f JOIN k ON k.run = f.sample AND k.mass BETWEEN f.mass - f.mass * 2000 / 1e6 AND f.mass + f.mass * 2000 / 1e6 AND k.rt BETWEEN f.apex - 10 AND f.apex + 10 AND k.score > 20
+QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY k.intensity DESC, k.score DESC, k.sequence) = 1"""
+
+
+@query(_MATCHES)
+def identifications_matched(spark, d):
+    e = read(spark, d, "events")
+    mass, apex = (F.col("event_id") * 7919 % 40009).cast("double") / 50, (F.col("event_id") * 104729 % 30011).cast("double") / 100
+    found = e.select((F.col("user_id") % 5).alias("run"), F.col("event_id").alias("feature"), mass.alias("mass"), (apex - 10).alias("start"), (apex + 10).alias("end"))
+    known = e.select((F.col("user_id") % 5).alias("run"), (mass + 0.01).alias("mass"), apex.alias("rt"), (F.col("event_id") % 100).cast("double").alias("score"), F.col("value").alias("intensity"), F.concat(F.lit("P"), (F.col("event_id") % 977).cast("string")).alias("sequence"))
+    return workflow.match_identifications(found, known, 2000.0, 20.0).withColumn("intensity", F.round("intensity", 6))

@@ -88,6 +88,8 @@ def test_features_are_found(spark):
                     n += 1
     got = hills.find_features(spark.createDataFrame([*rows, (n, 1, 3, None, 5.0)], POINTS), 0.02, 2, 3.0, 5, 6).collect()
     assert sorted((round(r["mz"], 2), r["charge"], r["hills"], r["first"], r["last"], r["apex"]) for r in got) == [(500.0, 2, 4, 16, 24, 20), (700.0, 3, 4, 26, 34, 30), (900.0, 1, 4, 8, 16, 12)]
+    alone = hills.find_features(spark.createDataFrame([(1, 1, 5, 700.0, 9.0)], POINTS)).first()
+    assert alone["charge"] == 0 and alone["mass"] is None
     assert hills.find_features(spark.createDataFrame([], POINTS)).collect() == []
 
 
