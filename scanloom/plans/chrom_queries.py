@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chrom, joins, tiles, workflow
+from ..operators import chrom, joins, tiles, warp2d, workflow
 from ..operators import hills as hills_of
 from ..operators.greedy import ranked
 from ..sources.tables import POINTS_SQL, SCANS_SQL, points, read, scans
@@ -273,3 +273,10 @@ def identifications_matched(spark, d):
     found = e.select((F.col("user_id") % 5).alias("run"), F.col("event_id").alias("feature"), mass.alias("mass"), (apex - 10).alias("start"), (apex + 10).alias("end"))
     known = e.select((F.col("user_id") % 5).alias("run"), (mass + 0.01).alias("mass"), apex.alias("rt"), (F.col("event_id") % 100).cast("double").alias("score"), F.col("value").alias("intensity"), F.concat(F.lit("P"), (F.col("event_id") % 977).cast("string")).alias("sequence"))
     return workflow.match_identifications(found, known, 2000.0, 20.0).withColumn("intensity", F.round("intensity", 6))
+
+
+@query()
+def warp_anchors_2d(spark, d):
+    """Each run against that of 1995, by the spectra of its days."""
+    p = points(spark, d).join(scans(spark, d), "scan").select("run", F.col("rt").cast("int").alias("idx"), "mz", "intensity")
+    return warp2d.find_warps_2d(p, 1995, segment=30, skew=10, ppm=500.0, penalty=0.1)
