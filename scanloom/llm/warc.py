@@ -243,15 +243,16 @@ def read_packages(packages: DataFrame, folder: str, range_bytes: int = 4 << 20,
                 with fs.open_input_file(path) as f:
                     package = Package(f)
                     start, _ = package.members["archive/data.warc.gz"]
-                    lengths = []
+                    lengths, size = [], 0
                     for line in package.read(*package.members["indexes/index.cdxj"]).splitlines():
                         at = json.loads(line)
                         if not lengths:
                             first = at["offset"]
                         lengths.append(at["length"])
-                        if sum(lengths) >= range_bytes:
+                        size += at["length"]
+                        if size >= range_bytes:
                             out.append((path, start + first, lengths))
-                            lengths = []
+                            lengths, size = [], 0
                     if lengths:
                         out.append((path, start + first, lengths))
         yield pa.RecordBatch.from_arrays(
