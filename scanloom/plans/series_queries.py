@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align, series as S
-from ..sources.tables import SERIES_SQL, series
+from ..operators import centroids as C
+from ..sources.tables import POINTS_SQL, SERIES_SQL, points, read, series
 from .registry import query
 
 ON = ["channel"]
@@ -231,3 +232,24 @@ def smooth_centroids(spark, d):
 
     s = s.withColumn("i", F.row_number().over(Window.partitionBy("channel", "hour").orderBy("i")))
     return S.smooth_centroids(s, ["channel", "hour"], 1.5, 1800.0, 1000)
+
+
+_POLICY = """o AS (SELECT o_orderkey AS scan, CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 17 = 0 THEN 'custom' WHEN o_orderkey % 19 = 0 THEN 'vendor' WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'custom' ELSE 'vendor' END AS centroiding FROM orders)"""
+_BY_SCAN = f"{POINTS_SQL}, {_POLICY}, series AS (SELECT scan, CAST(row_number() OVER (PARTITION BY scan ORDER BY mz, intensity) AS INTEGER) AS i, mz AS t, intensity AS y FROM points)"
+
+
+@query(_EXTREMA.replace(SERIES_SQL, _BY_SCAN).replace("channel", "scan") + """, u AS (SELECT *, lag(t) OVER w AS t0, lag(y) OVER w AS y0, lead(t) OVER w AS t2, lead(y) OVER w AS y2 FROM series WINDOW w AS (PARTITION BY scan ORDER BY i)),
+cu AS (SELECT u.scan, coalesce((t0 * y0 + u.t * u.y + t2 * y2) / CASE WHEN y0 + u.y + y2 > 1e-5 THEN y0 + u.y + y2 END, u.t) AS mz, u.y AS intensity FROM u JOIN x ON x.scan = u.scan AND x.i = u.i AND x.kind = 1 JOIN o ON o.scan = u.scan WHERE centroiding = 'custom'),
+ve AS (SELECT p.scan, mz + 1 AS mz, intensity / 2 AS intensity FROM points p JOIN o ON o.scan = p.scan WHERE centroiding = 'vendor' AND p.scan % 5 <> 0),
+pl AS (SELECT p.* FROM points p JOIN o ON o.scan = p.scan WHERE centroiding = 'none' OR (centroiding = 'vendor' AND p.scan % 5 = 0)),
+al AS (SELECT * FROM cu UNION ALL SELECT * FROM ve UNION ALL SELECT * FROM pl)
+SELECT scan, any_value(centroiding) AS centroiding, count(*) AS n, round(sum(mz) + 1.23e-5::DOUBLE, 4) AS mz, round(sum(intensity), 4) AS intensity FROM al JOIN o USING (scan) GROUP BY scan""")
+def centroiding_policy(spark, d):
+    k = F.col("o_orderkey")
+    override = F.when(k % 17 == 0, "custom").when(k % 19 == 0, "vendor")
+    scans = read(spark, d, "orders").select(k.alias("scan"), (k % 3 != 0).alias("profile"), F.col("o_orderpriority").alias("format"), override.alias("override"))
+    policy = C.centroiding(scans, "auto", ["1-URGENT", "5-LOW"])
+    p = points(spark, d)
+    vendor = p.where("scan % 5 <> 0").select("scan", (F.col("mz") + 1).alias("mz"), (F.col("intensity") / 2).alias("intensity"))
+    found = C.centroids(p, policy, vendor).join(policy.select("scan", "centroiding"), "scan")
+    return found.groupBy("scan").agg(F.first("centroiding").alias("centroiding"), F.count("*").alias("n"), F.round(F.sum("mz") + 1.23e-5, 4).alias("mz"), F.round(F.sum("intensity"), 4).alias("intensity"))  # off the ties of rounding
