@@ -34,6 +34,28 @@ def overlapping_pairs(intervals: DataFrame, id_col: str, lo: str, hi: str, width
     return a.join(b, [*on, "_bucket"]).where((F.col("a") < F.col("b")) & (first <= F.least("a_hi", "b_hi")) & (F.col("_bucket") == bucket(first, width))).drop("_bucket")
 
 
+#: Pairs that one task of ``all_pairs`` makes.
+PAIRS_PER_TASK = 1_000_000
+
+
+def all_pairs(rows: DataFrame, id_col: str, on: Sequence[str]) -> DataFrame:
+    """(on, a_*, b_*) of all pairs of rows with equal ``on`` and a's id below b's.
+
+    As many as there are, so the work is quadratic in a group; a task holds a slice of one group against the whole of it, and slices are dealt by number, so one
+    group is many tasks and nothing is held but the rows.
+    """
+    sizes = rows.groupBy(*on).agg(F.count("*").cast("double").alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+    tasks = max(1, min(20_000, int(pairs // PAIRS_PER_TASK)))
+    slices = max(1, min(tasks, int((sizes.agg(F.max("n")).first()[0] or 0) ** 2 // PAIRS_PER_TASK)))
+    a = rows.select(*on, *[F.col(c).alias(f"a_{c}") for c in rows.columns if c not in on])
+    b = rows.select(*on, *[F.col(c).alias(f"b_{c}") for c in rows.columns if c not in on])
+    a = a.withColumn("_slice", F.pmod(F.xxhash64(f"a_{id_col}"), F.lit(slices)))
+    b = b.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    a, b = (df.repartition(tasks, *on, "_slice") for df in (a, b))
+    return a.join(b, [*on, "_slice"]).where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}")).drop("_slice")
+
+
 def band_join(left: DataFrame, a: str, right: DataFrame, b: str, tolerance: Column, most: float, on: Sequence[str] = (), closed: bool = True) -> DataFrame:
     """Pairs with |a - b| within ``tolerance`` (an expression of both sides, at most ``most``)."""
     near = F.explode(F.array(*[bucket(F.col(a), most) + F.lit(d) for d in (-1, 0, 1)]))

@@ -140,3 +140,28 @@ def test_overlapping_pairs(spark):
     got = {(r["a"], r["b"]) for r in overlapping_pairs(spark.createDataFrame(rows, "i int, k int, lo double, hi double"), "i", "lo", "hi", 3.0, ["k"]).collect()}
     ok = [r for r in rows if r[2] <= r[3]]
     assert got == {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+
+
+def test_interval_overlap_has_all_pairs(spark):
+    """Pairs that are apart too: as many as the nation's suppliers make, with the negative ratio of their gap."""
+    import duckdb
+
+    from scanloom.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, catalog.queries()["interval_overlap"](spark, d).collect()))
+    con = duckdb.connect()
+    for t in ("supplier",):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    pairs = con.execute("SELECT count(*) FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey").fetchone()[0]
+    assert len(got) == pairs and any(r[2] < 0 for r in got)
+    assert got == sorted(con.execute(catalog.oracle_sql()["interval_overlap"]).fetchall())
+
+
+def test_all_pairs_in_slices(spark, monkeypatch):
+    from scanloom.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS_PER_TASK", 50)
+    rows = [(i, i % 3) for i in range(60)]
+    got = [(r["a_i"], r["b_i"]) for r in joins.all_pairs(spark.createDataFrame(rows, "i int, k int"), "i", ["k"]).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3]
