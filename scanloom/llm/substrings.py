@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import release, stored
+from .words import release, small_batches, stored, trim
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -106,7 +106,7 @@ def entries(data: bytes, width: int) -> tuple[np.ndarray, ...] | None:
             at = gram_at + o
             ok = (at >= 0) & (at < n)
             out = (out ^ (out >> _U(31))) * _C + np.where(ok, x[np.clip(at, 0, n - 1)], _U(0))
-        return ((out ^ (out >> _U(32))) * _B) >> _U(48)
+        return ((out ^ (out >> _U(32))) * _B) >> _U(64 - SIDE_BITS)
 
     left = beside([-side, -side + 8, -8])
     right = beside([GRAM, GRAM + 8, GRAM + side - 8])
@@ -131,58 +131,72 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-_ENTRY = ["a", "b", "doc", "lo", "kind"]
 _SPAN = ["doc", "lo", "hi", "kind"]
 ASK, COVERED = 0, 1
 
 
-def _entries_of(docs: DataFrame, width: int, chunk_bytes: int) -> DataFrame:
-    """Entries to ask for, packed in two integers, and spans that a smaller document of the same task covers."""
+def _dealt(part: np.ndarray, ask: tuple[np.ndarray, ...], covered: tuple[np.ndarray, ...], parts: int) -> pa.RecordBatch:
+    """Rows (part, w, rest): for each part its entries or windows, whose hashes ``w`` don't compress and whose (doc, lo) do; without w, covered (doc, lo, hi)."""
+    *w, doc, lo = ask
+    o = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(part[o]) != 0))
+    some = np.split(o, cuts[1:]) if len(o) else []
+    rows = [(int(part[x[0]]), b"".join(c[x].tobytes() for c in w), _packed_columns(doc[x], lo[x])) for x in some]
+    if len(covered[0]):
+        rows.append((int(covered[0][0] % parts), None, _packed_columns(*covered)))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "w", "rest"])
+
+
+def _entries_of(docs: DataFrame, width: int, chunk_bytes: int, parts: int) -> DataFrame:
+    """(part, w, rest): by part of their keys, entries to ask for, packed in two integers, and spans that a smaller document of the same task covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            key, content, left, right, place, first, last, doc = (np.concatenate([h[i] for h in held]) for i in range(8))
-            a, b = packed(key, content, left, right, place - first, last - first)
+            a, b, first, doc = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held.clear()
             o = np.lexsort((doc, b, a))
             new = np.append(True, (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]))
             ask = np.empty(len(a), bool)
             ask[o] = doc[o] == doc[o][np.flatnonzero(new)][np.cumsum(new) - 1]
-            cd, cl, ch = _merged(doc[~ask], first[~ask], last[~ask] + width)
-            spread = ((cd.astype(np.uint64) * _A + cl.astype(np.uint64)) * _B) >> _U(8)
+            del o, new
+            lo = first[~ask].astype(np.int64)
+            covered = _merged(doc[~ask], lo, lo + (a[~ask] & _U(0x3F)).astype(np.int64) + width)
             # In the order of the texts, in which ids and places compress well.
-            return _batch(
-                _ENTRY,
-                np.concatenate([a[ask], spread]).view(np.int64),
-                np.concatenate([b[ask].view(np.int64), ch]),
-                np.concatenate([doc[ask], cd]),
-                np.concatenate([first[ask], cl]).astype(np.int32),
-                np.concatenate([np.full(ask.sum(), ASK), np.full(len(cd), COVERED)]).astype(np.int8),
-            )
+            a, b, doc, first = a[ask], b[ask], doc[ask], first[ask]
+            return _dealt(((a >> _U(24)) % _U(parts)).astype(np.int32), (a, b, doc, first), covered, parts)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 found = entries(data, width)
                 if found is not None:
-                    held.append((*found, np.full(len(found[0]), doc, np.int64)))
+                    key, content, left, right, place, first, last = found
+                    a, b = packed(key, content, left, right, place - first, last - first)
+                    held.append((a, b, first.astype(np.int32), np.full(len(a), doc, np.int64)))
                     size += len(data)
                     if size >= chunk_bytes:
                         yield close()
-                        held, size = [], 0
+                        size = 0
         if held:
             yield close()
+        trim()
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return rows.mapInArrow(run, "a long, b long, doc long, lo int, kind byte")
+    return rows.mapInArrow(run, "part int, w binary, rest binary")
+
+
+#: Bits of a side's hash: keys that stand in very many texts have that many others beside them, and each one that is alike by chance has its windows looked at.
+SIDE_BITS = 18
+_SIDE = _U((1 << SIDE_BITS) - 1)
 
 
 def packed(key, content, left, right, place, size):
-    """An entry in two integers: key 40 bits, right 8, size 6; content 40, left 8, place of the key 6."""
-    a = ((key >> _U(24)) << _U(14)) | ((right & _U(0xFF)) << _U(6)) | size.astype(np.uint64)
-    b = ((content >> _U(24)) << _U(14)) | ((left & _U(0xFF)) << _U(6)) | place.astype(np.uint64)
+    """An entry in two integers: key 40 bits, right 18, size 6; content 40, left 18, place of the key 6."""
+    a = ((key >> _U(24)) << _U(24)) | ((right & _SIDE) << _U(6)) | size.astype(np.uint64)
+    b = ((content >> _U(24)) << _U(24)) | ((left & _SIDE) << _U(6)) | place.astype(np.uint64)
     return a, b
 
 
@@ -198,10 +212,10 @@ class Entries:
 
     def sides(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For left and right: the entries some window of which holds that side whole, and their key with the side's hash."""
-        key = (self.a >> _U(14)) << _U(8)
+        key = (self.a >> _U(24)) << _U(SIDE_BITS)
         left = np.flatnonzero(self.place >= self.side)
         right = np.flatnonzero(self.place - self.size <= self.side)
-        return [(left, key[left] | ((self.b[left] >> _U(6)) & _U(0xFF))), (right, key[right] | ((self.a[right] >> _U(6)) & _U(0xFF)))]
+        return [(left, key[left] | ((self.b[left] >> _U(6)) & _SIDE)), (right, key[right] | ((self.a[right] >> _U(6)) & _SIDE))]
 
     def windows(self, which: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """The windows of some entries that hold the left (0) or right (1) side whole, to be looked at one by one."""
@@ -286,44 +300,46 @@ class Family:
         return out
 
 
-#: Bytes of text whose entries one task's family holds, about one entry for 18 bytes.
+#: Bytes of text whose entries one task takes, about one entry for 18 bytes; a family holds those of one of ``PARTS`` parts of them at a time.
 TASK_BYTES = 24 << 20
+PARTS = 4
 
 
 def _scan_levels(rows: DataFrame, width: int, batch_rows: int, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, size = Family(width), [], 0
+        held: list[tuple] = []
+        at = None
 
         def spans(found: list) -> pa.RecordBatch:
             kinds = np.concatenate([np.full(len(f[0]), f[3], np.int8) for f in found])
             return _batch(_SPAN, *(np.concatenate([f[i] for f in found]).astype(t) for i, t in ((0, np.int64), (1, np.int32), (2, np.int32))), kinds)
 
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            """Give the family all held documents but the last, which may go on."""
-            nonlocal held, size
+        def solved() -> Iterator[pa.RecordBatch]:
+            """The part's entries in order of the documents, some whole documents at a time."""
             a, b, doc, lo = (np.concatenate([h[i] for h in held]) for i in range(4))
-            n = len(doc) if last else int(np.searchsorted(doc, doc[-1]))
-            if n:
-                yield spans(family.add(a[:n].view(np.uint64), b[:n].view(np.uint64), doc[:n], lo[:n]))
-            held, size = [(a[n:], b[n:], doc[n:], lo[n:])], len(doc) - n
+            held.clear()
+            o = np.argsort(doc, kind="stable")
+            a, b, doc, lo = a[o], b[o], doc[o], lo[o]
+            family, start = Family(width), 0
+            while start < len(doc):
+                end = int(np.searchsorted(doc, doc[min(start + batch_rows, len(doc)) - 1], "right"))
+                yield spans(family.add(a[start:end], b[start:end], doc[start:end], lo[start:end]))
+                start = end
 
         for batch in batches:
-            a, b, doc, lo, kind = (c.to_numpy() for c in batch.columns)
-            ask = kind == ASK
-            if not ask.all():
-                c = ~ask
-                yield spans([(doc[c], lo[c], b[c], COVERED)])
-            if ask.any():
-                held.append((a[ask], b[ask], doc[ask], lo[ask].astype(np.int64)))
-                size += int(ask.sum())
-                if size >= batch_rows:
-                    yield from close(False)
-        if size:
-            yield from close(True)
-
-    key = F.shiftrightunsigned("a", 14)
-    ordered = rows.repartition(partitions, key).sortWithinPartitions("doc")
-    return ordered.mapInArrow(run, "doc long, lo int, hi int, kind byte")
+            for part, w, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if part != at and held:
+                    yield from solved()
+                at = part
+                if not w.is_valid:
+                    yield spans([(*_unpacked(rest.as_py(), 3), COVERED)])
+                else:
+                    held.append((*np.frombuffer(w.as_py(), np.uint64).reshape(2, -1), *_unpacked(rest.as_py(), 2)))
+        if held:
+            yield from solved()
+        trim()
+
+    return rows.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "doc long, lo int, hi int, kind byte")
 
 
 def _packed_columns(*columns: np.ndarray) -> bytes:
@@ -338,7 +354,7 @@ def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
 
 
 def _windows_of(texts: DataFrame, width: int, chunk: int, buckets: int) -> DataFrame:
-    """(bucket, w, rest): the asked windows by bucket of their hashes, ``rest`` their packed (doc, lo); without w, covered (doc, lo, hi)."""
+    """(part, w, rest): the asked windows by part of their hashes, ``rest`` their packed (doc, lo); without w, covered (doc, lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -351,42 +367,32 @@ def _windows_of(texts: DataFrame, width: int, chunk: int, buckets: int) -> DataF
             ask[o] = doc[o] == doc[o][np.flatnonzero(new)][np.cumsum(new) - 1]
             cd, cl, ch = _merged(doc[~ask], lo[~ask], lo[~ask] + width)
             w, doc, lo = w[ask], doc[ask], lo[ask]
-            bucket = (w % _U(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(bucket[o]) != 0))
-            parts = np.split(o, cuts[1:]) if len(o) else []
-            rows = [(int(bucket[x[0]]), w[x].tobytes(), _packed_columns(doc[x], lo[x])) for x in parts]
-            return out([*rows, covered(cd, cl, ch)])
-
-        def covered(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple:
-            return (int(doc[0] % buckets) if len(doc) else 0, None, _packed_columns(doc, lo, hi))
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "w", "rest"])
+            return _dealt((w % _U(buckets)).astype(np.int32), (w, doc, lo), (cd, cl, ch), buckets)
 
         for batch in batches:
             spans: list[tuple] = []
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, z, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 v = asked.values
                 lo, hi, kind = (v.field(i).to_numpy().astype(np.int64) for i in range(3))
                 c = kind == COVERED
                 spans.append((np.full(c.sum(), doc, np.int64), lo[c], hi[c]))
                 if not c.all():
-                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    data = zstandard.decompress(z.as_py())
                     lo, count = lo[~c], hi[~c] - lo[~c] + 1
                     at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
                     at = np.unique(at[at <= len(data) - width])
                     h = window_hashes(_loads(data), len(data) - width + 1, width) if len(at) else np.zeros(0, np.uint64)
                     held.append((h[at], np.full(len(at), doc, np.int64), at))
                     size += len(at)
-            yield out([covered(*_merged(*(np.concatenate([x[i] for x in spans]) for i in range(3))))])
+            none = np.zeros(0, np.int64)
+            yield _dealt(none, (none, none, none), _merged(*(np.concatenate([x[i] for x in spans]) for i in range(3))), buckets)
             if size >= chunk:
                 yield close()
                 held, size = [], 0
         if held:
             yield close()
 
-    return texts.mapInArrow(run, "bucket int, w binary, rest binary")
+    return texts.mapInArrow(run, "part int, w binary, rest binary")
 
 
 def _judge(windows: DataFrame, width: int, partitions: int) -> DataFrame:
@@ -419,23 +425,37 @@ def _judge(windows: DataFrame, width: int, partitions: int) -> DataFrame:
         if held:
             yield close()
 
-    return windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, lo int, hi int")
+    return windows.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "doc long, lo int, hi int")
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): the texts in UTF-8, null as empty, compressed one by one, as all of them are shuffled twice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
-def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20, batch_rows: int = 1 << 17) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 16 << 20, batch_rows: int = 1 << 17) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: the removed [start, end) and the bytes that stay."""
     if width < 3 * GRAM:
         raise ValueError(f"width must be {3 * GRAM} or more")
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    small_batches(spark)
     # Tasks by the bytes of the texts, so what a family holds doesn't grow with the input; the session's number if that is more.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    spans = _scan_levels(_entries_of(docs, width, chunk_bytes), width, batch_rows, partitions)
+    spans = _scan_levels(_entries_of(docs, width, chunk_bytes, PARTS * partitions), width, batch_rows, partitions)
     asked = stored(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans")))
     del spans
     release(spark)  # the entries' shuffle files
-    some = docs.where("text is not null").join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans")
+    some = _compressed(docs.where("text is not null")).join(asked, F.col("doc_id") == F.col("doc")).select("doc", "z", "spans")
     covered = stored(_judge(_windows_of(some, width, 2_000_000, 2 * partitions), width, partitions))
     release(spark, asked)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -443,8 +463,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, s in zip(batch.column(1), batch.column(2), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
+            for z, s in zip(batch.column(1), batch.column(2), strict=True):
+                data = zstandard.decompress(z.as_py())
                 out, ends = data, []
                 if s.is_valid and len(s):
                     lo, hi = (np.minimum(s.values.field(i).to_numpy().astype(np.int64), len(data)) for i in (0, 1))
@@ -460,7 +480,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 48 << 20
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = docs.join(covered, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    last = _compressed(docs).join(covered, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "spans")
     return last.mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 

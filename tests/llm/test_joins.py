@@ -343,3 +343,26 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     size = sum(len((t or "").split()) for _, t in rows)
     assert abs(sum(len(r["text"].split()) for r in mixed.collect()) - size) <= 40
     assert stages["bpe"](spark, docs, str(tmp_path)).where("n_tokens >= 0").count() == len(rows)
+
+
+def test_repeats_send_packed_entries(spark):
+    """Entries go to their tasks as compressed parts, not as rows of 48 bytes: under 22 bytes an entry; and what one task holds is a part, in order of the documents."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(60)]
+    rows = substrings._entries_of(frame(spark, list(enumerate(texts))).coalesce(1), 50, 16 << 20, 8).where("w is not null").collect()
+    n = sum(len(r["w"]) for r in rows) // 16
+    assert n > 10_000 and sum(len(r["w"]) + len(r["rest"]) for r in rows) < 22 * n and {r["part"] for r in rows} == set(range(8))
+
+
+def test_repeats_ask_few_windows(spark):
+    """Texts that share a common key beside different bytes: sides are told apart by more than 8 bits."""
+    key = "the same sixteen"
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    family = substrings.Family(50)
+    e = [substrings.entries((word() + key + word()).encode(), 50) for _ in range(3000)]
+    key_, content, left, right, place, first, last = (np.concatenate([x[i] for x in e]) for i in range(7))
+    a, b = substrings.packed(key_, content, left, right, place - first, last - first)
+    doc = np.repeat(np.arange(3000), [len(x[0]) for x in e])
+    asked = sum(len(f[0]) for f in family.add(a, b, doc, first) if f[3] == substrings.ASK)
+    assert asked < 300
