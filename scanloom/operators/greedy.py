@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 _HALO = 4  # in reaches; more than two are needed
+#: Rows of a block that is as high as the plane, its halo not counted: about 60 bytes each, and as much again for each order of them.
+MOST_ROWS = 2_000_000
 
 
 class Nearby:
@@ -44,36 +46,70 @@ class Nearby:
 
 
 class NearestOfEachSample:
-    """A seed takes, of each other sample, the free row nearest by mass, then apex, then intensity, then order; all strictly within the tolerances."""
+    """A seed takes, of each other sample, the free row nearest by mass, then apex, then intensity, then order; all strictly within the tolerances.
+
+    Rows are looked at from the nearest mass outwards, until each other sample has a row that is surely free: what is farther can't be taken.
+    """
 
     keeps_seeds = False
 
-    def __init__(self, eps: Sequence[float], columns: dict[str, np.ndarray]):
-        self.eps, self.c = eps, columns
-        self.near = Nearby(columns["x"], columns["y"], eps[0], eps[1])
+    def __init__(self, eps: Sequence[float], columns: dict[str, np.ndarray], doubt: np.ndarray):
+        self.eps, self.c, self.doubt = eps, columns, doubt
+        x, self.strip = columns["x"], np.floor(columns["y"] / eps[1])
+        order = np.lexsort((x, self.strip))
+        cuts = np.flatnonzero(np.diff(self.strip[order]) != 0) + 1
+        self.rows = {self.strip[r[0]]: (x[r], r) for r in np.split(order, cuts) if len(r)}
+        self.others = len(np.unique(columns["sample"])) - 1
+        crowd = len(x) * 3 / max(len(self.rows), 1) * 2 * eps[0] / max(float(np.ptp(x)) if len(x) else 0.0, eps[0])  # in full reach, about
+        self.first = eps[0] * min(1.0, 16.0 * max(self.others, 1) / max(crowd, 1.0))
 
     def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
+        """Free rows within reach; at least the nearest ones of each sample up to the first that is surely free."""
         c, (ex, ey, ez) = self.c, self.eps
-        n = self.near.around(v)
-        return n[(c["sample"][n] != c["sample"][v]) & (np.abs(c["x"][n] - c["x"][v]) < ex) & (np.abs(c["y"][n] - c["y"][v]) < ey) & (np.abs(c["z"][n] - c["z"][v]) < ez)]
-
-    def pick(self, v: int, near: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, bool]:
-        if not len(near):
-            return near, True
+        x, whole, w = c["x"][v], ex * (1 + 1e-9), self.first
+        while True:
+            some = []
+            for s in (-1, 0, 1):
+                xs, rows = self.rows.get(self.strip[v] + s, (None, None))
+                if rows is not None:
+                    lo, hi = np.searchsorted(xs, (x - w, x + w))
+                    some.append(rows[lo : hi + 1])
+            n = np.concatenate(some)
+            n = n[~taken[n]]
+            dx = np.abs(c["x"][n] - x)
+            ok = (c["sample"][n] != c["sample"][v]) & (dx < ex) & (np.abs(c["y"][n] - c["y"][v]) < ey) & (np.abs(c["z"][n] - c["z"][v]) < ez)
+            n, dx = n[ok], dx[ok]
+            if w >= whole:
+                return n
+            inner = ~self.doubt[n] & (dx <= w - 1e-9 * w - 4 * np.spacing(abs(x) + w))
+            if len(set(c["sample"][n[inner]].tolist())) == self.others:
+                return n
+            w = min(4 * w, whole)
+
+    def _ordered(self, v: int, near: np.ndarray) -> np.ndarray:
         c = self.c
         order = np.lexsort((near, np.abs(c["z"][near] - c["z"][v]), np.abs(c["y"][near] - c["y"][v]), np.abs(c["x"][near] - c["x"][v]), c["sample"][near]))
-        best = near[order]
-        first = np.r_[True, c["sample"][best][1:] != c["sample"][best][:-1]]
-        chosen = best[first]
+        return near[order]
+
+    def _first(self, rows: np.ndarray) -> np.ndarray:
+        samples = self.c["sample"][rows]
+        return rows[np.r_[True, samples[1:] != samples[:-1]]] if len(rows) else rows
+
+    def pick(self, v: int, near: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, bool]:
+        chosen = self._first(self._ordered(v, near))
         return chosen, not doubt[chosen].any()  # a row in doubt that is worse than a sure one doesn't matter
 
+    def maybe(self, v: int, near: np.ndarray, doubt: np.ndarray) -> np.ndarray:
+        """Rows that come into doubt with ``v``: of each sample the nearest that is surely free. Farther ones it can't take, nearer ones are in doubt by now."""
+        return self._first(self._ordered(v, near[~doubt[near]]))
+
 
 class Hill:
     """A seed takes the free points within ``width`` of its place, scan by scan in both directions, as long as at most ``gap`` - 1 scans in a row have none."""
 
     keeps_seeds = False
 
-    def __init__(self, width: float, gap: int, columns: dict[str, np.ndarray]):
+    def __init__(self, width: float, gap: int, columns: dict[str, np.ndarray], doubt: np.ndarray | None = None):
         self.width, self.gap, self.c = width, gap, columns
         self.order = np.argsort(columns["x"], kind="stable")
         self.x = columns["x"][self.order]
@@ -105,7 +141,7 @@ class Ladder:
 
     keeps_seeds = False
 
-    def __init__(self, spacing: float, charges: int, width: float, reach_y: float, most: int, columns: dict[str, np.ndarray]):
+    def __init__(self, spacing: float, charges: int, width: float, reach_y: float, most: int, columns: dict[str, np.ndarray], doubt: np.ndarray | None = None):
         self.spacing, self.charges, self.width, self.reach_y, self.most, self.c = spacing, charges, width, reach_y, most, columns
         self.order = np.argsort(columns["x"], kind="stable")
         self.x = columns["x"][self.order]
@@ -147,7 +183,7 @@ class AllWithin:
 
     keeps_seeds = True
 
-    def __init__(self, ppm: float, reach_y: float, columns: dict[str, np.ndarray]):
+    def __init__(self, ppm: float, reach_y: float, columns: dict[str, np.ndarray], doubt: np.ndarray | None = None):
         self.ppm, self.reach_y, self.c = ppm, reach_y, columns
         self.near = Nearby(columns["x"], columns["y"], 1.0, reach_y)
 
@@ -164,6 +200,7 @@ class AllWithin:
 def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
     """(seed, rows taken, whether the seed is done) in order. ``seeds``: rows known as seeds from an earlier round, with rows left in doubt."""
     taken, out = np.zeros(len(doubt), bool), []
+    maybe = getattr(rule, "maybe", lambda v, near, doubt: near)
     for v in range(len(doubt)):
         if taken[v]:
             continue
@@ -172,7 +209,7 @@ def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int,
         if rule.keeps_seeds:
             near = near[near > v]  # rows before it are seeds by now, or in doubt
         if doubt[v] and not seeds[v]:
-            doubt[near] = True
+            doubt[maybe(v, near, doubt)] = True
             continue
         chosen, sure = rule.pick(v, near, doubt)
         if sure or rule.keeps_seeds:
@@ -181,12 +218,15 @@ def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int,
             out.append((v, chosen, sure))
         else:
             doubt[v] = True
-            doubt[near] = True
+            doubt[maybe(v, near, doubt)] = True
     return out
 
 
-def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float, rule: Callable[[dict[str, np.ndarray]], object], rows_per_block: int = 20_000, rounds: int = 200) -> DataFrame:
-    """(id, seed) of every row of (id, x, y, ...), all numbers; ``order`` ends in the id, so that it is total. ``rule`` makes a rule of a block's columns, in order.
+def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float, rule: Callable[[dict[str, np.ndarray], np.ndarray], object], rows_per_block: int = 20_000, rounds: int = 200, along_x: bool = False) -> DataFrame:
+    """(id, seed) of every row of (id, x, y, ...), all numbers; ``order`` ends in the id, so that it is total. ``rule`` makes a rule of a block's columns, in order,
+    and of what is in doubt.
+
+    ``along_x``: the rule takes the nearest by x, so doubt goes far along y and little along x; blocks are then as high as the plane, as long as they hold ``MOST_ROWS`` at most.
 
     Rows of different ``part``, if there is such a column, never meet.
     """
@@ -206,7 +246,11 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
         wide, high = side * reach_x, max(side, spans[0] * spans[1] * rows_per_block / n / min(side, spans[0])) * reach_y
         if spans[1] * reach_y <= high:
             wide = max(12.0, spans[0] * rows_per_block / n) * reach_x
+        if along_x and max(12.0 * n / spans[0], rows_per_block) <= MOST_ROWS:
+            wide, high = max(12.0, spans[0] * rows_per_block / n) * reach_x, (spans[1] + 2 * _HALO + 2) * reach_y
         at = (size["x0"] - wide * (0.37 * k % 1), size["y0"] - high * (0.61 * k % 1))
+        if high > (spans[1] + 2 * _HALO) * reach_y:
+            at = (at[0], size["y0"] - (_HALO + 1) * reach_y)  # one row of blocks, with no border in reach
         cut = [(F.col(c) - F.lit(a)) / F.lit(w) for c, a, w in (("x", at[0], wide), ("y", at[1], high))]
         halo = (_HALO * reach_x / wide, _HALO * reach_y / high)
         near = lambda c, h: F.sequence(F.floor(c - h).cast("long"), F.floor(c + h).cast("long"))
@@ -223,7 +267,7 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
                 inside = (np.floor((c["x"] - at[0]) / wide) == block[0]) & (np.floor((c["y"] - at[1]) / high) == block[1])
                 edge = (_HALO - 1.01) * reach_x, (_HALO - 1.01) * reach_y
                 doubt = (c["x"] < left - edge[0]) | (c["x"] > left + wide + edge[0]) | (c["y"] < low - edge[1]) | (c["y"] > low + high + edge[1])
-                found = settle_block(rule(c), doubt, table.column("seed").to_numpy(zero_copy_only=False).astype(bool))
+                found = settle_block(rule(c, doubt), doubt, table.column("seed").to_numpy(zero_copy_only=False).astype(bool))
                 ids, seeds, done = [], [], []
                 for v, chosen, sure in found:
                     if inside[v]:

@@ -70,3 +70,17 @@ def test_greedy_groups(spark, spread):
 def test_ranked(spark):
     df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "a long, b long").repartition(5)
     assert sorted((r["n"], r["a"]) for r in ranked(df, ["a"], "n").collect()) == [(k + 1, k) for k in range(101)]
+
+
+def test_doubt_spreads_by_the_nearest_only():
+    """A dense block with doubt at its left edge: a seed in doubt casts doubt on the nearest row of each sample, not on all in its reach, so the rest is settled at once."""
+    import numpy as np
+
+    from scanloom.operators.greedy import NearestOfEachSample, settle_block
+
+    rng = np.random.default_rng(1)
+    n = 6000
+    c = {"x": rng.uniform(0, 30, n), "y": rng.uniform(0, 60, n), "z": rng.uniform(0, 40, n), "sample": rng.integers(0, 5, n)}
+    doubt = c["x"] < 2.5
+    found = settle_block(NearestOfEachSample((2.5, 10.0, 30.0), c, doubt), doubt, np.zeros(n, bool))
+    assert sum(1 + len(chosen) for _, chosen, _ in found) > 0.6 * n
