@@ -4,10 +4,10 @@ Words and word pairs are hashed into ``buckets`` cells. Two multinomials are cou
 documents (raw) and one over the trusted ones, smoothed towards the raw one. A document's score is the mean of
 log(target / raw) over its n-grams, so length doesn't matter, and it is kept if the score reaches a fixed threshold.
 
-Counting is a narrow map with one row a cell and task, then a sum: the model has a fixed size, and texts are never
-shuffled. Scoring is a second narrow map.
+Counting is a map with one row a cell and task, then a sum: the model has a fixed size. Texts are shuffled only where the trusted ids are too
+many to broadcast. Scoring is a narrow map.
 
-Bound: the trusted documents are at most ``trusted_limit`` labelled ids, those with the smallest hashes.
+Every document that is labelled good and not toxic is trusted. They are found by a join on the id, which Spark broadcasts or shuffles by its size.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; its score is null. Without
 trusted documents every ratio is 1, every score 0 and the base rules decide alone. Repeated rows count as often as they come.
@@ -93,15 +93,15 @@ def base_counts(text: str, words: list[bytes], h: np.ndarray) -> tuple[int, int,
     )
 
 
-def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
-    """Ids of documents labelled good and not toxic: those with the ``limit`` smallest hashes."""
+def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ids of all documents labelled good and not toxic; with a ``limit``, which the model doesn't use, those with the smallest hashes."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return good if limit is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, trusted_limit: int = 20_000, smoothing: float = 16_384.0) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, smoothing: float = 16_384.0) -> np.ndarray:
     """log(target / raw) of every cell."""
-    good = F.broadcast(trusted_ids(labels, trusted_limit).withColumnRenamed("doc_id", "_id"))  # trusted_limit bounds it
+    good = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left")
     marked = marked.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_id").isNotNull().alias("good"))
 

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,20 @@ def test_quality_ratio_tells_good_from_bad(spark):
     assert all(quality.trusted_ids(labels, 7).count() == 7 for _ in range(2))
 
 
+def test_quality_trusts_every_good_label(spark):
+    """The target side counts all of 21,000 trusted documents; a sample of 20,000 ids lacks the words of 1,000 of them."""
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "'same' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == n
+    other = docs.unionByName(spark.range(n, 2 * n).selectExpr("id AS doc_id", "'other' AS text"))
+    ratios = quality.fit(other, labels, buckets=64)
+    cell = {w: int(quality.cells(quality.word_hashes(w)[1], 64)[0]) for w in ("same", "other")}
+    p = {c: (n + 1) / (2 * n + 64) for c in cell.values()}
+    expected = np.log((n + 16_384.0 * p[cell["same"]]) / (n + 16_384.0) / p[cell["same"]])
+    assert cell["same"] != cell["other"] and abs(ratios[cell["same"]] - expected) < 1e-12
+
+
 def test_quality_without_labels_and_empty(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.op3_quality(docs, none).collect()} <= {0.0, None}
