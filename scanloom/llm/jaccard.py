@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality import _P, _hashes  # one memo for all operators that run in a worker
-from .words import release, sliced, small_batches, stored, trim
+from .words import _cell_of, release, sliced, small_batches, stored, trim, wanted_filter
 
 SKETCH = 1 << 20
 #: Counters of the sketch travel in chunks of this size.
@@ -192,37 +192,6 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "bv", (F.col("nu") + F.col("nv")).alias("total")).mapInArrow(run, "u long, v long"))
 
 
-#: Bits of the filter that keeps texts which no pair asks for from being sent. A fixed size: beyond it, it only lets more through.
-FILTER = 1 << 24
-
-
-def _cell_of(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * _P) >> np.uint64(40)).astype(np.int64)
-
-
-def wanted_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of FILTER bits with those of the ids set."""
-
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells_ = [_cell_of(b.column(0).to_numpy()) for b in batches]
-        some = np.unique(np.concatenate(cells_)) if cells_ else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(some)], names=["cell"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            cell = b.column(0).to_numpy()
-            for k in np.unique(cell >> 16):
-                parts.setdefault(int(k), np.zeros(1 << 16, bool))[cell[cell >> 16 == k] & 0xFFFF] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(v).tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
-
-    cells_ = ids.mapInArrow(bits_of, "cell long").repartition(F.shiftright("cell", 16))
-    out = np.zeros(FILTER, bool)
-    for r in cells_.mapInArrow(pack, "part long, bits binary").collect():  # FILTER / 8 bytes at most
-        out[r["part"] << 16 : (r["part"] + 1) << 16] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return np.packbits(out)
-
-
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (u, v) whose exact similarity reaches the threshold."""
     wanted = stored(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "_id"))

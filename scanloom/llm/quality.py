@@ -4,10 +4,10 @@ Words and word pairs are hashed into ``buckets`` cells. Two multinomials are cou
 documents (raw) and one over the trusted ones, smoothed towards the raw one. A document's score is the mean of
 log(target / raw) over its n-grams, so length doesn't matter, and it is kept if the score reaches a fixed threshold.
 
-Counting is a map with one row a cell and task, then a sum: the model has a fixed size. Texts are shuffled only where the trusted ids are too
-many to broadcast. Scoring is a narrow map.
+Counting is a map with one row a cell and task, then a sum: the model has a fixed size. Scoring is a narrow map.
 
-Every document that is labelled good and not toxic is trusted. They are found by a join on the id, which Spark broadcasts or shuffles by its size.
+Every document that is labelled good and not toxic is trusted. They are found by a join on the id, always shuffled, so that disk grows as the input does. Only texts that
+a filter of fixed size lets through are sent, compressed: the trusted ones and few others. The raw side is counted without a shuffle.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; its score is null. Without
 trusted documents every ratio is 1, every score 0 and the base rules decide alone. Repeated rows count as often as they come.
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import sliced, small_batches, trim
+from .words import _P, _cell_of, sliced, small_batches, trim, wanted_filter
 
-_P = np.uint64(0x9E3779B97F4A7C15)
 #: Scores below it reject a document. Junk scores about -0.25, clean text of the rarer languages about -0.05.
 THRESHOLD = -0.13
 _SPACES = " \t\n\x0b\x0c\r"
@@ -99,40 +99,46 @@ def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
     return good if limit is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, z): the trusted documents' texts in UTF-8, null as empty, compressed one by one."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    good = trusted_ids(labels).select(F.col("doc_id").cast(kind))
+    packed = docs.sparkSession.sparkContext.broadcast(wanted_filter(good.select(F.xxhash64("doc_id").alias("h"))))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, packer = np.unpackbits(packed.value).astype(bool), zstandard.ZstdCompressor(level=1)
+        for b in sliced(batches):
+            b = b.filter(pa.array(bits[_cell_of(b.column(2).to_numpy())]))
+            z = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+    return texts.mapInArrow(send, f"doc_id {kind}, z binary").join(good.hint("merge"), "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = 16_384, smoothing: float = 16_384.0) -> np.ndarray:
     """log(target / raw) of every cell."""
-    good = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left")
-    marked = marked.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_id").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held, size = [np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)], ([], []), 0
-
-        def add() -> None:
-            for total, some in zip(sums, held, strict=True):
-                if some:
-                    total += np.bincount(np.concatenate(some), minlength=buckets)
-                    some.clear()
-
+        total, held, size = np.zeros(buckets, np.int64), [], 0
         for batch in sliced(batches):
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = cells(word_hashes(text)[1], buckets)
-                held[0].append(found)
-                if good:
-                    held[1].append(found)
-                size += len(found)
+            for text in batch.column(0).to_pylist():
+                held.append(cells(word_hashes(zstandard.decompress(text).decode("utf-8", "surrogatepass") if isinstance(text, bytes) else text)[1], buckets))
+                size += len(held[-1])
                 if size > 1_000_000:
-                    add()
-                    size = 0
-        add()
-        raw, target = sums
+                    total += np.bincount(np.concatenate(held), minlength=buckets)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=buckets)
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], names=["cell", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total)], names=["cell", "n"])
 
-    counted = marked.mapInArrow(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target"))
+    small_batches(docs.sparkSession)
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for cell, r, t in counted.collect():  # as many rows as cells
-        raw[cell], target[cell] = r, t
+    for out, texts in ((raw, docs.select(F.coalesce("text", F.lit("")).alias("text"))), (target, trusted_texts(docs, labels).select("z"))):
+        for cell, n in texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # as many rows as cells
+            out[cell] = n
     p = (raw + 1) / (raw.sum() + buckets)
     return np.log((target + smoothing * p) / (target.sum() + smoothing) / p)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..storage import shared_folder, stored  # noqa: F401
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_count(text: Column) -> Column:
@@ -39,11 +43,40 @@ def small_batches(spark: SparkSession) -> None:
 
 def trim() -> None:
     """At a task's end: memory that Arrow keeps for later goes back, as workers live on and run the tasks of other operators."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
 
 
+#: Bits of the filter that keeps texts which nobody asks for from being sent. A fixed size: beyond it, it only lets more through.
+FILTER = 1 << 24
+
+
+def _cell_of(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _P) >> np.uint64(40)).astype(np.int64)
+
+
+def wanted_filter(ids: DataFrame) -> np.ndarray:
+    """A bit array of FILTER bits with those of the ids set."""
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells_ = [_cell_of(b.column(0).to_numpy()) for b in batches]
+        some = np.unique(np.concatenate(cells_)) if cells_ else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some)], names=["cell"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            for k in np.unique(cell >> 16):
+                parts.setdefault(int(k), np.zeros(1 << 16, bool))[cell[cell >> 16 == k] & 0xFFFF] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(v).tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+    cells_ = ids.mapInArrow(bits_of, "cell long").repartition(F.shiftright("cell", 16))
+    out = np.zeros(FILTER, bool)
+    for r in cells_.mapInArrow(pack, "part long, bits binary").collect():  # FILTER / 8 bytes at most
+        out[r["part"] << 16 : (r["part"] + 1) << 16] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of finished steps.
 

@@ -77,6 +77,16 @@ def test_quality_trusts_every_good_label(spark):
     assert cell["same"] != cell["other"] and abs(ratios[cell["same"]] - expected) < 1e-12
 
 
+def test_quality_sends_trusted_texts_only(spark):
+    """No text of a document that isn't trusted is shuffled, and the join is shuffled however few ids there are, so disk grows as the input does."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "if(id % 7 = 0, null, concat('text ', id)) AS text").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id, 'x' AS text"))
+    labels = spark.range(0, 3000, 10).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    sent = quality.trusted_texts(docs, labels)
+    assert {r["doc_id"] for r in sent.collect()} == set(range(0, 2000, 10)) and sent.count() == 200
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_quality_without_labels_and_empty(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.op3_quality(docs, none).collect()} <= {0.0, None}
