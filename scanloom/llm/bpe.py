@@ -54,6 +54,10 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 def known_normalizer(section: dict | None) -> dict | None:
     """None if the vocabulary's normalizer is the one that ``split`` does: NFC, runs of white space to a blank, lower case; else what differs."""
@@ -64,8 +68,8 @@ def known_normalizer(section: dict | None) -> dict | None:
 class PrefixEncoder:
     """Vocabulary, automaton and pair tests for one vocabulary file of a byte-level BPE with word ends."""
 
-    #: Pre-tokens kept with their encoding: bounds a worker's memory.
-    MEMO = 200_000
+    #: Pre-tokens kept with their encoding, during a task: bounds a worker's memory.
+    MEMO = 100_000
     #: Pair tests kept.
     PAIRS = 200_000
 
@@ -246,6 +250,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                     [part.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())],
                     names=["id", "ids_le", "decoded"],
                 )
+        enc.known.forget()  # the worker may run other operators next
         trim()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -92,11 +92,12 @@ def sketch(docs: DataFrame) -> np.ndarray:
             for text in b.column(0).to_pylist():
                 held.append((shingle_set(text) >> np.uint64(44)).astype(np.int64))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 500_000:
                     sums += np.bincount(np.concatenate(held), minlength=SKETCH)
                     held, size = [], 0
         if held:
             sums += np.bincount(np.concatenate(held), minlength=SKETCH)
+        held.clear()
         at = range(0, SKETCH, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK for i in at], pa.int32()), pa.array([sums[i : i + CHUNK] for i in at], pa.list_(pa.int64()))], names=["chunk", "counts"])
         trim()

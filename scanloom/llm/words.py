@@ -42,8 +42,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """At a task's end: memory that Arrow keeps for later goes back, as workers live on and run the tasks of other operators."""
+    """At a task's end: memory that Arrow and the C library keep for later goes back, as workers live on and run the tasks of other operators."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
 
 
 #: Bits of the filter that keeps texts which nobody asks for from being sent. A fixed size: beyond it, it only lets more through.

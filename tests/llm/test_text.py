@@ -95,6 +95,21 @@ def test_quality_without_labels_and_empty(spark, docs, empty):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_bpe_workers_forget(spark, docs):
+    """Between tasks a worker keeps the vocabulary, not the pre-tokens that it met: an executor's memory holds them beside other operators."""
+    assert bpe.op5_bpe(docs, bpe.public_vocabulary()).count() == bpe.op5_bpe(docs, bpe.public_vocabulary()).where("n_tokens is not null").count()
+    bpe.op5_bpe(docs, bpe.public_vocabulary()).collect()
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.known) + len(e.known.older) for e in bpe._loaded.values())] * b.num_rows, pa.int64()), pa.array([len(bpe._loaded)] * b.num_rows, pa.int64())], names=["n", "loaded"])
+
+    got = spark.range(0, 64, 1, 8).mapInArrow(kept, "n long, loaded long").collect()
+    assert max(r["loaded"] for r in got) == 1 and max(r["n"] for r in got) == 0
+
+
 def test_secret_base_spans(spark):
     texts = [
         'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end',
