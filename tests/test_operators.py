@@ -176,6 +176,18 @@ def test_ladder_and_delta_masses(spark):
         convolve.delta_masses(spark.createDataFrame([("p", 1, 16.0, 1.3)], sites.schema)).collect()
 
 
+def test_against_all_in_blocks(spark):
+    """Blocks of any size give the same pairs, also for vectors of other lengths, null ones and ones with nulls, and vectors aren't sent once for each block of 256."""
+    v = [[1.0, 2.0], [3.0, -1.0], [0.5], None, [], [1.0, None], [2.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    dot = lambda a, b: 0.0 if a is None or b is None or len(a) != len(b) else None if None in a + b else sum(x * y for x, y in zip(a, b))
+    want = sorted((i, j, dot(v[i], v[j])) for i in (0, 2, 3, 5) for j in range(len(v)) if i != j)
+    for block in (1, 3, 1024):
+        out = spectra.against_all(df.where("id in (0, 2, 3, 5)"), df, block)
+        assert sorted(tuple(r) for r in out.select("a", "b", "s").collect()) == want
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spectra(spark):
     p = spark.createDataFrame([(1, 10.0, 5.0), (1, 20.0, 5.0), (1, 30.0, 1.0), (2, 5.0, -3.0)], "scan int, mz double, intensity double")
     a = spectra.as_arrays(p).select("scan", spectra.sum_in_range(F.col("points"), F.lit(10.0), F.lit(20.0)).alias("s"), spectra.sum_in_range(F.col("points"), F.lit(10.0), F.lit(30.0), False).alias("o"), spectra.max_in_range(F.col("points"), F.lit(0.0), F.lit(9.0)).alias("m"), spectra.closest_index(F.col("points"), F.lit(15.0)).alias("i"))
