@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,103 @@ def band_join(left: DataFrame, a: str, right: DataFrame, b: str, tolerance: Colu
     return pairs.where(gap <= tolerance if closed else gap < tolerance)
 
 
+#: Right rows of a bucket of ``best_within``, about, and pairs that it looks at together.
+ROWS_PER_BAND = 50_000
+PAIRS_AT_ONCE = 1 << 20
+
+
+def best_within(left: DataFrame, key: str, right: DataFrame, x: str, order: Sequence[Column], width: float, on: Sequence[str] = (), y: str | None = None) -> DataFrame:
+    """(key, right columns): for each ``key`` the right row that comes first by ``order`` (ascending, nulls first) of those with ``on`` equal, x in the closed [_lo, _hi] and, with
+    ``y``, y in the closed [_from, _to] of a left row. Keys without one aren't in it. With a column ``_at`` in ``left``, x counts if |_at - x| <= _reach, and _lo and _hi only guide.
+
+    Rows meet in buckets of x, at least ``width`` wide; inside one, a bucket's rows are sorted, and a left row's stretch is answered by a table of minima, with y by strips of it. So
+    pairs are neither shuffled nor, but for those in strips at the ends of a y range, made.
+    """
+    kept, names = [c for c in right.columns if c not in on], [f"_o{i}" for i in range(len(order))]
+    right = right.where(F.abs(x) < float("inf")).select("*", *[o.alias(n) for o, n in zip(order, names, strict=True)])
+    size = right.agg(F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b"), F.count("*").alias("n")).first()
+    groups = max(1, right.select(*on).distinct().count()) if on else 1
+    width = max(width, ((size["b"] or 0.0) - (size["a"] or 0.0)) / max(1, size["n"] // groups // ROWS_PER_BAND))
+    asked = left.where("_lo <= _hi").where((F.col("_lo") > float("-inf")) & (F.col("_hi") < float("inf"))).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo"), width), bucket(F.col("_hi"), width))))
+    placed = right.withColumn("_bucket", bucket(F.col(x), width))
+    fields = {f.name: f.dataType.simpleString() for f in right.schema.fields} | {key: left.schema[key].dataType.simpleString()}
+    out = [key, *dict.fromkeys([*kept, *names])]
+
+    def ranks(t: pa.Table) -> np.ndarray:
+        keys = []
+        for n in names:
+            c = t.column(n).combine_chunks()
+            if pa.types.is_string(c.type):
+                d = c.dictionary_encode()
+                c = pc.take(pa.array(np.argsort(np.argsort(np.array([v.encode("utf-8", "surrogatepass") for v in d.dictionary.to_pylist()], object))), pa.int64()), d.indices)
+            keys += [pc.is_valid(c).to_numpy(zero_copy_only=False), pc.fill_null(c, 0).to_numpy(zero_copy_only=False)]
+        rank = np.empty(len(t), np.int64)
+        rank[np.lexsort(keys[::-1])] = np.arange(len(t))
+        return rank
+
+    def ends(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = t.column("_lo").to_numpy(), t.column("_hi").to_numpy()
+        if "_at" in t.column_names:  # the last places that the predicate, as it is rounded, lets through
+            at, reach = t.column("_at").to_numpy(), t.column("_reach").to_numpy()
+            for e, away in ((lo := lo.copy(), -np.inf), (hi := hi.copy(), np.inf)):
+                while (ok := np.abs(at - e) <= reach).any():
+                    e[ok] = np.nextafter(e[ok], away)
+                while (bad := ~(np.abs(at - e) <= reach) & (e != at)).any():
+                    e[bad] = np.nextafter(e[bad], -away)
+        return lo, hi
+
+    def met(q: pa.Table, r: pa.Table) -> pa.Table:
+        n = len(r)
+        best = np.full(len(q), n, np.int64)
+        if n and len(q):
+            rank, xs = ranks(r), r.column(x).to_numpy().astype(float)
+            by_rank = np.argsort(rank)
+            lo, hi = ends(q)
+            if y is None:
+                strips, first, last = np.zeros(n, np.int64), None, None
+            else:
+                ys = pc.fill_null(r.column(y), float("nan")).to_numpy().astype(float)
+                first, last = (q.column(c).to_numpy().astype(float) for c in ("_from", "_to"))
+                high = max(float(np.nanmedian(last - first)) / 4, 1e-9) if len(first) else 1.0
+                strips = np.where(np.isnan(ys), np.inf, np.floor(ys / high))
+            order_ = np.lexsort((xs, strips))
+            for part in np.split(order_, np.flatnonzero(np.diff(strips[order_])) + 1):
+                if y is not None and np.isinf(strips[part[0]]):
+                    continue
+                seg, got = xs[part], rank[part]
+                some = np.arange(len(q)) if y is None else np.flatnonzero((first <= (top := ys[part].max())) & (last >= (low := ys[part].min())))
+                a, b = np.searchsorted(seg, lo[some], "left"), np.searchsorted(seg, hi[some], "right")
+                some, a, b = some[b > a], a[b > a], b[b > a]
+                whole = np.ones(len(some), bool) if y is None else (first[some] <= low) & (last[some] >= top)
+                table, at, k = [got], 0, 1
+                while 2 * k <= len(got):
+                    table.append(np.minimum(table[-1][:-k], table[-1][k:]))
+                    k *= 2
+                level = np.log2(np.maximum(b - a, 1)).astype(np.int64)
+                level -= (1 << level) > b - a
+                for v in np.unique(level[whole]):
+                    w = whole & (level == v)
+                    best[some[w]] = np.minimum(best[some[w]], np.minimum(table[v][a[w]], table[v][b[w] - (1 << int(v))]))
+                some, a, count = some[~whole], a[~whole], (b - a)[~whole]
+                total = np.cumsum(count)
+                while at < len(some):
+                    end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+                    c = count[at:end]
+                    starts = np.cumsum(c) - c
+                    place = np.repeat(a[at:end] - starts, c) + np.arange(c.sum())
+                    who, yy = np.repeat(some[at:end], c), ys[part[place]]
+                    hit = np.where((yy >= first[who]) & (yy <= last[who]), got[place], n)
+                    best[some[at:end]] = np.minimum(best[some[at:end]], np.minimum.reduceat(hit, starts))
+                    at = end
+        found = np.flatnonzero(best < n)
+        rows = r.take(pa.array(by_rank[best[found]])) if len(found) else r.slice(0, 0)
+        return pa.table([q.column(key).take(pa.array(found)) if c == key else rows.column(c) for c in out], names=out)
+
+    groups_ = [*on, "_bucket"]
+    found = asked.groupBy(*groups_).cogroup(placed.groupBy(*groups_)).applyInArrow(met, ", ".join(f"`{c}` {fields[c]}" for c in out))
+    return found.groupBy(key).agg(F.min_by(F.struct(*kept), F.struct(*names)).alias("b")).select(key, "b.*")
+
+
 #: Inputs whose size is estimated beyond this are solved in buckets of time, of about so many rows; smaller ones in one window a key. Results are the same.
 BUCKETS_FROM_BYTES = 256 << 20
 ROWS_PER_BUCKET = 500_000

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from . import align, cluster, hills
 from .features import peptide_list
-from .joins import interval_join
+from .joins import best_within
 
 
 def match_identifications(features: DataFrame, identifications: DataFrame, ppm: float, least_score: float) -> DataFrame:
@@ -21,11 +21,11 @@ def match_identifications(features: DataFrame, identifications: DataFrame, ppm:
     ``features``: (run, feature, mass, start, end); ``identifications``: (run, mass, rt, score, intensity, sequence).
     """
     reach = F.col("mass") * ppm / 1e6
-    f = features.where("mass is not null").select("run", "feature", "start", "end", (F.col("mass") - reach).alias("_lo"), (F.col("mass") + reach).alias("_hi"))
-    asked = identifications.where(F.col("score") > least_score)
-    pairs = interval_join(asked, "mass", f, "_lo", "_hi", 1.0, ["run"]).where(F.col("rt").between(F.col("start"), F.col("end")))
-    best = F.min_by(F.struct("sequence", "score", "intensity"), F.struct(-F.col("intensity"), -F.col("score"), F.col("sequence"))).alias("b")
-    return pairs.groupBy("feature").agg(best).select("feature", "b.*")
+    f = features.where("mass is not null").select("run", "feature", F.col("start").cast("double").alias("_from"), F.col("end").cast("double").alias("_to"), (F.col("mass") - reach).alias("_lo"), (F.col("mass") + reach).alias("_hi"))
+    f = f.where("_from is not null and _to is not null")
+    asked = identifications.where(F.col("score") > least_score).select("run", "mass", F.col("rt").cast("double").alias("rt"), "sequence", "score", "intensity")
+    best = best_within(f, "feature", asked, "mass", [-F.col("intensity"), -F.col("score"), F.col("sequence")], 1.0, ["run"], "rt")
+    return best.select("feature", "sequence", "score", "intensity")
 
 
 def warped_apexes(features: DataFrame, totals: DataFrame, n: int = 64, segments: int = 8, slack: int = 4) -> DataFrame:

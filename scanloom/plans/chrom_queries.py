@@ -155,13 +155,12 @@ row_number() OVER (PARTITION BY p_partkey ORDER BY l_quantity DESC, l_extendedpr
 FROM part JOIN lineitem ON abs(p_retailprice * 10 - l_extendedprice) <= p_retailprice * 10 * 100 / 1e6)
 SELECT p_partkey, l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice, l_quantity FROM hit WHERE rn = 1""")
 def band_match_top1(spark, d):
-    from pyspark.sql import Window
-
-    a = read(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 10).alias("mass"))
+    mass, reach = F.col("p_retailprice") * 10, F.col("p_retailprice") * 10 * 100 / 1e6
+    a = read(spark, d, "part").select("p_partkey", mass.alias("_at"), reach.alias("_reach"), (mass - reach).alias("_lo"), (mass + reach).alias("_hi"))
     b = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    pairs = joins.band_join(a, "mass", b, "l_extendedprice", F.col("mass") * 100 / 1e6, 5.0)
-    rn = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("l_quantity"), "l_extendedprice", "l_orderkey", "l_linenumber"))
-    return pairs.withColumn("rn", rn).where("rn = 1").select("p_partkey", "l_orderkey", "l_linenumber", F.round("l_extendedprice", 6).alias("l_extendedprice"), "l_quantity")
+    order = [F.coalesce(-F.col("l_quantity"), F.lit(float("inf"))), F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    best = joins.best_within(a, "p_partkey", b, "l_extendedprice", order, 5.0)
+    return best.select("p_partkey", "l_orderkey", "l_linenumber", F.round("l_extendedprice", 6).alias("l_extendedprice"), "l_quantity")
 
 
 _CELLS = f"{SCANS_SQL}, {POINTS_SQL}, c AS (SELECT CAST(floor(p.mz / 5) AS BIGINT) AS bx, CAST(floor(s.rt / 4) AS BIGINT) AS bt, sum(p.intensity) AS v FROM points p JOIN scans s ON s.scan = p.scan WHERE s.level = 1 GROUP BY 1, 2)"

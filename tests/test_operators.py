@@ -188,6 +188,25 @@ def test_against_all_in_blocks(spark):
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_best_within_makes_no_pairs(spark):
+    """The first of all in reach, as by comparing all pairs; one of 3,000 right rows in reach of each of 300 left ones, and no join is left in the plan."""
+    rng = np.random.default_rng(5)
+    known = [(int(i % 2), float(rng.integers(0, 400)) / 8, float(rng.integers(0, 60)), None if i % 97 == 0 else float(rng.integers(0, 9)), f"s{rng.integers(0, 50)}") for i in range(3000)]
+    found = [(i, i % 2, m := float(rng.integers(0, 400)) / 8, m / 50, t := float(rng.integers(0, 60)), t + float(rng.integers(0, 20))) for i in range(300)] + [(300, 0, float("nan"), 1.0, 0.0, 9.0), (301, 0, None, 1.0, 0.0, 9.0)]
+    left = spark.createDataFrame(found, "id int, run int, _at double, _reach double, _from double, _to double").withColumns({"_lo": F.col("_at") - F.col("_reach"), "_hi": F.col("_at") + F.col("_reach")})
+    right = spark.createDataFrame(known, "run int, x double, y double, z double, s string")
+    rank = lambda r: (r[3] is not None, -(r[3] or 0.0), r[4])
+    for y in ("y", None):
+        out = joins.best_within(left, "id", right, "x", [-F.col("z"), F.col("s")], 1.0, ["run"], y)
+        want = []
+        for i, run, m, d, a, b in found[:300]:
+            near = [r for r in known if r[0] == run and abs(m - r[1]) <= d and (y is None or a <= r[2] <= b)]
+            want += [(i, *min(map(rank, near)))] if near else []
+        assert [(r["id"], r["z"] is not None, -(r["z"] or 0.0), r["s"]) for r in out.orderBy("id").collect()] == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < len(want) <= 300
+
+
 def test_spectra(spark):
     p = spark.createDataFrame([(1, 10.0, 5.0), (1, 20.0, 5.0), (1, 30.0, 1.0), (2, 5.0, -3.0)], "scan int, mz double, intensity double")
     a = spectra.as_arrays(p).select("scan", spectra.sum_in_range(F.col("points"), F.lit(10.0), F.lit(20.0)).alias("s"), spectra.sum_in_range(F.col("points"), F.lit(10.0), F.lit(30.0), False).alias("o"), spectra.max_in_range(F.col("points"), F.lit(0.0), F.lit(9.0)).alias("m"), spectra.closest_index(F.col("points"), F.lit(15.0)).alias("i"))
