@@ -21,8 +21,16 @@ def lockmass_points(points: DataFrame, masses: DataFrame, ppm: float) -> DataFra
 
 
 def calibrate(points: DataFrame, coefficients: DataFrame, on: list[str]) -> DataFrame:
-    """Points (on, t, mz, ...) with mz less c0 + c1 mz + c2 mz^2, coefficients (on, t, c0, c1, c2) interpolated in t, the ends' outside."""
-    near = _around(points, "t", coefficients, "t", F.struct("c0", "c1", "c2"), on)
+    """Points (on, t, mz, ...) with mz less c0 + c1 mz + c2 mz^2, coefficients (on, t, c0, c1, c2) interpolated in t, the ends' outside.
+
+    Coefficients are looked up once for each time, of which all points of a scan share one, so points aren't sorted by time.
+    """
+    keys = [*on, "t"]
+    times = _around(points.select(*keys).distinct(), "t", coefficients, "t", F.struct("c0", "c1", "c2"), on).select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_prev", "_next")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    near = points.join(times, same).drop(*[f"_k_{c}" for c in keys])
     a, b = F.col("_prev"), F.col("_next")
     share = F.when(b["t"] > a["t"], (F.col("t") - a["t"]) / F.when(b["t"] > a["t"], b["t"] - a["t"])).otherwise(0.0)
     c0, c1, c2 = (F.coalesce(a["v"][c], b["v"][c]) + (F.coalesce(b["v"][c], a["v"][c]) - F.coalesce(a["v"][c], b["v"][c])) * F.coalesce(share, F.lit(0.0)) for c in ("c0", "c1", "c2"))
