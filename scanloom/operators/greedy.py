@@ -111,13 +111,26 @@ class Hill:
 
     def __init__(self, width: float, gap: int, columns: dict[str, np.ndarray], doubt: np.ndarray | None = None):
         self.width, self.gap, self.c = width, gap, columns
-        self.order = np.argsort(columns["x"], kind="stable")
-        self.x = columns["x"][self.order]
+        x = columns["x"]
+        self.order = np.argsort(x, kind="stable")
+        self.x = x[self.order]
+        self.ends = np.searchsorted(self.x, x - width, "left"), np.searchsorted(self.x, x + width, "right")
+        self.after = list(range(1, len(x) + 1))  # places by x: all up to there are taken or in doubt
+
+    def quiet(self, v: int, taken: np.ndarray, doubt: np.ndarray) -> bool:
+        """Whether all within ``width`` of ``v`` are taken or in doubt by now. What was found so is skipped from then on, so a block's rows are looked at about once."""
+        first, end = int(self.ends[0][v]), int(self.ends[1][v])
+        at, after, passed = first, self.after, []
+        while at < end and (taken[r := self.order[at]] or doubt[r]):
+            passed.append(at)
+            at = after[at]
+        for p in passed:
+            after[p] = at
+        return at >= end
 
     def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
         c = self.c
-        lo, hi = np.searchsorted(self.x, c["x"][v] - self.width, "left"), np.searchsorted(self.x, c["x"][v] + self.width, "right")
-        n = self.order[lo:hi]
+        n = self.order[self.ends[0][v] : self.ends[1][v]]
         n = n[~taken[n] & (np.abs(c["x"][n] - c["x"][v]) <= self.width)]
         scans = c["idx"][n]
         by = np.argsort(scans, kind="stable")
@@ -200,9 +213,9 @@ class AllWithin:
 def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
     """(seed, rows taken, whether the seed is done) in order. ``seeds``: rows known as seeds from an earlier round, with rows left in doubt."""
     taken, out = np.zeros(len(doubt), bool), []
-    maybe = getattr(rule, "maybe", lambda v, near, doubt: near)
+    maybe, quiet = getattr(rule, "maybe", lambda v, near, doubt: near), getattr(rule, "quiet", None)
     for v in range(len(doubt)):
-        if taken[v]:
+        if taken[v] or doubt[v] and quiet is not None and not seeds[v] and quiet(v, taken, doubt):
             continue
         near = rule.reach(v, taken)
         near = near[~taken[near] & ~seeds[near]]
@@ -268,28 +281,26 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
                 edge = (_HALO - 1.01) * reach_x, (_HALO - 1.01) * reach_y
                 doubt = (c["x"] < left - edge[0]) | (c["x"] > left + wide + edge[0]) | (c["y"] < low - edge[1]) | (c["y"] > low + high + edge[1])
                 found = settle_block(rule(c, doubt), doubt, table.column("seed").to_numpy(zero_copy_only=False).astype(bool))
-                ids, seeds, done = [], [], []
-                for v, chosen, sure in found:
-                    if inside[v]:
-                        ids += [c["id"][v], *c["id"][chosen].tolist()]
-                        seeds += [c["id"][v]] * (1 + len(chosen))
-                        done += [sure] + [True] * len(chosen)
+                mine = [f for f in found if inside[f[0]]]
+                firsts = np.array([v for v, _, _ in mine], np.int64)
+                sizes = np.array([1 + len(chosen) for _, chosen, _ in mine], np.int64)
+                rows = np.concatenate([np.r_[v, chosen] for v, chosen, _ in mine]).astype(np.int64) if mine else firsts
+                done = np.ones(len(rows), bool)
+                done[np.cumsum(sizes) - sizes] = [sure for _, _, sure in mine]
                 t = table.schema.field("id").type
-                return pa.RecordBatch.from_arrays([pa.array(ids, t), pa.array(seeds, t), pa.array(done, pa.bool_())], names=["id", "seed", "done"])
+                arrays = [pa.array(c["id"][rows], t), pa.array(np.repeat(c["id"][firsts], sizes), t), pa.array(done, pa.bool_())]
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "seed", "done"])
 
             for batch in batches:
-                keys = list(zip(*(batch.column(k).to_pylist() for k in ("bx", "by", "part")), strict=True))
-                start = 0
-                while start < len(keys):
-                    end = start
-                    while end < len(keys) and keys[end] == keys[start]:
-                        end += 1
-                    if block is not None and keys[start] != block:
+                keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("bx", "by", "part")]
+                cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]) if len(batch) else []:
+                    key = tuple(k[start] for k in keys)
+                    if block is not None and key != block:
                         yield solved()
                         held.clear()
-                    block = keys[start]
+                    block = key
                     held.append(batch.slice(start, end - start))
-                    start = end
             if held:
                 yield solved()
 

@@ -106,3 +106,20 @@ def test_layers_are_sets(spark):
         if seeds[i] % 2 == 0:
             want[int(mz // 4), idx // 10] = want.get((int(mz // 4), idx // 10), 0) + 1
     assert merged == want
+
+
+def test_doubt_in_a_crowd_is_not_spread_point_by_point():
+    # many points within reach of each other, all in doubt in the end: each is looked at by steps that skip what is settled
+    import numpy as np
+
+    from scanloom.operators.greedy import Hill, settle_block
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    rule = Hill(0.2, 8, {"x": rng.uniform(0, 1.0, n), "idx": rng.integers(0, 366, n)})
+    calls, plain = [], rule.reach
+    rule.reach = lambda v, taken: calls.append(v) or plain(v, taken)
+    doubt = np.zeros(n, bool)
+    doubt[:40] = True
+    assert settle_block(rule, doubt, np.zeros(n, bool)) == []
+    assert doubt.all() and len(calls) < 40
