@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +136,14 @@ def random_scans(scans: DataFrame, share: float, seed: int = 0) -> DataFrame:
 def interpolated_grid(points: DataFrame, step: float = 0.005) -> DataFrame:
     """(run, idx, bin, y): each scan's profile at the multiples of ``step`` between its points, linear; a grid point at a scan's last m/z isn't in it.
 
-    ``points``: (run, idx, mz, intensity). Each pair of neighbouring points gives the grid points between them, so a scan is never held whole.
+    ``points``: (run, idx, mz, intensity); more columns, of the scan, are kept. Each pair of neighbouring points gives the grid points between them, so a scan is never held whole.
     """
+    more = [c for c in points.columns if c not in ("run", "idx", "mz", "intensity")]
     w = Window.partitionBy("run", "idx").orderBy("mz", "intensity")
-    pairs = points.select("run", "idx", F.col("mz").alias("x0"), F.col("intensity").alias("y0"), F.lead("mz").over(w).alias("x1"), F.lead("intensity").over(w).alias("y1"))
+    pairs = points.select("run", "idx", *more, F.col("mz").alias("x0"), F.col("intensity").alias("y0"), F.lead("mz").over(w).alias("x1"), F.lead("intensity").over(w).alias("y1"))
     first, end = F.ceil(F.col("x0") / step), F.ceil(F.col("x1") / step)
     rows = pairs.where(end > first).withColumn("bin", F.explode(F.sequence(first, end - 1)))
-    return rows.select("run", "idx", "bin", (F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("bin") * step - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("y"))
+    return rows.select("run", "idx", *more, "bin", (F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("bin") * step - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("y"))
 
 
 def checkpoint_scans(index: DataFrame, count: int = 100) -> DataFrame:
@@ -150,18 +153,23 @@ def checkpoint_scans(index: DataFrame, count: int = 100) -> DataFrame:
     return by.select("run", F.explode(F.array_distinct(F.concat(F.sequence(every, F.col("n"), every), F.array("n")))).alias("at"))
 
 
+def with_checkpoint(index: DataFrame, kept: DataFrame) -> DataFrame:
+    """``index`` (run, idx, ...) with ``at``, the first kept scan at or after each."""
+    return asof_backward(index.withColumn("_i", -F.col("idx")), "_i", kept.select("run", (-F.col("at")).alias("_a"), "at"), "_a", "at", ["run"], "at").drop("_i")
+
+
 def checkpoints(grid: DataFrame, kept: DataFrame) -> DataFrame:
     """(run, bin, at, prefix): sums of each bin over the scans up to each kept one. Rows are first summed by stretch between kept scans, so the running sums go over
-    at most as many rows a bin as scans are kept."""
-    stretch = asof_backward(grid.withColumn("_i", -F.col("idx")), "_i", kept.select("run", (-F.col("at")).alias("_a"), "at"), "_a", "at", ["run"], "at")
+    at most as many rows a bin as scans are kept. A grid with the column ``at`` of ``with_checkpoint`` is summed where it is made; without, its rows are looked up."""
+    stretch = grid if "at" in grid.columns else with_checkpoint(grid, kept)
     sums = stretch.groupBy("run", "bin", "at").agg(F.sum("y").alias("y"))
     line = Window.partitionBy("run", "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return sums.withColumn("prefix", F.sum("y").over(line)).select("run", "bin", "at", "prefix")
 
 
-def range_sum_checkpointed(grid: DataFrame, kept: DataFrame, prefixes: DataFrame, ranges: DataFrame) -> DataFrame:
+def range_sum_checkpointed(grid: DataFrame | Callable[[DataFrame], DataFrame], kept: DataFrame, prefixes: DataFrame, ranges: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(range_id, run, bin, y): sums over scans i0 to i1, both included, as P(i1) - P(i0 - 1). Each P is the nearest kept prefix, the later one on ties, plus
-    or less the scans between; only those scans' rows are read."""
+    or less the scans between; only those scans' rows are read. With ``index``, ``grid`` is a function that makes the grid of some of its scans, and no others' is made."""
     ends = F.explode(F.array(F.struct(F.col("i1").alias("e"), F.lit(1.0).alias("sign")), F.struct((F.col("i0") - 1).alias("e"), F.lit(-1.0).alias("sign"))))
     last = kept.groupBy("run").agg(F.max("at").alias("_n"))
     asked = ranges.withColumn("p", ends).join(last, "run").select("range_id", "run", F.least(F.col("p.e"), F.col("_n")).alias("e"), "p.sign").where("e > 0")
@@ -171,5 +179,7 @@ def range_sum_checkpointed(grid: DataFrame, kept: DataFrame, prefixes: DataFrame
     whole = whole.select("range_id", "run", "bin", (F.col("sign") * F.coalesce("p", F.lit(0.0))).alias("y"))
     # Scans after the kept one are added, those after the end are taken off.
     gap = near.select("range_id", "run", (F.least("e", "at") + 1).alias("lo"), F.greatest("e", "at").alias("hi"), (F.col("sign") * F.signum(F.col("e") - F.col("at"))).alias("f"))
+    if index is not None:
+        grid = grid(interval_join(index, "idx", gap.select("run", "lo", "hi"), "lo", "hi", 64, ["run"]).select(*index.columns).distinct())
     between = interval_join(grid, "idx", gap, "lo", "hi", 64, ["run"]).select("range_id", "run", "bin", (F.col("f") * F.col("y")).alias("y"))
     return whole.unionByName(between).groupBy("range_id", "run", "bin").agg(F.sum("y").alias("y"))

@@ -100,10 +100,11 @@ q AS (SELECT i.run, i.idx, p.mz AS x0, p.intensity AS y0, lead(p.mz) OVER w AS x
 u AS (SELECT *, unnest(range(CAST(ceil(x0 / 5.0) AS BIGINT), CAST(ceil(x1 / 5.0) AS BIGINT))) AS bin FROM q WHERE x1 IS NOT NULL), g AS (SELECT run, idx, bin, y0 + (y1 - y0) * (bin * 5.0 - x0) / (x1 - x0) AS y FROM u)
 SELECT r.range_id, g.run, g.bin, round(sum(CASE WHEN g.idx BETWEEN r.i0 AND r.i1 THEN g.y ELSE 0 END), 4) AS y FROM r JOIN g ON g.run = r.run GROUP BY ALL""")
 def range_sum_checkpointed(spark, d):
-    index = chrom.scan_index(scans(spark, d))
-    grid = chrom.interpolated_grid(points(spark, d).join(index, "scan").select("run", "idx", "mz", "intensity"), 5.0)
+    index = stored(chrom.scan_index(scans(spark, d)).select("run", "scan", "idx"))
     kept = chrom.checkpoint_scans(index)
-    out = chrom.range_sum_checkpointed(grid, kept, chrom.checkpoints(grid, kept), spark.createDataFrame(RANGES, "range_id int, run int, i0 int, i1 int"))
+    grid = lambda some: chrom.interpolated_grid(points(spark, d).join(some, "scan").drop("scan"), 5.0)
+    prefixes = stored(chrom.checkpoints(grid(chrom.with_checkpoint(index, kept)), kept))
+    out = chrom.range_sum_checkpointed(grid, kept, prefixes, spark.createDataFrame(RANGES, "range_id int, run int, i0 int, i1 int"), index)
     return out.withColumn("y", F.round("y", 4) + 0.0)
 
 

@@ -107,6 +107,27 @@ def test_checkpointed_range_sums(spark):
     assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_checkpointed_range_sums_make_only_the_scans_between(spark):
+    rng = np.random.default_rng(4)
+    points = [(i, float(m), float(rng.integers(1, 9))) for i in range(1, 41) for m in np.sort(rng.uniform(0, 20, 4))]
+    df = spark.createDataFrame(points, "scan int, mz double, intensity double")
+    index = spark.createDataFrame([(1, i, i) for i in range(1, 41)], "run int, scan int, idx int")
+    made = []
+
+    def grid(some):
+        made.append({r["idx"] for r in some.select("idx").collect()})
+        return chrom.interpolated_grid(df.join(some, "scan").drop("scan"), 0.5)
+
+    kept = chrom.checkpoint_scans(index, 6)
+    ranges = spark.createDataFrame([(1, 1, 1, 40), (2, 1, 8, 9), (3, 1, 13, 32)], "range_id int, run int, i0 int, i1 int")
+    prefixes = chrom.checkpoints(grid(chrom.with_checkpoint(index, kept)), kept)
+    values = lambda out: {(r["range_id"], r["bin"]): round(r["y"], 9) for r in out.collect()}
+    got = values(chrom.range_sum_checkpointed(grid, kept, prefixes, ranges, index))
+    whole = chrom.interpolated_grid(df.join(index, "scan").select("run", "idx", "mz", "intensity"), 0.5)
+    assert got == values(chrom.range_sum_checkpointed(whole, kept, chrom.checkpoints(whole, kept), ranges))
+    assert made == [set(range(1, 41)), {7, 10, 11, 12, 31, 32}]
+
+
 def test_calibrations_and_scans_on_disk(spark, tmp_path):
     c = spark.createDataFrame([(1, 2.0, 0.1, 0.0, 0.0), (1, 1.0, 0.2, 0.0, 0.0), (2, 1.0, 0.3, 0.0, 0.0)], "run int, t double, c0 double, c1 double, c2 double")
     files.write_calibration(c, f"{tmp_path}/calibration")
