@@ -249,12 +249,14 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
     kind = rows.schema["id"].dataType.simpleString()
     parts: list[DataFrame] = []
     for k in range(rounds):
-        size = free.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.approx_count_distinct("part").alias("parts")).first()
+        middle = F.percentile_approx("x", [0.01, 0.99], 1000).alias("middle")
+        size = free.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), middle, F.min("y").alias("y0"), F.max("y").alias("y1"), F.approx_count_distinct("part").alias("parts")).first()
         if not size["n"]:
             break
         n = size["n"] / max(size["parts"], 1)
         # Blocks of about equal numbers of reaches in both directions, 12 at least.
-        spans = [max((size[b] - size[a]) / r, 1.0) for a, b, r in (("x0", "x1", reach_x), ("y0", "y1", reach_y))]
+        # The middle 98 % along x: a few far values don't make blocks so wide that one holds all the rest.
+        spans = [max(d / r, 1.0) for d, r in ((size["middle"][1] - size["middle"][0], reach_x), (size["y1"] - size["y0"], reach_y))]
         side = max((spans[0] * spans[1] * rows_per_block / n) ** 0.5, 12.0)
         wide, high = side * reach_x, max(side, spans[0] * spans[1] * rows_per_block / n / min(side, spans[0])) * reach_y
         if spans[1] * reach_y <= high:

@@ -84,3 +84,16 @@ def test_doubt_spreads_by_the_nearest_only():
     doubt = c["x"] < 2.5
     found = settle_block(NearestOfEachSample((2.5, 10.0, 30.0), c, doubt), doubt, np.zeros(n, bool))
     assert sum(1 + len(chosen) for _, chosen, _ in found) > 0.6 * n
+
+
+def test_a_far_value_does_not_put_the_rest_in_one_block(spark, tmp_path):
+    from scanloom.operators.greedy import AllWithin, greedy
+
+    def rule(columns, doubt):
+        (tmp_path / f"{len(columns['x'])}-{columns['id'].min()}").touch()
+        return AllWithin(100.0, 20.0, columns)
+
+    rng = random.Random(5)
+    rows = [(0, -1e9, 3.0, 0.0)] + [(i, rng.uniform(0, 1000.0), rng.uniform(0, 300.0), 1000.0) for i in range(1, 2000)]
+    assert greedy(spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3), ["y", "id"], 1.0, 20.0, rule, 100).count() == 2000
+    assert max(int(p.name.split("-")[0]) for p in tmp_path.iterdir()) < 500
