@@ -345,3 +345,17 @@ def test_scan_clusters_find_planted_charges():
 def test_compare(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert rows(compare.both(a, b, "k"), "k") == [(2,)] and rows(compare.only(a, b, "k"), "k") == [(1,)]
+
+
+def test_ladder_totals_are_those_of_the_ladder_without_a_shuffle(spark):
+    rng = np.random.default_rng(9)
+    words = ["", None, "K", "B", "AéG", *("".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)) for n in [1, 2, 3, 7, 7, 40, 41, 3000, *rng.integers(1, 60, 200)])]
+    peptides = spark.createDataFrame(list(enumerate(words)), "id long, seq string")
+    f = sequences.ladder(peptides, ["id"]).groupBy("id")
+    m, w = F.col("mass"), F.col("weight")
+    want = {r["id"]: r for r in f.agg(F.count("*").alias("n"), F.sum(m).alias("mass"), F.sum(m * w).alias("weighted"), F.min(m).alias("least"), F.max(m).alias("most")).collect()}
+    totals = sequences.ladder_totals(peptides, ["id"])
+    assert "Exchange" not in totals._jdf.queryExecution().toString()
+    got = {r["id"]: r for r in totals.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k]["n"] == r["n"] and np.allclose(list(got[k])[2:], list(r)[2:], rtol=1e-12, atol=0) for k, r in want.items())
