@@ -6,7 +6,8 @@ is added, the amplitudes of all that were added are solved again as non-negative
 square sum. Isotopes without a point count as points of intensity 0.
 
 A scan is the unit of work, at most ``most`` points, the most intense; that many is a feature of the method. All candidates of a scan are tried at once in arrays, and the
-envelopes are a table of fixed size that is broadcast.
+envelopes are a table of fixed size that is broadcast. Amplitudes are solved by coordinates, and a new envelope only moves those that share points with it, and those near these in
+turn: the others aren't gone through again.
 """
 
 from __future__ import annotations
@@ -48,18 +49,46 @@ def candidates(mz: np.ndarray, table: np.ndarray, charges: int, tolerance: float
     return mono[good], z[good], at[good], shape[good] / np.linalg.norm(shape[good], axis=1, keepdims=True)
 
 
-def non_negative(a: np.ndarray, y: np.ndarray, missed: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """x >= 0 that minimises |a x - y|^2 + sum(missed * x^2), one coordinate after the other."""
-    gram, to = a.T @ a, a.T @ y
-    weight = np.diag(gram) + missed
-    x = start.copy()
+def descend(near: list[list[tuple[int, float]]], to: list[float], weight: list[float], x: list[float], waiting: bytearray, rounds: int = 200) -> None:
+    """Coordinate descent for non-negative least squares, in place: rounds in order, until none moves by more than 1e-9 of the largest.
+
+    ``near[j]``: the others that share points with j, and their inner products. Only those ``waiting`` are looked at; one that moves lets those near it wait,
+    as nothing has changed for the rest. Moves too small to matter are left at that, so who waits at the end goes on the next time.
+    """
     for _ in range(rounds):
-        before = x.copy()
-        for j in range(len(x)):
-            x[j] = max(0.0, x[j] + (to[j] - gram[j] @ x - missed[j] * x[j]) / weight[j])
-        if np.abs(x - before).max(initial=0.0) <= 1e-9 * np.abs(x).max(initial=1e-300):
+        top = max(x, default=0.0)
+        most, j = 0.0, waiting.find(1)
+        while j >= 0:
+            waiting[j] = 0
+            pull = to[j]
+            for i, g in near[j]:
+                pull -= g * x[i]
+            now = max(0.0, pull / weight[j])
+            move = abs(now - x[j])
+            if move > 1e-13 * top:
+                for i, _g in near[j]:
+                    waiting[i] = 1
+            x[j], most = now, max(most, move)
+            j = waiting.find(1, j + 1)
+        if most <= 1e-9 * max(max(x, default=0.0), 1e-300):
             break
-    return x
+
+
+def non_negative(a: np.ndarray, y: np.ndarray, missed: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """x >= 0 that minimises |a x - y|^2 + sum(missed * x^2), one coordinate after the other."""
+    gram, x = a.T @ a, [float(v) for v in start]
+    near = [[(int(i), float(g[i])) for i in np.flatnonzero(g) if i != j] for j, g in enumerate(gram)]
+    descend(near, (a.T @ y).tolist(), (np.diag(gram) + missed).tolist(), x, bytearray(b"\1" * len(x)), rounds)
+    return np.array(x)
+
+
+def _column(places: np.ndarray, inside: np.ndarray) -> dict[int, float]:
+    """The values of an envelope by point: isotopes that fall on one point are added up, those without a point have none."""
+    column: dict[int, float] = {}
+    for p, v in zip(places.tolist(), inside.tolist(), strict=True):
+        if v:
+            column[p] = column.get(p, 0.0) + v
+    return column
 
 
 def explain(mz: np.ndarray, y: np.ndarray, table: np.ndarray, charges: int, tolerance: float, least_gain: float) -> list[tuple]:
@@ -72,34 +101,51 @@ def explain(mz: np.ndarray, y: np.ndarray, table: np.ndarray, charges: int, tole
         return []
     hit = at >= 0
     missed = (shape**2 * ~hit).sum(axis=1)
-    inside, taken, left, x = np.where(hit, shape, 0.0), [], y.copy(), np.zeros(0)
-    floor, columns = least_gain * float(y @ y), np.zeros((len(y), 0))
+    inside, places = np.where(hit, shape, 0.0), np.maximum(at, 0)
+    taken, left, whole = [], y.copy(), np.zeros(len(y))
+    floor = least_gain * float(y @ y)
     free = np.ones(len(mono), bool)
+    # Envelopes stand at a few points each: who shares points with whom is kept as lists, and what a new one changes spreads along them.
+    owners: list[list[tuple[int, float]]] = [[] for _ in y]
+    near: list[list[tuple[int, float]]] = []
+    to: list[float] = []
+    weight: list[float] = []
+    x: list[float] = []
+    waiting = bytearray()
     while free.any():
         fit = (left[at] * inside).sum(axis=1)
         gain = np.where(free & (fit > 0), fit**2, 0.0)  # envelopes are unit vectors, missed isotopes included
         best = int(gain.argmax())
         if gain[best] <= floor:
             break
-        column = np.zeros(len(y))
-        np.add.at(column, at[best][hit[best]], shape[best][hit[best]])
+        column, shared = _column(places[best], inside[best]), {}
+        for p, v in column.items():
+            for i, w in owners[p]:
+                shared[i] = shared.get(i, 0.0) + v * w
+            owners[p].append((len(taken), v))
+        for i, g in shared.items():
+            near[i].append((len(taken), g))
+        near.append(list(shared.items()))
+        to.append(sum(v * float(y[p]) for p, v in column.items()))
+        weight.append(sum(v * v for v in column.values()) + float(missed[best]))
+        x.append(0.0)
+        waiting.append(1)
         taken.append(best)
         free[best] = False
-        columns = np.column_stack([columns, column])
-        x = non_negative(columns, y, missed[taken], np.r_[x, 0.0])
-        left = y - columns @ x
+        descend(near, to, weight, x, waiting)
+        whole = np.bincount(places[taken].ravel(), (inside[taken] * np.array(x)[:, None]).ravel(), len(y))
+        left = y - whole
     out = []
-    whole = columns @ x
     for j, c in enumerate(taken):
         if x[j] <= 0:
             continue
-        points = at[c][hit[c]]
-        others = np.maximum(whole - columns[:, j] * x[j], 0)
+        points, column = at[c][hit[c]], _column(places[c], inside[c])
+        others = np.maximum(whole[points] - np.array([column.get(p, 0.0) for p in points.tolist()]) * x[j], 0)
         rest = np.zeros(len(shape[c]))
-        rest[hit[c]] = np.maximum(y - others, 0)[points]
+        rest[hit[c]] = np.maximum(y[points] - others, 0)
         norm = float(np.linalg.norm(rest))
-        shared = float(others[points].sum() / max(whole[points].sum(), 1e-300))
-        out.append((float(mz[mono[c]]), int(z[c]), float((mz[mono[c]] - PROTON) * z[c]), float(x[j] * inside[c].sum()), int(hit[c].sum()), float(rest @ shape[c]) / norm if norm else 0.0, shared))
+        shared_part = float(others.sum() / max(whole[points].sum(), 1e-300))
+        out.append((float(mz[mono[c]]), int(z[c]), float((mz[mono[c]] - PROTON) * z[c]), float(x[j] * inside[c].sum()), int(hit[c].sum()), float(rest @ shape[c]) / norm if norm else 0.0, shared_part))
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
 
 
@@ -111,6 +157,8 @@ def isotope_overlaps(points: DataFrame, tolerance: float = 0.02, charges: int =
     rank = F.row_number().over(Window.partitionBy("run", "scan").orderBy(F.desc("intensity"), "mz"))
     some = points.where("mz is not null and intensity > 0").withColumn("_r", rank).where(F.col("_r") <= most)
     scans = some.groupBy("run", "scan").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
+    # Few bytes, much work: adaptive execution would put all scans in a few tasks. It keeps a stated number, if the key isn't what they are grouped by already.
+    scans = scans.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("run", "scan"))
     shared = points.sparkSession.sparkContext.broadcast(envelope_table(most_mass, isotopes))
     names = ["run", "scan", "mz", "charge", "mass", "intensity", "isotopes", "score", "shared"]
 
