@@ -53,6 +53,30 @@ def test_scores_against_loops(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_scores_in_slices_without_pairs_of_points(spark, monkeypatch):
+    """Many equal and close points, work cut small: the same as by loops, and no join makes the pairs of points."""
+    monkeypatch.setattr(warp2d, "ROWS_PER_GROUP", 5)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(-9, 25), 100.0 + rng.randrange(400) / 1000, float(rng.randint(-1, 5))) for _ in range(600)]
+    rows += [("b", 3, m, 2.0) for m in (0.0, -1.0, 1e-9, 1e9)] + [("a", 3, None, 1.0), ("a", 4, 1e9, None), ("a", 2, 1e9 * (1 + 9e-6), 1.0), ("b", None, 100.0, 1.0)]
+    df = spark.createDataFrame(rows, "run string, idx int, mz double, intensity double").repartition(3)
+    scores = warp2d.scan_scores(df, df.where("run = 'a'").drop("run"), 3, 10.0)
+    got = {(r["run"], r["i"], r["j"]): r["score"] for r in scores.collect()}
+    ok = [r for r in rows if None not in r[1:] and r[2] > 0 and r[3] > 0]
+    want: dict = {}
+    total: dict = {}
+    for r, i, _, y in ok:
+        total[r, i] = total.get((r, i), 0.0) + y
+    for r, i, m, y in ok:
+        for r2, j, m2, y2 in ok:
+            if r2 == "a" and abs(i - j) <= 3 and abs(m - m2) <= m2 * 10.0 / 1e6:
+                want[r, i, j] = want.get((r, i, j), 0.0) + (y / total[r, i] * y2 / total["a", j]) ** 0.5
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" not in plan and not any("Join" in line and "mz" in line for line in plan.splitlines())
+    assert warp2d.scan_scores(df, df.where("run = 'none'").drop("run"), 3, 10.0).collect() == []
+
+
 def test_planted_warp_is_found(spark):
     rng = random.Random(9)
     base = [[(rng.uniform(300, 900), rng.uniform(10, 100)) for _ in range(12)] for _ in range(120)]
