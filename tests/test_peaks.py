@@ -165,3 +165,31 @@ def test_all_pairs_in_slices(spark, monkeypatch):
     rows = [(i, i % 3) for i in range(60)]
     got = [(r["a_i"], r["b_i"]) for r in joins.all_pairs(spark.createDataFrame(rows, "i int, k int"), "i", ["k"]).collect()]
     assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3]
+
+
+def test_extrema_with_nulls_take_one_sort(spark):
+    """A null parts runs and has no sign; a series is sorted once and not grouped by its runs."""
+    ys = [None, 3.0, 3.0, None, None, 2.0, 5.0, None, 4.0, 1.0, 1.0, 6.0]
+    df = spark.createDataFrame([("a", i + 1, float(i), v) for i, v in enumerate(ys)] + [("b", 1, 0.0, 7.0), ("c", 1, 0.0, 1.0), ("c", 2, 1.0, 1.0), ("c", 3, 2.0, 0.0)], "channel string, i int, t double, y double")
+    e = S.extrema(df, ["channel"])
+    runs = [(1, None, 1), (3, 3.0, 2), (4, None, 1), (5, None, 1), (6, 2.0, 1), (7, 5.0, 1), (8, None, 1), (9, 4.0, 1), (11, 1.0, 2), (12, 6.0, 1)]
+    want = set()
+    for k, (i, v, n) in enumerate(runs):
+        sign = lambda o: None if v is None or o is None else (v > o) - (v < o)  # noqa: B023, E731
+        left, right = sign(runs[k - 1][1] if k else None), sign(runs[k + 1][1] if k + 1 < len(runs) else None)
+        kind = 0 if left is None and right is None else (right if n == 1 else 0) if left is None else left if right is None else left if left == right else 0
+        if kind:
+            want.add(("a", i, kind))
+    got = {(r["channel"], r["i"], r["kind"]) for r in e.collect()}
+    assert got == want | {("c", 3, -1)}
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_relative_peaks_find_extrema_once(spark):
+    """One window over the stored extrema, cut to the first ranks before the shuffle; none over the series."""
+    s = frame(spark, {"a": [0, 4, 1, 6, 2, 3, 0], "b": [1, 1, 1]})
+    out = S.peaks_relative(s, "channel", 0.25, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Window [") == 1 and "WindowGroupLimit" in plan
+    assert [(r["channel"], r["i"]) for r in out.orderBy("i").collect()] == [("a", 2), ("a", 4)]
