@@ -34,6 +34,27 @@ def envelope(mass: float, n: int) -> np.ndarray:
     return (1 - share) * _at(low, n) + share * _at(low + 1, n)
 
 
+def unit_envelopes(masses: np.ndarray, n: int) -> np.ndarray:
+    """Unit vectors of the first n fractions of each mass, however great: ratios to the first fraction, which itself may be too small for a number.
+
+    With c the coefficients of x (log g)' of the generating function g, k g_k = c_1 g_(k-1) + ... + c_k g_0.
+    """
+    slope = np.zeros(n)
+    for e, atoms in ATOMS.items():
+        p = np.zeros(max(n, len(ABUNDANCES[e])))
+        p[: len(ABUNDANCES[e])] = ABUNDANCES[e]
+        c = np.zeros(n)
+        for k in range(1, n):
+            c[k] = (k * p[k] - sum(p[j] * c[k - j] for j in range(1, k))) / p[0]
+        slope += c * atoms / RESIDUE_MASS
+    g = np.zeros((len(masses), n))
+    g[:, 0] = 1.0
+    for k in range(1, n):
+        g[:, k] = sum(slope[j] * masses * g[:, k - j] for j in range(1, k + 1)) / k
+        g /= np.maximum(g[:, k : k + 1], 1.0)  # scaled on the way, so that none is too large
+    return g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
 def with_fractions(rows: DataFrame, mass: Column, n: int, most_mass: float = 100_000.0, out: str = "fractions") -> DataFrame:
     """``rows`` with the fractions of the first n isotopes of a mass, linear between the table's masses; null for a null mass, and beyond ``most_mass``.
 

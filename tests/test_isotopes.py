@@ -86,6 +86,43 @@ def test_many_overlaps_equal_plain_least_squares():
     assert len(got) > 80 and np.allclose(have, x, atol=1e-4)
 
 
+def test_no_point_of_a_long_scan_is_left_out(spark):
+    """Two ions below 12,000 more intense points without a partner, more than one Arrow batch: none is too many, and each scan is whole."""
+    ions = [(2000.9, 2, 150.0), (9000.9, 1, 180.0)]
+    rows = [(r, 7, 100.0 + 2.3 * k, 100.0) for r in (1, 2) for k in range(12_000)] + [(r, 7, x, y) for r in (1, 2) for i in ions for x, y in ion(*i, n=8)]
+    assert max(r[3] for r in rows[24_000:]) < 100.0
+    out = isotopes.isotope_overlaps(spark.createDataFrame(rows, "run int, scan int, mz double, intensity double").repartition(3), least_gain=1e-5).collect()
+    assert {(r["run"], round(r["mz"], 3), r["charge"]) for r in out if r["score"] > 0.99} == {(r, mz, z) for r in (1, 2) for mz, z, _ in ions}
+
+
+def test_masses_beyond_the_table():
+    """Envelopes of greater masses than the table's are made as they come, as the table would have them."""
+    mz, y = (np.array(v) for v in zip(*ion(1500.0, 3, 500.0, n=8)))
+    short, long = (isotopes.explain(mz, y, isotopes.envelope_table(m, 8), 4, 0.02, 1e-4) for m in (1_000.0, 50_000.0))
+    assert short[0][:2] == (1500.0, 3) and len(short) == len(long)
+    assert np.allclose(short, long, atol=1e-6)
+    from scanloom.functions.averagine import unit_envelopes
+
+    whole = np.array([envelope(m, 8) for m in (1_000.0, 4_500.0, 20_000.0)])
+    assert np.allclose(unit_envelopes(np.array([1_000.0, 4_500.0, 20_000.0]), 8), whole / np.linalg.norm(whole, axis=1, keepdims=True), atol=1e-10)
+    assert np.isfinite(unit_envelopes(np.array([1e6, 1e15]), 8)).all()
+
+
+def test_candidates_in_stretches(monkeypatch):
+    """Those that can't gain enough are left out from the start: the same envelopes as with all of them, whatever the stretches."""
+    rng = np.random.default_rng(4)
+    mz, y = np.sort(rng.uniform(10, 200, 300)), rng.uniform(1, 60, 300)
+    table = isotopes.envelope_table(2_000.0, 6)
+    want = isotopes.explain(mz, y, table, 4, 0.15, 1e-3)
+    everything = isotopes.candidates(mz, table, 4, 0.15)
+    monkeypatch.setattr(isotopes, "CANDIDATES_AT_ONCE", 7)
+    assert len(want) > 20 and isotopes.explain(mz, y, table, 4, 0.15, 1e-3) == want
+    assert all((a == b).all() for a, b in zip(isotopes.candidates(mz, table, 4, 0.15), everything, strict=True))
+    assert len(isotopes.candidates(mz, table, 4, 0.15, y, 1e-3 * float(y @ y))[0]) < len(everything[0])
+    monkeypatch.setattr(isotopes, "candidates", lambda mz, table, charges, tolerance, y, floor: tuple(c.copy() for c in everything))
+    assert isotopes.explain(mz, y, table, 4, 0.15, 1e-3) == want
+
+
 def test_scans_are_dealt_to_all_tasks(spark):
     """Adaptive execution would put scans of few bytes in one task."""
     from pyspark.sql import functions as F
