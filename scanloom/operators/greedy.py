@@ -45,63 +45,189 @@ class Nearby:
         return np.concatenate(some)
 
 
+class Stretches:
+    """Rows of a block by sample and strip of y, each stretch in order of x, then of the block; those that leave are passed over, and dropped once they are many."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, width: int, stretches: int, size: int):
+        self.keys, self.rows, self.width, self.edges = keys, rows, width, np.arange(stretches + 1) * width
+        self.here = np.zeros(size, bool)
+        self.here[rows] = True
+        self.gone = 0
+        self.starts = np.searchsorted(keys, self.edges)
+
+    def leave(self, rows: np.ndarray) -> None:
+        self.gone += int(np.count_nonzero(self.here[rows]))
+        self.here[rows] = False
+        if self.gone > 0.3 * len(self.rows):
+            kept = self.here[self.rows]
+            self.keys, self.rows, self.gone = self.keys[kept], self.rows[kept], 0
+            self.starts = np.searchsorted(self.keys, self.edges)
+
+    def enter(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        order = np.lexsort((rows, keys))
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.rows = np.insert(self.keys, at, keys[order]), np.insert(self.rows, at, rows[order])
+        self.here[rows] = True
+        self.starts = np.searchsorted(self.keys, self.edges)
+
+
 class NearestOfEachSample:
     """A seed takes, of each other sample, the free row nearest by mass, then apex, then intensity, then order; all strictly within the tolerances.
 
-    Rows are looked at from the nearest mass outwards, until each other sample has a row that is surely free: what is farther can't be taken.
+    What a row takes, or casts doubt on, are at most the nearest rows of each sample that are surely free. So many rows in order look for these at once, by arrays, as if none of them came before
+    another, and all hold up to the first one that shares a row with one before it. Rows surely free and rows in doubt are kept apart, and looked through from the nearest mass
+    outwards; those taken are dropped, so late rows don't look at more than early ones.
     """
 
     keeps_seeds = False
+    #: Pairs that are looked at together, and the most rows that look for theirs at once.
+    pairs_at_once = 1 << 18
+    most_at_once = 1024
 
-    def __init__(self, eps: Sequence[float], columns: dict[str, np.ndarray], doubt: np.ndarray):
-        self.eps, self.c, self.doubt = eps, columns, doubt
+    def __init__(self, eps: Sequence[float], columns: dict[str, np.ndarray], doubt: np.ndarray | None = None):
+        self.eps, self.c = eps, columns
         x, self.strip = columns["x"], np.floor(columns["y"] / eps[1])
-        order = np.lexsort((x, self.strip))
-        cuts = np.flatnonzero(np.diff(self.strip[order]) != 0) + 1
-        self.rows = {self.strip[r[0]]: (x[r], r) for r in np.split(order, cuts) if len(r)}
-        self.others = len(np.unique(columns["sample"])) - 1
-        crowd = len(x) * 3 / max(len(self.rows), 1) * 2 * eps[0] / max(float(np.ptp(x)) if len(x) else 0.0, eps[0])  # in full reach, about
-        self.first = eps[0] * min(1.0, 16.0 * max(self.others, 1) / max(crowd, 1.0))
-
-    def reach(self, v: int, taken: np.ndarray) -> np.ndarray:
-        """Free rows within reach; at least the nearest ones of each sample up to the first that is surely free."""
+        places, self.place = np.unique(x, return_inverse=True)
+        self.strips, strip = np.unique(self.strip, return_inverse=True)
+        samples, self.sample = np.unique(columns["sample"], return_inverse=True)
+        self.samples, self.width = len(samples), len(places) + 1
+        self.named, self.stretch = np.unique(self.sample * len(self.strips) + strip, return_inverse=True)
+        self.keys = self.stretch * self.width + self.place
+
+    def _stretches(self, some: np.ndarray) -> Stretches:
+        rows = np.flatnonzero(some)
+        rows = rows[np.argsort(self.keys[rows], kind="stable")]
+        return Stretches(self.keys[rows], rows, self.width, len(self.named), len(some))
+
+    def _beside(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in v, sample, stretch) of the stretches of other samples that reach into a row's reach."""
+        out = []
+        for side in (-1, 0, 1):
+            at = np.minimum(np.searchsorted(self.strips, self.strip[v] + side), len(self.strips) - 1)
+            q = np.flatnonzero(self.strips[at] == self.strip[v] + side)
+            name = np.arange(self.samples)[None, :] * len(self.strips) + at[q][:, None]
+            stretch = np.minimum(np.searchsorted(self.named, name), len(self.named) - 1)
+            i, s = np.nonzero((self.named[stretch] == name) & (np.arange(self.samples)[None, :] != self.sample[v[q]][:, None]))
+            out.append((q[i], s, stretch[i, s]))
+        return tuple(np.concatenate(o) for o in zip(*out, strict=True))
+
+    def _walk(self, among: Stretches, v: np.ndarray, beside: tuple, best: np.ndarray, seen: Callable) -> None:
+        """``seen`` gets all that is in reach of rows ``v``, from the nearest mass outwards, as long as it isn't farther in mass than ``best`` of the row and sample."""
         c, (ex, ey, ez) = self.c, self.eps
-        x, whole, w = c["x"][v], ex * (1 + 1e-9), self.first
+        q, s, stretch = beside
+        at = np.searchsorted(among.keys, stretch * self.width + self.place[v[q]])
+        q, key, side = np.tile(q, 2), np.tile(q * self.samples + s, 2), np.repeat((1, -1), len(q))
+        end = np.concatenate([among.starts[stretch + 1], among.starts[stretch] - 1])
+        at, n = np.concatenate([at, at - 1]), 4
         while True:
-            some = []
-            for s in (-1, 0, 1):
-                xs, rows = self.rows.get(self.strip[v] + s, (None, None))
-                if rows is not None:
-                    lo, hi = np.searchsorted(xs, (x - w, x + w))
-                    some.append(rows[lo : hi + 1])
-            n = np.concatenate(some)
-            n = n[~taken[n]]
-            dx = np.abs(c["x"][n] - x)
-            ok = (c["sample"][n] != c["sample"][v]) & (dx < ex) & (np.abs(c["y"][n] - c["y"][v]) < ey) & (np.abs(c["z"][n] - c["z"][v]) < ez)
-            n, dx = n[ok], dx[ok]
-            if w >= whole:
-                return n
-            inner = ~self.doubt[n] & (dx <= w - 1e-9 * w - 4 * np.spacing(abs(x) + w))
-            if len(set(c["sample"][n[inner]].tolist())) == self.others:
-                return n
-            w = min(4 * w, whole)
-
-    def _ordered(self, v: int, near: np.ndarray) -> np.ndarray:
-        c = self.c
-        order = np.lexsort((near, np.abs(c["z"][near] - c["z"][v]), np.abs(c["y"][near] - c["y"][v]), np.abs(c["x"][near] - c["x"][v]), c["sample"][near]))
-        return near[order]
-
-    def _first(self, rows: np.ndarray) -> np.ndarray:
-        samples = self.c["sample"][rows]
-        return rows[np.r_[True, samples[1:] != samples[:-1]]] if len(rows) else rows
-
-    def pick(self, v: int, near: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, bool]:
-        chosen = self._first(self._ordered(v, near))
-        return chosen, not doubt[chosen].any()  # a row in doubt that is worse than a sure one doesn't matter
-
-    def maybe(self, v: int, near: np.ndarray, doubt: np.ndarray) -> np.ndarray:
-        """Rows that come into doubt with ``v``: of each sample the nearest that is surely free. Farther ones it can't take, nearer ones are in doubt by now."""
-        return self._first(self._ordered(v, near[~doubt[near]]))
+            on = np.flatnonzero(at * side < end * side)
+            dx = np.abs(c["x"][among.rows[at[on]]] - c["x"][v[q[on]]])
+            on = on[(dx < ex) & (dx <= best[key[on]])]
+            if not len(on):
+                return
+            q, key, side, end, at = q[on], key[on], side[on], end[on], at[on]
+            step = max(1, self.pairs_at_once // n)
+            for k in range(0, len(at), step):
+                way = side[k : k + step, None]
+                p = at[k : k + step, None] + way * np.arange(n)
+                w, j = np.nonzero(p * way < end[k : k + step, None] * way)
+                r, w = among.rows[p[w, j]], w + k
+                for axis, e in (("z", ez), ("y", ey), ("x", ex)):
+                    ok = np.abs(c[axis][r] - c[axis][v[q[w]]]) < e
+                    if axis == "z":
+                        ok &= among.here[r]
+                    r, w = r[ok], w[ok]
+                if len(r):
+                    d = [np.abs(c[axis][r] - c[axis][v[q[w]]]) for axis in "xyz"]
+                    seen(key[w], [*d, r])
+            at, n = at + side * n, min(4 * n, 4096)
+
+    def _nearest(self, free: Stretches, v: np.ndarray, beside: tuple) -> list[np.ndarray]:
+        """Distances and row of the nearest surely free one, for each of ``v`` and each sample; infinite, and none, without one."""
+        best = [np.full(len(v) * self.samples, np.inf) for _ in "xyzr"]
+
+        def seen(key: np.ndarray, values: list[np.ndarray]) -> None:
+            for i, b in enumerate(best):
+                before = b[key]
+                np.minimum.at(b, key, values[i])
+                now = b[key]
+                for deeper in best[i + 1 :]:
+                    deeper[key[now < before]] = np.inf
+                same = values[i] == now
+                key, values = key[same], [w[same] for w in values]
+
+        self._walk(free, v, beside, best[0], seen)
+        return best
+
+    def _unsure(self, doubtful: Stretches, v: np.ndarray, beside: tuple, best: list[np.ndarray]) -> np.ndarray:
+        """Whether a row in doubt is nearer than the nearest surely free one, for any sample."""
+        found, bound = np.zeros(len(v), bool), best[0].copy()
+
+        def seen(key: np.ndarray, values: list[np.ndarray]) -> None:
+            less = np.zeros(len(key), bool)
+            same = np.ones(len(key), bool)
+            for b, w in zip(best, values, strict=True):
+                less |= same & (w < b[key])
+                same &= w == b[key]
+            q = np.unique(key[less] // self.samples)
+            found[q] = True
+            bound.reshape(len(v), -1)[q] = -1.0  # one is enough
+
+        self._walk(doubtful, v, beside, bound, seen)
+        return found
+
+    def settle(self, doubt: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
+        """What ``settle_block`` gives; ``doubt`` is kept up to date."""
+        n, out = len(doubt), []
+        taken, first = np.zeros(n, bool), np.full(n, n)
+        free, doubtful = self._stretches(~doubt), self._stretches(doubt)
+        most = max(8, self.most_at_once // max(1, self.samples // 4))
+        at, many = 0, 32
+        while at < n:
+            v = at + np.flatnonzero(~taken[at : at + 8 * many])[:many]
+            if not len(v):
+                at += 8 * many
+                continue
+            beside = self._beside(v)
+            best = self._nearest(free, v, beside)
+            sure = np.flatnonzero(~doubt[v])
+            mine = ~doubt[v[beside[0]]]
+            unsure = np.zeros(len(v), bool)
+            if len(doubtful.rows) and len(sure):
+                unsure = self._unsure(doubtful, v, tuple(b[mine] for b in beside), best)
+            takes = ~doubt[v] & ~unsure
+            who, s = np.nonzero(np.isfinite(best[3].reshape(len(v), -1)))
+            picked = best[3].reshape(len(v), -1)[who, s].astype(np.int64)
+            # Up to the first that shares a row with one before it; one that was taken by a sure one is just gone.
+            there, end = np.ones(len(v), bool), len(v)
+            while True:
+                live = there[who]
+                rows, by = np.concatenate([v[there], picked[live]]), np.concatenate([np.flatnonzero(there), who[live]])
+                order = np.argsort(by, kind="stable")[::-1]
+                first[rows[order]] = by[order]  # the first one is written last
+                clash = by[first[rows] < by]
+                end = int(clash.min()) if len(clash) else len(v)
+                gone = end < len(v) and first[v[end]] < end and takes[first[v[end]]]
+                first[rows] = n
+                if not gone:
+                    break
+                there[end] = False
+            there[end:] = False
+            live = there[who]
+            who, picked = who[live], picked[live]
+            chosen = takes[who]
+            taken[v[there & takes]] = True
+            taken[picked[chosen]] = True
+            cuts = np.searchsorted(who, np.arange(end + 1))
+            out += [(int(v[i]), picked[cuts[i] : cuts[i + 1]], True) for i in np.flatnonzero(there & takes).tolist()]
+            new = np.concatenate([v[there & unsure], picked[~chosen]])
+            doubt[new] = True
+            free.leave(np.concatenate([v[there], picked]))
+            if len(new):
+                doubtful.enter(self.keys[new], new)
+            at = int(v[end]) if end < len(v) else int(v[-1]) + 1
+            many = min(most, max(8, (10 * many + 13 * end) // 20 if end < len(v) else 2 * many))
+        return out
 
 
 class Hill:
@@ -212,6 +338,8 @@ class AllWithin:
 
 def settle_block(rule, doubt: np.ndarray, seeds: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
     """(seed, rows taken, whether the seed is done) in order. ``seeds``: rows known as seeds from an earlier round, with rows left in doubt."""
+    if hasattr(rule, "settle"):
+        return rule.settle(doubt)  # a rule that goes through many rows at once
     taken, out = np.zeros(len(doubt), bool), []
     maybe, quiet = getattr(rule, "maybe", lambda v, near, doubt: near), getattr(rule, "quiet", None)
     for v in range(len(doubt)):
@@ -286,9 +414,11 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
                 mine = [f for f in found if inside[f[0]]]
                 firsts = np.array([v for v, _, _ in mine], np.int64)
                 sizes = np.array([1 + len(chosen) for _, chosen, _ in mine], np.int64)
-                rows = np.concatenate([np.r_[v, chosen] for v, chosen, _ in mine]).astype(np.int64) if mine else firsts
-                done = np.ones(len(rows), bool)
-                done[np.cumsum(sizes) - sizes] = [sure for _, _, sure in mine]
+                rows, done = np.zeros(sizes.sum(), np.int64), np.ones(sizes.sum(), bool)
+                heads = np.zeros(len(rows), bool)
+                heads[np.cumsum(sizes) - sizes] = True
+                rows[heads], done[heads] = firsts, [sure for _, _, sure in mine]
+                rows[~heads] = np.concatenate([chosen for _, chosen, _ in mine]) if mine else []
                 t = table.schema.field("id").type
                 arrays = [pa.array(c["id"][rows], t), pa.array(np.repeat(c["id"][firsts], sizes), t), pa.array(done, pa.bool_())]
                 return pa.RecordBatch.from_arrays(arrays, names=["id", "seed", "done"])
@@ -306,7 +436,11 @@ def greedy(rows: DataFrame, order: Sequence[str], reach_x: float, reach_y: float
             if held:
                 yield solved()
 
-        dealt = sent.repartition("part", "bx", "by").sortWithinPartitions("part", "bx", "by", *order)
+        # Blocks are dealt to tasks in turn: by hash some tasks would get several of a few large ones, and others none.
+        across, along = (int(span * reach / w) + 3 for span, reach, w in ((spans[0], reach_x, wide), (spans[1], reach_y, high)))
+        tasks = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), across * along * size["parts"], -(-size["n"] // 2000)))
+        turn = F.pmod(F.xxhash64("part"), F.lit(tasks)) + F.pmod(F.col("bx"), F.lit(tasks)) + F.pmod(F.col("by") * across, F.lit(tasks))
+        dealt = sent.repartitionById(tasks, turn.cast("int")).sortWithinPartitions("part", "bx", "by", *order)
         settled = stored(dealt.mapInArrow(work, f"id {kind}, seed {kind}, done boolean"))
         parts.append(settled.select("id", "seed"))
         known = settled.groupBy("id").agg(F.max("done").alias("done"))

@@ -97,3 +97,67 @@ def test_a_far_value_does_not_put_the_rest_in_one_block(spark, tmp_path):
     rows = [(0, -1e9, 3.0, 0.0)] + [(i, rng.uniform(0, 1000.0), rng.uniform(0, 300.0), 1000.0) for i in range(1, 2000)]
     assert greedy(spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3), ["y", "id"], 1.0, 20.0, rule, 100).count() == 2000
     assert max(int(p.name.split("-")[0]) for p in tmp_path.iterdir()) < 500
+
+
+def _block(rng, n, mass, apex, samples, step):
+    import numpy as np
+
+    x, y, z = rng.uniform(0, mass, n), rng.uniform(0, apex, n), rng.exponential(50, n)
+    if step:
+        x, y, z = np.round(x / step) * step, np.round(y / step) * step, np.round(z / 5) * 5
+    return {"x": x, "y": y, "z": z, "sample": rng.integers(0, samples, n)}
+
+
+def test_rows_that_look_for_theirs_together_equal_a_loop(monkeypatch):
+    """A block with rows in doubt, many rows at once: the groups, and what is in doubt at the end, of one row after the other."""
+    import numpy as np
+
+    from scanloom.operators import greedy
+
+    monkeypatch.setattr(greedy.NearestOfEachSample, "pairs_at_once", 64)
+    rng, eps = np.random.default_rng(5), (2.5, 10.0, 30.0)
+    for k in range(60):
+        n = int(rng.integers(1, 90))
+        c = _block(rng, n, float(rng.uniform(3, 30)), float(rng.uniform(1, 60)), int(rng.integers(1, 7)), (0, 1.0, 0.5)[k % 3])
+        doubt = c["x"] < 2.0 * (k % 4)
+        mine, taken, want = doubt.copy(), np.zeros(n, bool), []
+        for v in range(n):
+            if taken[v]:
+                continue
+            d = [np.abs(c[a] - c[a][v]) for a in "xyz"]
+            near = np.flatnonzero(~taken & (c["sample"] != c["sample"][v]) & (d[0] < eps[0]) & (d[1] < eps[1]) & (d[2] < eps[2]))
+            free, sure = {}, {}
+            for r in sorted(near, key=lambda r: (d[0][r], d[1][r], d[2][r], r)):
+                free.setdefault(c["sample"][r], int(r))
+                if not doubt[r]:
+                    sure.setdefault(c["sample"][r], int(r))
+            if not doubt[v] and free == sure:
+                taken[[v, *free.values()]] = True
+                want.append((v, sorted(free.values())))
+            else:
+                doubt[[v, *sure.values()]] = True
+        got = greedy.settle_block(greedy.NearestOfEachSample(eps, c, mine), mine, np.zeros(n, bool))
+        assert [(v, sorted(chosen.tolist())) for v, chosen, _ in got] == want and (mine == doubt).all()
+
+
+def test_late_rows_do_not_look_at_more():
+    """One row in ten is of the other sample: once these are taken, what remains finds nothing, and isn't looked through again for each row."""
+    import numpy as np
+
+    from scanloom.operators.greedy import NearestOfEachSample, settle_block
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            Counted.seen += np.size(out)
+            return out
+
+    n = 6000
+    c = _block(np.random.default_rng(1), n, 2.0, 5.0, 1, 0)
+    c["sample"] = (np.arange(n) % 10 == 0).astype(int)
+    c = {k: v.view(Counted) for k, v in c.items()}
+    doubt = np.zeros(n, bool)
+    found = settle_block(NearestOfEachSample((2.5, 10.0, 1e9), c, doubt), doubt, np.zeros(n, bool))
+    assert len(found) == n - n // 10 and Counted.seen < 400 * n
