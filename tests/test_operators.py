@@ -188,6 +188,33 @@ def test_against_all_in_blocks(spark):
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_against_all_rounds_and_orders(spark):
+    """Vectors prepared in the tasks as the column functions would, halves away from 0, no negative zeros, no pairs of null or equal ids."""
+    v = [[1.0, 2.0], [3.0, -1.0], [-0.4, 0.0], None, [], [1.0, None], [0.0, 0.0], [7.0, 7.0], [float("nan"), 1.0]]
+    df = spark.createDataFrame([*enumerate(v), (None, [1.0, 1.0]), (0, [0.5, 0.25])], "id long, v array<double>")
+    for numpy, column in ((spectra.unit_rows, spectra.unit), (spectra.centred_unit_rows, lambda c: spectra._let(spectra.centred(c), spectra.unit))):
+        whole = df.select("id", F.when((F.size("v") > 0) & ~F.exists("v", F.isnull), column(F.col("v"))).otherwise(F.col("v")).alias("v"))
+        want = sorted(map(str, spectra.against_all(whole.where("id % 2 = 0"), whole).withColumn("s", F.round("s", 5)).collect()))
+        got = spectra.against_all(df.where("id % 2 = 0"), df, 2, numpy, 5)
+        assert sorted(map(str, got.collect())) == want
+    one = spark.createDataFrame([(0, [1.0])], "id long, v array<double>")
+    some = spark.createDataFrame([(k, [x]) for k, x in enumerate([2.5, -2.5, 0.5, -0.2, 3.0], 1)], "id long, v array<double>")
+    assert [str(r["s"]) for r in spectra.against_all(one, some, digits=0).collect()] == ["-3.0", "0.0", "1.0", "3.0", "3.0"]
+
+
+def test_pairs_of_vectors_are_small_files(spark, tmp_path):
+    """Values equal after rounding stand together, so that the three columns are codes: 7.6 bytes a pair in order of the vectors."""
+    from scanloom.plans import spectra_queries
+
+    v = np.random.default_rng(2).normal(size=(4000, 64))
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for q in (spectra_queries.pairwise_cosine, spectra_queries.pairwise_pearson):
+        out = tmp_path / q.__name__
+        q(spark, str(tmp_path)).write.parquet(str(out))
+        assert spark.read.parquet(str(out)).count() == 200 * 3999
+        assert sum(f.stat().st_size for f in out.glob("*.parquet")) < 5 * 200 * 3999
+
+
 def test_best_within_makes_no_pairs(spark):
     """The first of all in reach, as by comparing all pairs; one of 3,000 right rows in reach of each of 300 left ones, and no join is left in the plan."""
     rng = np.random.default_rng(5)
